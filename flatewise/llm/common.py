@@ -75,12 +75,17 @@ def ascii_lower(text: Column) -> Column:
 NON_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
-def word_array(text: Column) -> Column:
-    """The words ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`` of the text after A-Z are lower-cased; null has none."""
-    trimmed = F.regexp_replace(F.coalesce(ascii_lower(text), F.lit("")), rf"^{NON_WORD}|{NON_WORD}\z", "")
-    return F.when(F.length(trimmed) > 0, F.split(trimmed, NON_WORD)).otherwise(F.array().cast("array<string>"))
-
-
 def document_key() -> list[Column]:
     """Identifies a document's row even where doc_id repeats or is null: equal keys mean equal id and text."""
     return [F.col("doc_id"), F.xxhash64("text").alias("text_key")]
+
+
+def positioned_words(docs: DataFrame, *more: Column) -> DataFrame:
+    """doc_id, text_key, and the text's words: word i (from 0) of n_words is get(words, i + at).
+
+    The array keeps the empty strings that split() leaves beside separators at the ends; ``at`` steps over the first."""
+    words = F.split(F.coalesce(ascii_lower(F.col("text")), F.lit("")), NON_WORD, -1)
+    rows = docs.select(*document_key(), words.alias("words"), *more)
+    at = F.when(F.get("words", F.lit(0)) == "", 1).otherwise(0)
+    end = F.size("words") - F.when((F.size("words") > 1) & (F.element_at("words", -1) == ""), 1).otherwise(0)
+    return rows.withColumn("at", at).withColumn("n_words", F.greatest(F.lit(0), end - F.col("at")))

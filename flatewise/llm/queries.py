@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import langid, packing, pii, secret_scan, topk, toxicity, url_filter
+from . import decontaminate, langid, license_scan, near_dup, packing, pii, secret_scan, topk, toxicity, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,10 +19,22 @@ def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digest(table(spark, sf_dir, "documents"))
 
 
+def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.digest(table(spark, sf_dir, "documents"))
+
+
+def op4_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.digest(table(spark, sf_dir, "documents"))
+
+
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(table(spark, sf_dir, "documents"))
 
 
+def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op7_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"), k=10, every=100, scale=1024)
 
@@ -39,7 +51,10 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_pack, op2_secrets, op5_pii, op7_topk, op8_urls, op9_language, op10_toxicity)}
+QUERIES = {
+    f.__name__: f
+    for f in (op1_pack, op2_secrets, op3_licenses, op4_near_dup, op5_pii, op6_decontaminate, op7_topk, op8_urls, op9_language, op10_toxicity)
+}
 
 _LISTED = ", ".join(f"'{k}'" for k in url_filter.BLOCK_LIST)
 _RULES = " ".join(
