@@ -66,10 +66,10 @@ _BLOCKING = ", ".join(f"'{h}{p}'" for v, h, p in url_filter.RULES if v == "block
 ORACLE_SQL = {
     "op7_topk": """
 WITH v AS (
-  SELECT vec_id, list_transform(embedding, x -> floor(1024.0::DOUBLE * x::DOUBLE)) AS v
+  SELECT vec_id, list_transform(embedding, lambda x: floor(1024.0::DOUBLE * x::DOUBLE)) AS v
   FROM embeddings
   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
-    AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
 ), s AS (
   SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.v, c.v)::BIGINT AS score
   FROM v q JOIN v c ON q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id
@@ -88,6 +88,6 @@ WITH u AS (
 ), r AS (SELECT *, CASE {_RULES} END AS rule FROM h)
 SELECT page_id, host, path, rule,
   CASE WHEN rule IN ({_BLOCKING}) THEN 'block' WHEN rule IS NOT NULL THEN 'allow'
-    WHEN len(list_filter([{_LISTED}], k -> host = k OR ends_with(host, '.' || k))) > 0 THEN 'block' ELSE 'allow' END AS verdict
+    WHEN len(list_filter([{_LISTED}], lambda k: host = k OR ends_with(host, '.' || k))) > 0 THEN 'block' ELSE 'allow' END AS verdict
 FROM r""",
 }
