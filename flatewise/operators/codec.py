@@ -62,6 +62,9 @@ def inflate_member(member: pd.Series, deflate_offset: pd.Series) -> pd.DataFrame
     """One member's data, checked against its trailer."""
     out = []
     for m, at in zip(member, deflate_offset):
+        if m is None:
+            out.append((None, None))
+            continue
         try:
             d = zlib.decompressobj(-15)
             data = d.decompress(m[int(at) :]) + d.flush()

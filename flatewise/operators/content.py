@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -41,9 +44,24 @@ def classified(streams: DataFrame) -> DataFrame:
     return streams.select("stream_id", _stats(F.substring("content", 1, SAMPLE)).alias("s")).select("stream_id", "s.*")
 
 
-def byte_histogram(streams: DataFrame, keys: list[str] | None = None) -> DataFrame:
-    """value (0 to 255), n over all bytes, by keys if given; native, pre-aggregated before the shuffle."""
-    n = F.length("content")
-    at = streams.where(n > 0).select(*(keys or []), "content", F.explode(F.sequence(F.lit(1), n)).alias("i"))
-    value = F.conv(F.hex(F.substr("content", F.col("i"), F.lit(1))), 16, 10).cast("int")
-    return at.groupBy(*(keys or []), value.alias("value")).agg(F.count("*").alias("n"))
+_COUNTS = pa.schema([("key", pa.string()), ("value", pa.int32()), ("n", pa.int64())])
+
+
+def _partial_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """256 counts per key and batch; a batch's rows of one key are counted in one go."""
+    values = np.arange(256, dtype=np.int32)
+    for batch in batches:
+        by_key: dict[str | None, np.ndarray] = {}
+        for key, data in zip(batch.column(0).to_pylist(), batch.column(1)):
+            if data.is_valid and (buffer := data.as_buffer()) is not None and buffer.size:
+                by_key[key] = by_key.get(key, 0) + np.bincount(np.frombuffer(buffer, dtype=np.uint8), minlength=256)
+        for key, counts in by_key.items():
+            yield pa.RecordBatch.from_arrays([pa.array([key] * 256, pa.string()), pa.array(values), pa.array(counts)], schema=_COUNTS)
+
+
+def byte_histogram(streams: DataFrame, key: str | None = None) -> DataFrame:
+    """value (0 to 255), n over all bytes, by a string column if given. Counts, not bytes, are shuffled."""
+    rows = streams.select((F.col(key).cast("string") if key else F.lit(None).cast("string")).alias("key"), "content")
+    counts = rows.mapInArrow(_partial_counts, "key string, value int, n long").where("n > 0")
+    got = counts.groupBy("key", "value").agg(F.sum("n").alias("n"))
+    return got.withColumnRenamed("key", key) if key else got.drop("key")

@@ -17,39 +17,43 @@ from . import codec
 MEMBERS = "stream_id long, member_idx int, start long, length long, deflate_offset int, isize long, n_out long, crc_ok boolean, indexed boolean, error string"
 
 
-def walk(data: bytes) -> Iterator[tuple]:
-    """(start, length, deflate offset, isize, bytes out, crc ok, indexed, error) of each member.
+def walk(data: bytes, keep: bool = False) -> Iterator[tuple]:
+    """(start, length, deflate offset, isize, bytes out, crc ok, indexed, error, data) of each member.
 
     A member whose header tells its size is stepped over without decoding (bytes out and crc are then null); for others
-    the decoder says where it ends. What follows the last member gives one row with an error."""
+    the decoder says where it ends, and their data are given if keep is set. What follows the last member gives one row
+    with an error."""
     at = 0
     if not data:
-        yield 0, 0, 0, 0, 0, None, False, "empty"
+        yield 0, 0, 0, 0, 0, None, False, "empty", b""
     while at < len(data):
         head = framing.parse_header(data, at)
         if head is None:
-            yield at, len(data) - at, 0, 0, 0, None, False, "trailing_bytes" if at else "not_gzip"
+            yield at, len(data) - at, 0, 0, 0, None, False, "trailing_bytes" if at else "not_gzip", b""
             return
         size = head.member_size
         if size and head.size + 8 <= size <= len(data) - at:
-            yield at, size, head.size, struct.unpack_from("<I", data, at + size - 4)[0], None, None, True, None
+            yield at, size, head.size, struct.unpack_from("<I", data, at + size - 4)[0], None, None, True, None, None
             at += size
             continue
-        d, n, crc, feed = zlib.decompressobj(-15), 0, 0, data[at + head.size :]
+        d, n, crc, feed, parts = zlib.decompressobj(-15), 0, 0, data[at + head.size :], []
         error = None
         try:
             while feed and not d.eof:
                 out = d.decompress(feed, 1 << 20)
                 n, crc, feed = n + len(out), zlib.crc32(out, crc), d.unconsumed_tail
+                if keep:
+                    parts.append(out)
         except zlib.error as e:
             error = f"bad_data: {e}"
+        got = b"".join(parts)
         if error or not d.eof or len(d.unused_data) < 8:
-            yield at, len(data) - at, head.size, 0, n, False, False, error or "truncated"
+            yield at, len(data) - at, head.size, 0, n, False, False, error or "truncated", got
             return
         want_crc, isize = struct.unpack("<II", d.unused_data[:8])
         length = len(data) - len(d.unused_data) + 8 - at
-        ok = want_crc == crc and isize == n & 0xFFFFFFFF
-        yield at, length, head.size, isize, n, ok, False, None if ok else "crc_mismatch"
+        wrong = "crc_mismatch" if want_crc != crc else "size_mismatch" if isize != n & 0xFFFFFFFF else None
+        yield at, length, head.size, isize, n, wrong is None, False, wrong, got
         at += length
 
 
@@ -59,7 +63,7 @@ def members(streams: DataFrame) -> DataFrame:
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = [c.split()[0] for c in MEMBERS.split(", ")]
         for batch in batches:
-            rows = [(s, i, *m) for s, data in zip(batch["stream_id"], batch["content"]) for i, m in enumerate(walk(data or b""))]
+            rows = [(s, i, *m[:8]) for s, data in zip(batch["stream_id"], batch["content"]) for i, m in enumerate(walk(data or b""))]
             frame = pd.DataFrame(rows, columns=names)
             frame["n_out"] = frame["n_out"].astype("Int64")
             frame["crc_ok"] = frame["crc_ok"].astype("boolean")
@@ -76,25 +80,42 @@ def with_offsets(index: DataFrame) -> DataFrame:
 
 def listing(streams: DataFrame) -> DataFrame:
     """stream_id, n_members, compressed, uncompressed, ratio: what --list tells."""
-    rows = members(streams).where("error is null or error = 'crc_mismatch'")
+    rows = members(streams).where("error is null or error like '%_mismatch'")
     got = rows.groupBy("stream_id").agg(F.count("*").alias("n_members"), F.sum("length").alias("compressed"), F.sum(F.coalesce("n_out", "isize")).alias("uncompressed"))
     return got.withColumn("ratio", F.when(F.col("uncompressed") > 0, 1 - F.col("compressed") / F.col("uncompressed")).otherwise(0.0))
 
 
-def decoded_members(streams: DataFrame) -> DataFrame:
-    """stream_id, member_idx, data, error: members of the index decoded apart from each other."""
-    index = members(streams)
-    cut = index.where("deflate_offset > 0").join(streams.select("stream_id", "content"), "stream_id")
-    one = cut.select("stream_id", "member_idx", "error", codec.inflate_member(F.substr("content", (F.col("start") + 1).cast("int"), F.col("length").cast("int")), "deflate_offset").alias("d"))
-    good = one.select("stream_id", "member_idx", F.col("d.data").alias("data"), F.coalesce("error", "d.error").alias("error"))
-    return good.unionByName(index.where("deflate_offset = 0").select("stream_id", "member_idx", F.lit(None).cast("binary").alias("data"), "error"))
+_CUT = "stream_id long, member_idx int, deflate_offset int, member binary, data binary, error string"
 
 
-def decompress(streams: DataFrame, mode: str = "PERMISSIVE") -> DataFrame:
+def _cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    names = [c.split()[0] for c in _CUT.split(", ")]
+    for batch in batches:
+        rows = []
+        for s, data in zip(batch["stream_id"], batch["content"]):
+            for i, (start, length, head, _, _, _, indexed, error, out) in enumerate(walk(data or b"", keep=True)):
+                rows.append((s, i, head, data[start : start + length] if indexed else None, out, error))
+        yield pd.DataFrame(rows, columns=names)
+
+
+def decoded_members(streams: DataFrame, spread: bool = False) -> DataFrame:
+    """stream_id, member_idx, data, error: members that tell their size are decoded apart from each other.
+
+    spread: deal them out over the cluster first, for streams so large that their own rows don't fill it."""
+    cut = streams.select("stream_id", "content").mapInPandas(_cut, _CUT)
+    if spread:
+        cut = cut.repartition("stream_id", "member_idx")
+    found = codec.inflate_member("member", "deflate_offset")
+    one = cut.select("stream_id", "member_idx", "member", "data", "error", found.alias("d"))
+    held = F.col("member").isNotNull()
+    return one.select("stream_id", "member_idx", F.when(held, F.col("d.data")).otherwise(F.col("data")).alias("data"), F.when(held, F.col("d.error")).otherwise(F.col("error")).alias("error"))
+
+
+def decompress(streams: DataFrame, mode: str = "PERMISSIVE", spread: bool = False) -> DataFrame:
     """stream_id, data, error: the members' data in order; error is the first member's that has one.
 
     PERMISSIVE keeps what could be decoded; FAILFAST raises for the first error."""
-    parts = decoded_members(streams)
+    parts = decoded_members(streams, spread)
     if mode == "FAILFAST":
         parts = parts.withColumn("error", F.when(F.col("error").isNotNull() & (F.col("error") != "empty"), F.raise_error(F.concat(F.lit("stream "), F.col("stream_id").cast("string"), F.lit(": "), F.col("error")))))
     some = parts.withColumn("data", F.coalesce("data", F.lit(b"")))
