@@ -89,3 +89,17 @@ def positioned_words(docs: DataFrame, *more: Column) -> DataFrame:
     at = F.when(F.get("words", F.lit(0)) == "", 1).otherwise(0)
     end = F.size("words") - F.when((F.size("words") > 1) & (F.element_at("words", -1) == ""), 1).otherwise(0)
     return rows.withColumn("at", at).withColumn("n_words", F.greatest(F.lit(0), end - F.col("at")))
+
+
+#: Rows and bytes of an Arrow batch: documents differ in length by five orders of magnitude, so bytes are what counts.
+BATCH_ROWS, BATCH_BYTES = 2000, 4 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lower the session's Arrow batch limits to these (never raise them); called by operators that run Python.
+
+    A batch is held several times over, in the JVM, in Arrow and in Python, by every worker at once."""
+    rows = int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch"))
+    if rows <= 0 or rows > BATCH_ROWS:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))

@@ -21,6 +21,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import small_batches
+
 UNKNOWN = "und"
 SAMPLE, DIM, CLUSTERS, ROUNDS = 400, 8192, 3, 8
 #: A document of at least JUDGED letters is rejected below FAR times the low quantile of training cosines.
@@ -132,6 +134,7 @@ def train(docs: DataFrame) -> Model:
 def predicted(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
     """The columns ``keep`` (default doc_id) and lang_pred, score, rejected for every row of docs."""
     keep = keep or ["doc_id"]
+    small_batches(docs.sparkSession)
     model = docs.sparkSession.sparkContext.broadcast(train(docs))
 
     @F.pandas_udf("lang_pred string, score double, rejected boolean")

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkernels as K
-from .common import broadcast_if_small, stored
+from .common import broadcast_if_small, small_batches, stored
 from .components import components
 
 HALVES, ROWS = 11, 2
@@ -146,6 +146,7 @@ def block_links(members: DataFrame, sets: DataFrame) -> DataFrame:
 
 def classes(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, kept, and set_key for every row of docs."""
+    small_batches(docs.sparkSession)
     rows = stored(signatures(docs))
     nodes = stored(rows.where("doc_id is not null and n_shingles > 0").groupBy("set_key").agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("n"), F.first("halves").alias("halves")))
     keyed = table_keys(nodes)

@@ -30,14 +30,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, stored
+from .common import broadcast_if_small, small_batches, stored
 
 WINDOW = 2048
 #: Tokens of padding per window that a multiset may leave.
 SLACK = 16
 END_ID = 1
 #: Distinct space-separated chunks whose ids a worker remembers, and documents handled at a time.
-CACHE, GROUP = 600_000, 256
+CACHE, GROUP = 200_000, 256
 
 
 def default_vocabulary() -> str:
@@ -65,7 +65,8 @@ class ChunkTokenizer:
         import regex
         from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
-        self.whole = Tokenizer.from_file(path)
+        self.load = lambda: Tokenizer.from_file(path)
+        self.whole = None
         self.words = Tokenizer.from_file(path)
         self.words.normalizer = normalizers.Sequence([])
         self.words.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
@@ -91,6 +92,7 @@ class ChunkTokenizer:
         chunks, new = {}, set()
         for i, text in enumerate(texts):
             if self.unusual(text):
+                self.whole = self.whole or self.load()
                 out[i] = np.array(self.whole.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
             else:
                 chunks[i] = text.lower().split()
@@ -272,6 +274,7 @@ def pack(docs: DataFrame, path: str | None = None) -> DataFrame:
     """Per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
     path = path or default_vocabulary()
     spark = docs.sparkSession
+    small_batches(spark)
     made = pieces(docs, path)
     histogram = {r["length"]: r["count"] for r in made.groupBy("length").count().collect()}  # WINDOW rows at most
     uses, tails, first_cut = plan(histogram)

@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, stored
+from .common import broadcast_if_small, small_batches, stored
 
 BLOCK, LEVELS, TIERS = 8192, 64, 24
 BLOCKS = "block long, dim int, n int, ids binary, vectors binary, levels binary, postings binary, bounds binary"
@@ -151,6 +151,7 @@ def _search(k: int):
 
 def top_k(table: DataFrame, k: int = 10, every: int = 100, scale: int = 1024) -> DataFrame:
     """query_id, rank, vec_id, score for each row whose vec_id is divisible by ``every``, against all other rows."""
+    small_batches(table.sparkSession)
     index = stored(quantised(table, scale).mapInPandas(_index, BLOCKS))
     queries = stored(index.select("block", "dim", "n", "ids", "vectors").mapInPandas(_queries_of(every), QUERIES))
     size = queries.agg(F.count("*"), F.coalesce(F.max(F.length("q_vectors")), F.lit(0))).first()

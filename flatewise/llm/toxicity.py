@@ -28,10 +28,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import small_batches
+
 SAMPLE, GRAM, RATIO, LEAST_DOCS = 3000, 5, 40.0, 4
 ORDINARY_CHARS, TOXIC_CHARS = 60_000, 30_000
 CUTS, COMPRESSED, PRIOR_WINDOWS, FALSE_ALARMS = (1, 2, 3, 4, 6, 8, 10), 0.75, 10, 0.01
-CACHE = 500_000
+CACHE = 250_000
 
 _WORD = re.compile(r"[^\W\d_]+")
 _CODES = np.random.default_rng(11).integers(0, 1 << 32, 0x110000, dtype=np.uint32)
@@ -185,6 +187,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
 
 def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id and score for every row of docs."""
+    small_batches(docs.sparkSession)
     model = docs.sparkSession.sparkContext.broadcast(train(docs, labels))
 
     @F.pandas_udf("double")
