@@ -7,7 +7,7 @@ import tempfile
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: A side is broadcast only if its counted rows times this many bytes each stay below BROADCAST_BYTES.
@@ -103,3 +103,15 @@ def small_batches(spark: SparkSession) -> None:
     if rows <= 0 or rows > BATCH_ROWS:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
+def lowest_hashes(rows: DataFrame, group: str, limit: int) -> DataFrame:
+    """At most ``limit`` of the rows (doc_id, group) per group, chosen by hash of doc_id alone.
+
+    A hash rule first thins each group to about twice the limit, by its counted size, so that no group, however large,
+    is ranked as a whole; then the lowest hashes are taken."""
+    sizes = rows.groupBy(group).agg(F.count("*").alias("size_"))
+    every = F.greatest(F.lit(1), F.floor(F.col("size_") / (2 * limit)))
+    thin = rows.join(broadcast_if_small(sizes, 64), group).where(F.pmod(F.xxhash64("doc_id"), every) == 0)
+    rank = F.row_number().over(Window.partitionBy(group).orderBy(F.xxhash64("doc_id"), "doc_id"))
+    return thin.withColumn("rank_", rank).where(F.col("rank_") <= limit).select("doc_id", group)

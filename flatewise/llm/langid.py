@@ -18,10 +18,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import lowest_hashes, small_batches
 
 UNKNOWN = "und"
 SAMPLE, DIM, CLUSTERS, ROUNDS = 400, 8192, 3, 8
@@ -124,8 +124,7 @@ def held_out(doc_id: Column) -> Column:
 def train(docs: DataFrame) -> Model:
     """Fit on the bounded sample. Only ids are ranked; texts are read for the chosen ones alone."""
     labelled = docs.select("doc_id", "lang").where(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & ~held_out(F.col("doc_id"))).distinct()
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    chosen = labelled.withColumn("rank", rank).where(F.col("rank") <= SAMPLE).select("doc_id", "lang")
+    chosen = lowest_hashes(labelled, "lang", SAMPLE)
     picked = docs.select("doc_id", "lang", "text").where("text is not null").join(F.broadcast(chosen), ["doc_id", "lang"])  # SAMPLE rows a language
     rows = sorted((r["lang"], r["doc_id"], r["text"]) for r in picked.collect())
     return fit([(lang, text) for lang, _, text in rows])

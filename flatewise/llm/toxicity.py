@@ -25,10 +25,10 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import lowest_hashes, small_batches
 
 SAMPLE, GRAM, RATIO, LEAST_DOCS = 3000, 5, 40.0, 4
 ORDINARY_CHARS, TOXIC_CHARS = 60_000, 30_000
@@ -178,8 +178,7 @@ def held_out(doc_id: Column) -> Column:
 def train(docs: DataFrame, labels: DataFrame) -> Model:
     """Fit on the bounded sample. Only ids are ranked; texts are read for the chosen ones alone."""
     labelled = labels.select("doc_id", "toxic").where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    rank = F.row_number().over(Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    chosen = labelled.withColumn("rank", rank).where(F.col("rank") <= SAMPLE).select("doc_id", "toxic")
+    chosen = lowest_hashes(labelled, "toxic", SAMPLE)
     picked = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(chosen), "doc_id")  # 2 * SAMPLE rows
     rows = sorted({(r["doc_id"], r["toxic"], r["text"]) for r in picked.collect()})
     return fit([(y, t) for _, y, t in rows])
