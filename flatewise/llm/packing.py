@@ -36,8 +36,8 @@ WINDOW = 2048
 #: Tokens of padding per window that a multiset may leave.
 SLACK = 16
 END_ID = 1
-#: Distinct space-separated chunks whose ids a worker remembers, and documents handled at a time.
-CACHE, GROUP = 200_000, 256
+#: Distinct chunks and words whose ids a worker remembers, and documents handled at a time.
+CACHE, GROUP = 400_000, 256
 
 
 def default_vocabulary() -> str:
@@ -87,8 +87,6 @@ class ChunkTokenizer:
     def __call__(self, texts: list[str]) -> list[bytes]:
         out: list[bytes] = [b""] * len(texts)
         known = self.known
-        if len(known) > CACHE:
-            known.clear()
         chunks, new = {}, set()
         for i, text in enumerate(texts):
             if self.unusual(text):
@@ -97,15 +95,23 @@ class ChunkTokenizer:
             else:
                 chunks[i] = text.lower().split()
                 new.update([c for c in chunks[i] if c not in known])
-        compound = {c: self.split(c) for c in new if not c.isalpha()}
+        compound = {}
+        for c in new:
+            if not c.isalpha():
+                core = c.rstrip(".,;:!?")
+                compound[c] = [core, c[len(core) :]] if core.isalpha() else self.split(c)
         words = {c for c in new if c not in compound}
         words.update(w for parts in compound.values() for w in parts if w not in known)
-        self._learn(list(words))
+        fresh = list(words)
+        self._learn(fresh)
         get = known.__getitem__
         for c, parts in compound.items():
             known[c] = b"".join(map(get, parts))
         for i, parts in chunks.items():
             out[i] = b"".join(map(get, parts))
+        if len(known) > CACHE:  # the earliest, mostly frequent ones stay
+            for c in (*fresh, *compound):
+                known.pop(c, None)
         return out
 
 
