@@ -31,6 +31,8 @@ from .components import components
 
 HALVES, ROWS = 11, 2
 SMALL, BLOCK, GROUP = 16, 512, 128
+#: Shingles of a block's sets, so that blocks of long texts have fewer sets.
+BLOCK_SHINGLES = 1 << 18
 PERCENT = 80
 
 
@@ -132,8 +134,9 @@ def _links(rows: pd.DataFrame) -> pd.DataFrame:
 
 
 def block_links(members: DataFrame, sets: DataFrame) -> DataFrame:
-    """Links between components inside groups. members: node, component, group."""
-    sizes = members.groupBy("group").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    """Links between components inside groups. members: node, n, component, group."""
+    blocks = F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int")
+    sizes = members.groupBy("group").agg(blocks.alias("blocks"))
     own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     placed = members.join(sizes, "group").withColumn("side", own)
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
@@ -166,7 +169,7 @@ def classes(docs: DataFrame) -> DataFrame:
     pairs = a.join(b, "key").where(near).select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
     many = open_members.where(F.col("members") > SMALL)
     groups = components(many.select(F.col("node").alias("a"), F.col("first_node").alias("b")))
-    grouped = many.select("node", "component").distinct().join(groups.select("node", F.col("component").alias("group")), "node")
+    grouped = many.select("node", "n", "component").distinct().join(groups.select("node", F.col("component").alias("group")), "node")
     late = confirmed(pairs, sets).unionByName(block_links(stored(grouped), sets))
     known = first.select(F.col("node").alias("a"), F.col("component").alias("b"))
     final = stored(components(known.unionByName(late)))
