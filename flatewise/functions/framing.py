@@ -94,15 +94,28 @@ def _times(matrix: list[int], vector: int) -> int:
     return out
 
 
+def _zero_steps() -> list[list[int]]:
+    """The operators for 1, 2, 4, ... zero bits after a checksum; each is the square of the one before."""
+    step = [0xEDB88320] + [1 << i for i in range(31)]
+    out = []
+    for _ in range(67):
+        out.append(step)
+        step = [_times(step, column) for column in step]
+    return out
+
+
+_STEPS = _zero_steps()
+
+
 def crc32_combine(first: int, second: int, n_second: int) -> int:
     """CRC-32 of a concatenation from its parts' and the second part's length: first is advanced by n_second zero bytes.
 
-    Advancing is linear over GF(2); the operator for one zero bit is squared for each binary digit of the bit count."""
-    step = [0xEDB88320] + [1 << i for i in range(31)]
+    Advancing is linear over GF(2), so it is one matrix product for each binary digit of the number of bits."""
     bits = n_second * 8
-    while bits:
+    for step in _STEPS:
+        if not bits:
+            break
         if bits & 1:
             first = _times(step, first)
-        step = [_times(step, column) for column in step]
         bits >>= 1
     return first ^ second

@@ -126,13 +126,13 @@ def compress_independent(streams: DataFrame, level: Column, size: Column) -> Dat
 
 def compress_chained(streams: DataFrame, level: Column, size: Column) -> DataFrame:
     """stream_id, payload: one member whose blocks refer to the 32 KiB before them."""
-    blocks = split(streams.select("stream_id", "content"), size)
-    coded = blocks.select("stream_id", "block_idx", encode_chained("data", "dictionary", level, "is_last").alias("body"), F.crc32("data").alias("crc"), F.length("data").cast("long").alias("n"))
-    parts = coded.groupBy("stream_id").agg(merged("body", "block_idx").alias("body"))
-    sums = coded.select("stream_id", "block_idx", "crc", "n").groupBy("stream_id").agg(combined_crc32("block_idx", "crc", "n").alias("crc"))
-    sizes = streams.select("stream_id", F.length("content").cast("long").alias("n"))
+    # the whole's checksum and size ride along with its blocks; combined_crc32 is for streams that lie in several rows
+    whole = streams.select("stream_id", "content", F.crc32("content").alias("crc"), F.length("content").cast("long").alias("n"))
+    blocks = split(whole, size)
+    coded = blocks.select("stream_id", "block_idx", "crc", "n", encode_chained("data", "dictionary", level, "is_last").alias("body"))
+    parts = coded.groupBy("stream_id").agg(merged("body", "block_idx").alias("body"), F.first("crc").alias("crc"), F.first("n").alias("n"))
     le = lambda v: F.concat(*[F.unhex(F.lpad(F.hex(F.shiftright(v, 8 * i).bitwiseAND(F.lit(255))), 2, "0")) for i in range(4)])
-    return parts.join(sums, "stream_id").join(sizes, "stream_id").select("stream_id", F.concat(F.lit(framing.PLAIN_HEADER), F.col("body"), le(F.col("crc")), le(F.col("n"))).alias("payload"))
+    return parts.select("stream_id", F.concat(F.lit(framing.PLAIN_HEADER), F.col("body"), le(F.col("crc")), le(F.col("n"))).alias("payload"))
 
 
 def compress(streams: DataFrame, level: int = 6, threads: int = 4, cores: int = 8) -> DataFrame:

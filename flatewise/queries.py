@@ -24,7 +24,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return files.from_text(table(spark, sf_dir, "documents"), "doc_id", F.coalesce("text", F.lit("")))
+    return files.spread(files.from_text(table(spark, sf_dir, "documents"), "doc_id", F.coalesce("text", F.lit(""))), "stream_id")
 
 
 def conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,7 +57,7 @@ def roundtrip_chained(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def roundtrip_single(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = files.from_text(table(spark, sf_dir, "pages"), "page_id", F.coalesce("html", F.lit("")))
+    pages = files.spread(files.from_text(table(spark, sf_dir, "pages"), "page_id", F.coalesce("html", F.lit(""))), "stream_id")
     packed = pages.select("stream_id", codec.encode_single("content", F.lit(9)).alias("content"))
     return _digest(index.decompress(packed))
 

@@ -30,6 +30,13 @@ def from_text(rows: DataFrame, stream_id: str, text: Column | str) -> DataFrame:
     return rows.select(F.col(stream_id).cast("long").alias("stream_id"), F.encode(text, "UTF-8").alias("content"))
 
 
+def spread(rows: DataFrame, key: str) -> DataFrame:
+    """rows dealt out by key if they come in fewer partitions than the cluster has cores (as one small file does);
+    unchanged, without a shuffle, otherwise."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores, key) if rows.rdd.getNumPartitions() < cores else rows
+
+
 def result_files(spark: SparkSession, path: str) -> DataFrame:
     """Results in all JSON files under path: a list, or an object with results, benchmarks, compression or decompression.
 
