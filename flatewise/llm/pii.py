@@ -81,7 +81,7 @@ def _few_digits(least: int, most: int):
 
 def find_all(text: Column) -> Column:
     """Every confirmed span of the text before context is looked at."""
-    octets = lambda v: F.forall(F.split(v, r"\."), lambda p: (F.length(F.ltrim(F.lit("0"), p)) <= 3) & (F.lpad(F.right(p, F.lit(3)), 3, "0") <= "255"))
+    octets = lambda v: F.forall(F.split(v, r"\."), lambda p: (F.length(F.ltrim(p, F.lit("0"))) <= 3) & (F.lpad(F.right(p, F.lit(3)), 3, "0") <= "255"))
     return F.concat(
         S.find(text, "email", 0, EMAIL, lambda _: F.lit(True), F.contains(text, F.lit("@")) & text.rlike(EMAIL)),
         S.find(text, "ip", 1, IP, octets),

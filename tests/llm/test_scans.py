@@ -70,6 +70,15 @@ def test_base_spans_stay(spark):
             assert all(kinds.count(k) == r[f"n_{k}"] for k in NAMES[module])
 
 
+LONG_PARTS = [(1, "1.2020.3.4"), (2, "10.1255.0.1 and 10.0.0.1"), (3, "1255.1.1.1"), (4, "0000255.1.1.1"), (5, "0000256.1.1.1 1.1.1.00001000"), (6, "00000.0000.0.0")]
+
+
+def test_parts_of_many_digits_are_no_ip(spark):
+    check(spark, LONG_PARTS, pii, brute.pii, NAMES[pii])
+    rows = pii.detect(spark.createDataFrame(LONG_PARTS, "doc_id long, text string")).select("doc_id", pii.redact(F.col("text"), F.col("pii")).alias("t")).orderBy("doc_id").collect()
+    assert [r["t"] for r in rows] == ["1.2020.3.4", "10.1255.0.1 and <ip>", "1255.1.1.1", "<ip>", "0000256.1.1.1 1.1.1.00001000", "<ip>"]
+
+
 def test_iban_and_context(spark):
     got = {r["doc_id"]: r for r in pii.digest(spark.createDataFrame([(1, "iban DE89 3704 0044 0532 0130 00"), (2, "DE89 3704 0044 0532 0130 01"), (3, "my ssn is 123-45-6789"), (4, "part 123-45-6789")], "doc_id long, text string")).collect()}
     assert (got[1]["spans"], got[2]["spans"], got[3]["spans"], got[4]["spans"]) == ("iban:5:32", "", "ssn:10:21", "")
