@@ -21,11 +21,18 @@ EMAIL = rf"(?:\G|(?<!{_LOCAL})){_LOCAL}++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
 IP = r"(?:\G|(?<![0-9]))[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 CARD = r"[0-9](?:[\x20-]?[0-9]){13,}+"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
-IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"
+#: Takes an IBAN's first four characters; group 1 is all that may follow, so that one start can't hide the next.
+IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?=((?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?)(?![A-Za-z0-9]))"
+#: Characters of an IBAN by country, as registered.
+IBAN_LENGTHS = (
+    "AD24 AE23 AL28 AT20 AZ28 BA20 BE16 BG22 BH22 BI27 BR29 BY28 CH21 CR22 CY28 CZ24 DE22 DJ27 DK18 DO28 EE20 EG29 ES24 FI18 FK18 FO18 FR27 GB22 GE22 GI23 "
+    "GL18 GR27 GT28 HR21 HU28 IE22 IL23 IQ23 IS26 IT27 JO30 KW30 KZ20 LB28 LC32 LI21 LT20 LU20 LV21 LY25 MC27 MD24 ME22 MK19 MR27 MT31 MU30 NI28 NL18 NO15 "
+    "OM23 PK24 PL28 PS29 PT25 QA29 RO24 RS22 RU33 SA24 SC31 SD18 SE24 SI19 SK24 SM27 SO23 ST25 SV28 TL23 TN24 TR26 UA29 VA22 VG24 XK20"
+)
 SSN = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
 KINDS = ("email", "ip", "card", "phone", "iban", "ssn")
 
-#: Prior score of a confirmed span, and words whose presence within WINDOW characters before it adds BOOST.
+#: Prior score of a confirmed span, and words whose presence within WINDOW characters on either side adds BOOST.
 PRIOR = {"email": 0.9, "ip": 0.6, "card": 0.8, "phone": 0.7, "iban": 0.95, "ssn": 0.3}
 CONTEXT = {
     "email": "mail|contact|address|write",
@@ -79,6 +86,28 @@ def _few_digits(least: int, most: int):
     return lambda v: F.length(digits(v)).between(least, most)
 
 
+def ibans(text: Column) -> Column:
+    """Spans of IBANs: what may follow a start is cut at the blank where the country's length is reached, or else taken whole."""
+    lengths = F.create_map(*[F.lit(x) for e in IBAN_LENGTHS.split() for x in (e[:2], int(e[2:]))])
+
+    def confirmed(s: Column, whole: Column) -> Column:
+        size = F.try_element_at(lengths, F.left(whole, F.lit(2)))
+        ends = F.filter(upto(F.length(whole) + 1), lambda i: (i == F.length(whole)) | (F.substr(whole, i + 1, F.lit(1)) == " "))
+        own = F.filter(ends, lambda i: F.length(F.replace(F.substr(whole, F.lit(1), i), F.lit(" "), F.lit(""))) == size)
+        cuts = F.transform(F.array_distinct(F.concat(own, F.array(F.length(whole)))), lambda i: F.substr(whole, F.lit(1), i))
+        valid = F.filter(cuts, lambda v: let(F.replace(v, F.lit(" "), F.lit("")), lambda w: F.length(w).between(15, 34) & mod97(w)))
+        stop = lambda v: (s["start"] + F.length(v)).cast("int").alias("stop")
+        return F.transform(F.slice(valid, 1, 1), lambda v: F.struct(s["start"].alias("start"), s["ord"].alias("ord"), stop(v), s["kind"].alias("kind"), v.alias("value")))
+
+    def each(x: Column) -> Column:
+        found = F.flatten(F.transform(x["heads"], lambda s, i: let(F.concat(s["value"], F.get(x["tails"], i)), lambda whole: confirmed(s, whole)))).cast(S.SPAN)
+        # what lies wholly within the one before it tells nothing more
+        return F.filter(found, lambda s, i: F.coalesce(F.get(found, i - 1)["stop"] < s["stop"], F.lit(True)))
+
+    parts = F.struct(S.find(text, "iban", 4, IBAN, lambda _: F.lit(True), F.lit(True)).alias("heads"), F.regexp_extract_all(text, F.lit(IBAN), F.lit(1)).alias("tails"))
+    return F.when(text.rlike(IBAN), let(parts, each)).otherwise(F.array()).cast(S.SPAN)
+
+
 def find_all(text: Column) -> Column:
     """Every confirmed span of the text before context is looked at."""
     octets = lambda v: F.forall(F.split(v, r"\."), lambda p: (F.length(F.ltrim(p, F.lit("0"))) <= 3) & (F.lpad(F.right(p, F.lit(3)), 3, "0") <= "255"))
@@ -87,21 +116,22 @@ def find_all(text: Column) -> Column:
         S.find(text, "ip", 1, IP, octets),
         S.find(text, "card", 2, CARD, lambda v: _few_digits(14, 19)(v) & luhn(digits(v))),
         S.find(text, "phone", 3, PHONE, _few_digits(10, 15), F.contains(text, F.lit("+")) & text.rlike(PHONE)),
-        S.find(text, "iban", 4, IBAN, lambda v: let(F.regexp_replace(v, " ", ""), lambda w: F.length(w).between(15, 34) & mod97(w))),
+        ibans(text),
         S.find(text, "ssn", 5, SSN, lambda v: ~v.rlike("^(?:000|666|9..)|-00-|0000$")),
     )
 
 
 def scored(text: Column, found: Column) -> Column:
-    """[(span, score)]: the kind's prior, raised where one of its context words stands shortly before the span."""
+    """[(span, score)]: the kind's prior, raised where one of its context words stands shortly before or after the span."""
 
     def one(s: Column) -> Column:
         start = F.greatest(F.lit(0), s["start"] - WINDOW)
         before = F.lower(F.substr(text, start + 1, s["start"] - start))
+        after = F.lower(F.substr(text, s["stop"] + 1, F.lit(WINDOW)))
         prior, near = F.lit(0.0), F.lit(False)
         for kind in KINDS:
             prior = F.when(s["kind"] == kind, F.lit(PRIOR[kind])).otherwise(prior)
-            near = F.when(s["kind"] == kind, before.rlike(rf"\b(?:{CONTEXT[kind]})")).otherwise(near)
+            near = F.when(s["kind"] == kind, before.rlike(rf"\b(?:{CONTEXT[kind]})") | after.rlike(rf"\b(?:{CONTEXT[kind]})")).otherwise(near)
         return F.struct(s.alias("span"), F.least(F.lit(1.0), prior + F.when(near, BOOST).otherwise(0.0)).alias("score"))
 
     kept = F.transform(F.array_sort(found), one)

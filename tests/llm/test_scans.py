@@ -84,6 +84,24 @@ def test_iban_and_context(spark):
     assert (got[1]["spans"], got[2]["spans"], got[3]["spans"], got[4]["spans"]) == ("iban:5:32", "", "ssn:10:21", "")
 
 
+IBANS = [
+    ("ES9121000418450200051332 BIC", "iban:0:24", "<iban> BIC"),
+    ("AT61 1904 3002 3457 3201 ABCD EFGH12 x", "iban:0:24", "<iban> ABCD EFGH12 x"),
+    ("SE4550000000058398257466 DE89370400440532013000", "iban:0:24,iban:25:47", "<iban> <iban>"),
+    ("AB12 CDEF GHIJ ES91 2100 0418 4502 0005 1332 BIC", "iban:15:44", "AB12 CDEF GHIJ <iban> BIC"),
+    ("ES91 2100 0418 4502 0005 1334 BIC", "", "ES91 2100 0418 4502 0005 1334 BIC"),
+    ("123-45-6789 (SSN)", "ssn:0:11", "<ssn> (SSN)"),
+    ("123-45-6789 (part)", "", "123-45-6789 (part)"),
+]
+
+
+def test_iban_before_capitals_and_context_behind(spark):
+    df = spark.createDataFrame([(i, t) for i, (t, *_) in enumerate(IBANS)], "doc_id long, text string")
+    assert [r["spans"] for r in pii.digest(df).orderBy("doc_id").collect()] == [s for _, s, _ in IBANS]
+    rows = pii.detect(df).select("doc_id", pii.redact(F.col("text"), F.col("pii")).alias("t")).orderBy("doc_id").collect()
+    assert [r["t"] for r in rows] == [t for *_, t in IBANS]
+
+
 def test_redaction(spark):
     df = spark.createDataFrame([(1, "to a@b.co and +1 555 123 4567."), (2, "none"), (3, None)], "doc_id long, text string")
     rows = pii.detect(df).select("doc_id", pii.redact(F.col("text"), F.col("pii")).alias("t")).orderBy("doc_id").collect()
