@@ -19,20 +19,31 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return langid.predicted(docs, COLUMNS).where(~F.col("rejected")).select(*COLUMNS)
 
 
+def keyed(docs: DataFrame, keys: DataFrame, how: str) -> DataFrame:
+    """docs joined with the documents of keys (doc_id, text_key): equal keys mean equal text and equal, or equally no, doc_id."""
+    same = F.col("d.doc_id").eqNullSafe(F.col("k.doc_id")) & (F.col("d.text_key") == F.col("k.text_key"))
+    rows = docs.select(*COLUMNS, F.xxhash64("text").alias("text_key")).alias("d")
+    return rows.join(broadcast_if_small(keys, 24).alias("k"), same, how).select("d.*")
+
+
 def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """docs less the rows whose doc_id is in gone; rows without doc_id stay."""
-    return docs.join(broadcast_if_small(gone, 16), "doc_id", "left_anti").select(*COLUMNS)
+    """docs less the documents of gone (doc_id, text_key)."""
+    return keyed(docs, gone, "left_anti").select(*COLUMNS)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near duplicates stays, the one with the smallest doc_id."""
-    return without(docs, stored(near_dup.classes(docs).where(~F.col("kept")).select("doc_id").distinct()))
+    """One document of each class of near duplicates stays, the one with the smallest doc_id; of its repeated rows, one."""
+    gone, repeated = near_dup.surplus(docs)
+    if repeated.isEmpty():
+        return without(docs, gone)
+    once = keyed(docs, repeated, "left_semi").dropDuplicates(["doc_id", "text_key"]).select(*COLUMNS)
+    return without(docs, gone.unionByName(repeated)).unionByName(once)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a passage of a benchmark item go."""
     hits = decontaminate.contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return without(docs, stored(hits.where("n_hit > 0 and doc_id is not null").select("doc_id").distinct()))
+    return without(docs, stored(hits.where("n_hit > 0").select("doc_id", "text_key").distinct()))
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

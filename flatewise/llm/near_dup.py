@@ -10,19 +10,23 @@ different components still need comparison: buckets of at most SMALL members giv
 ones are joined into groups and compared in blocks of BLOCK sets, which emit only links that connect components. So each
 link between documents that share a key is either found or not needed. Links count only if confirmed on the whole sets.
 
+Nodes are named by their sets, and documents by doc_id and the hash of their text, so that a repeated doc_id mixes nothing.
+
 Defined results: null or blank text has an empty set, is linked with nothing and is kept; a row without doc_id takes no
-part in links (component null, kept); rows that repeat a doc_id are judged by their own texts.
+part in links (component null, kept); rows that repeat a doc_id are judged by their own texts. surplus() also judges rows
+without doc_id, which come after all others.
 """
 
 from __future__ import annotations
 
+import ctypes
 import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textkernels as K
@@ -36,10 +40,17 @@ BLOCK_SHINGLES = 1 << 18
 PERCENT = 80
 
 
+def _release() -> None:
+    """Give freed memory back, since idle workers live on beside the next operator's."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
 # ---- signatures
 
-_SIGNATURE = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("set_key", pa.binary()), ("halves", pa.list_(pa.int64()))])
-SIGNATURE = "doc_id long, n_shingles long, set_key binary, halves array<long>"
+_SIGNATURE = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int64()), ("n_shingles", pa.int64()), ("set_key", pa.binary()), ("halves", pa.list_(pa.int64()))])
+SIGNATURE = "doc_id long, text_key long, n_shingles long, set_key binary, halves array<long>"
 
 
 def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -54,11 +65,13 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 for i, row in zip(full, K.half_keys(np.concatenate([sets[i] for i in full]), starts, HALVES, ROWS).view(np.int64)):
                     halves[i] = row
             keys = [hashlib.blake2b(x.tobytes(), digest_size=16).digest() for x in sets]
-            yield pa.RecordBatch.from_arrays([some.column(0), pa.array(sizes), pa.array(keys, pa.binary()), pa.array(halves, pa.list_(pa.int64()))], schema=_SIGNATURE)
+            yield pa.RecordBatch.from_arrays([some.column(0), some.column(2), pa.array(sizes), pa.array(keys, pa.binary()), pa.array(halves, pa.list_(pa.int64()))], schema=_SIGNATURE)
+            del some, sets, halves, keys
+        _release()
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_signatures, SIGNATURE)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_key")).mapInArrow(_signatures, SIGNATURE)
 
 
 def table_keys(nodes: DataFrame) -> DataFrame:
@@ -79,12 +92,16 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             some = batch.slice(at, GROUP)
             sets = [K.shingles(t).view(np.int64) for t in some.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([some.column(0), pa.array(sets, pa.list_(pa.int64()))], schema=_SETS)
+            del some, sets
+        _release()
 
 
 def sets_of(docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """node, shingles for the given nodes, from a second reading of their texts."""
-    texts = docs.select(F.col("doc_id").cast("long").alias("node"), "text").where("node is not null and text is not null")
-    return texts.join(broadcast_if_small(nodes, 16), "node", "left_semi").mapInArrow(_sets, "node long, shingles array<long>").where(F.size("shingles") > 0)
+    """node, shingles for the given nodes (node, first), from a second reading of their first documents' texts."""
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), "text").where("text is not null")
+    wanted = broadcast_if_small(nodes.select("node", F.col("first.doc_id").alias("doc"), F.col("first.text_key").alias("key")), 32)
+    read = texts.join(wanted, F.col("doc_id").eqNullSafe(F.col("doc")) & (F.col("text_key") == F.col("key"))).select("node", "text")
+    return read.mapInArrow(_sets, "node long, shingles array<long>").where(F.size("shingles") > 0)
 
 
 def similar(n_a, n_b, both):
@@ -147,15 +164,22 @@ def block_links(members: DataFrame, sets: DataFrame) -> DataFrame:
 # ---- the operator
 
 
-def classes(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept, and set_key for every row of docs."""
-    small_batches(docs.sparkSession)
-    rows = stored(signatures(docs))
-    nodes = stored(rows.where("doc_id is not null and n_shingles > 0").groupBy("set_key").agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("n"), F.first("halves").alias("halves")))
+def place() -> Column:
+    """What orders the documents of a class: the smallest doc_id first, no doc_id last."""
+    return F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_key")
+
+
+def named(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """set_key and first, the place() of the first document of its class, for the sets of rows (of signatures)."""
+    nodes = rows.where("n_shingles > 0").groupBy("set_key").agg(F.min(place()).alias("first"), F.first("n_shingles").alias("n"), F.first("halves").alias("halves"))
+    nodes = stored(nodes.withColumn("node", F.xxhash64("set_key")))
     keyed = table_keys(nodes)
     leaders = keyed.groupBy("key").agg(F.min(F.struct("node", "n")).alias("first"), F.count("*").alias("members")).where("members > 1")
     shared = stored(keyed.join(leaders, "key").select("key", "node", "n", F.col("first.node").alias("leader"), F.col("first.n").alias("leader_n"), "members"))
-    sets = stored(sets_of(docs, stored(shared.select("node").distinct())))
+    wanted = stored(nodes.join(shared.select("node").distinct(), "node", "left_semi").select("node", "first"))
+    sets = stored(sets_of(docs, wanted))
+    if sets.count() > wanted.count():  # repeated rows
+        sets = stored(sets.dropDuplicates(["node"]))
 
     stars = shared.where((F.col("node") != F.col("leader")) & may_be_similar(F.col("n"), F.col("leader_n"))).select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct()
     first = stored(components(stored(confirmed(stars, sets))))
@@ -174,12 +198,32 @@ def classes(docs: DataFrame) -> DataFrame:
     known = first.select(F.col("node").alias("a"), F.col("component").alias("b"))
     final = stored(components(known.unionByName(late)))
 
-    named = nodes.select("set_key", "node").join(final, "node", "left").select("set_key", F.coalesce("component", "node").alias("component"))
-    component = F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id"))
-    return rows.select("doc_id", "n_shingles", "set_key").join(named, "set_key", "left").select(
-        "doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), component).alias("component_id"), "set_key",
+    members = final.join(nodes.select("node", "set_key", "first"), "node")
+    leading = stored(members.groupBy("component").agg(F.min("first").alias("leading")))
+    led = members.join(broadcast_if_small(leading, 48), "component").select("set_key", "leading")
+    return nodes.select("set_key", "first").join(led, "set_key", "left").select("set_key", F.coalesce("leading", "first").alias("first"))
+
+
+def classes(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, component_id and kept for every row of docs."""
+    small_batches(docs.sparkSession)
+    rows = stored(signatures(docs))
+    sets = named(docs, rows.where("doc_id is not null"))
+    component = F.when(F.col("n_shingles") > 0, F.col("first.doc_id")).otherwise(F.col("doc_id"))
+    return rows.select("doc_id", "n_shingles", "set_key").join(sets, "set_key", "left").select(
+        "doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), component).alias("component_id"),
     ).select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
+def surplus(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, text_key) of the documents that are not the first of their class, and of the first ones that are repeated."""
+    small_batches(docs.sparkSession)
+    rows = stored(signatures(docs))
+    first = F.col("first.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("first.text_key") == F.col("text_key"))
+    judged = rows.where("n_shingles > 0").select("doc_id", "text_key", "set_key").join(named(docs, rows), "set_key").groupBy("doc_id", "text_key").agg(F.first(first).alias("is_first"), F.count("*").alias("n"))
+    judged = stored(judged.where("not is_first or n > 1"))
+    return judged.where("not is_first").select("doc_id", "text_key"), judged.where("is_first").select("doc_id", "text_key")
+
+
 def digest(docs: DataFrame) -> DataFrame:
     return classes(docs)

@@ -49,5 +49,37 @@ def test_stages(spark):
     verify(tokenizer, [(d, r["text"]) for d, r in after.items()], stages["pack"](spark, safe, SF).collect())
 
 
+def words(name, n=60):
+    return " ".join(f"{name}{i}" for i in range(n))
+
+
+def keys(df):
+    return sorted(((r["doc_id"], r["text"]) for r in df.collect()), key=str)
+
+
+def frame(spark, rows):
+    return spark.createDataFrame([(d, t, "en", "s", len(t)) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+
+
+def test_rows_without_id_and_with_repeated_ids(spark, tmp_path):
+    near = words("a", 59) + " z"
+    rows = [(1, words("a")), (None, words("a")), (None, near), (2, words("b")), (2, words("b")), (3, words("c")), (3, near), (None, words("d")), (None, words("d")), (None, words("e")), (4, words("f")), (4, words("f").upper())]
+    got = keys(C.drop_near_duplicates(spark, frame(spark, rows), SF))
+    f = [x for x in got if x[0] == 4]
+    assert len(f) == 1 and f[0] in rows
+    assert sorted(set(got) - set(f), key=str) == sorted([(1, words("a")), (2, words("b")), (3, words("c")), (None, words("d")), (None, words("e"))], key=str) and len(got) == 6
+
+    spark.createDataFrame([(1, words("q", 12))], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    rows = [(8, "x " + words("q", 12)), (8, words("c")), (None, words("q", 12)), (None, words("d")), (9, words("e"))]
+    assert keys(C.drop_contaminated(spark, frame(spark, rows), str(tmp_path))) == sorted([(8, words("c")), (None, words("d")), (9, words("e"))], key=str)
+
+
+def test_sets_of_one_id_are_told_apart(spark):
+    from flatewise.llm import near_dup
+
+    got = near_dup.digest(frame(spark, [(5, words("g")), (5, words("h", 50)), (4, words("g", 59) + " z"), (6, words("h", 49) + " z")])).collect()
+    assert {(r["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in got} == {(5, 59, 4, False), (5, 49, 5, True), (4, 59, 4, True), (6, 49, 5, False)}
+
+
 def test_run(spark):
     assert C.run(spark, SF).count() > 100
