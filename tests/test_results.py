@@ -66,3 +66,13 @@ def test_reports(spark):
     df = spark.createDataFrame([("b", 2.0), ("a", None)], "tool string, speed double")
     assert reports.markdown(df, ["tool"]).splitlines()[2:] == ["| a | - |", "| b | 2.00 |"]
     assert "<td>2.00</td>" in reports.html_table(df, ["tool"]) and "#" in reports.bars(df, "tool", "speed")
+
+
+def test_reports_hold_all_rows(spark):
+    from flatewise.sources import reports
+
+    rows = spark.range(1200).selectExpr("id as name", "cast(id as double) as value")
+    assert len(reports.markdown(rows, ["name"]).splitlines()) == 1202
+    assert reports.html_table(rows, ["name"]).count("<tr>") == 1201
+    assert len(reports.bars(rows, "name", "value").splitlines()) == 1200
+    assert len(reports.markdown(rows, ["name"], limit=3).splitlines()) == 5
