@@ -7,7 +7,7 @@ import tempfile
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 #: A side is broadcast only if its counted rows times this many bytes each stay below BROADCAST_BYTES.
@@ -105,13 +105,31 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
-def lowest_hashes(rows: DataFrame, group: str, limit: int) -> DataFrame:
-    """At most ``limit`` of the rows (doc_id, group) per group, chosen by hash of doc_id alone.
-
-    A hash rule first thins each group to about twice the limit, by its counted size, so that no group, however large,
-    is ranked as a whole; then the lowest hashes are taken."""
-    sizes = rows.groupBy(group).agg(F.count("*").alias("size_"))
-    every = F.greatest(F.lit(1), F.floor(F.col("size_") / (2 * limit)))
-    thin = rows.join(broadcast_if_small(sizes, 64), group).where(F.pmod(F.xxhash64("doc_id"), every) == 0)
-    rank = F.row_number().over(Window.partitionBy(group).orderBy(F.xxhash64("doc_id"), "doc_id"))
-    return thin.withColumn("rank_", rank).where(F.col("rank_") <= limit).select("doc_id", group)
+def hash_sample(rows: DataFrame, group: str, limit: int) -> DataFrame:
+    """About ``limit`` of the rows (doc_id, group) of each group, or all of a smaller one, chosen by hash of doc_id alone.
+
+    The share that stays follows from the group's counted size, so no group is ranked or gathered."""
+    sizes = rows.groupBy(F.col(group).alias("group_")).agg(F.count("*").alias("size_"))
+    kept = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < F.lit(float(1 << 30)) * limit / F.col("size_")
+    return rows.join(broadcast_if_small(sizes, 256), F.col(group) == F.col("group_")).where(kept).select("doc_id", group)
+
+
+def sampled_texts(docs: DataFrame, chosen: DataFrame, group: str, most_bytes: int) -> list[Row]:
+    """Rows (doc_id, group, text) of the chosen ones, sorted by group and hash of doc_id; one text per doc_id and group.
+
+    The driver first gets the texts' lengths, and then only texts that come to at most ``most_bytes`` a group."""
+    wanted = broadcast_if_small(stored(chosen.select(F.col("doc_id").alias("chosen_"), group)), 256)
+    texts = docs.select("doc_id", "text").where("text is not null")
+    found = stored(texts.join(wanted, F.col("doc_id") == F.col("chosen_")).groupBy("doc_id", group).agg(F.min("text").alias("text")))
+    place = F.xxhash64("doc_id").alias("place")
+    sizes = found.select("doc_id", group, place, F.octet_length("text").alias("size")).collect()
+    held: dict = {}
+    taken = []
+    for r in sorted(sizes, key=lambda r: (r[group], r["place"], r["doc_id"])):
+        if held.get(r[group], 0) + r["size"] <= most_bytes:
+            held[r[group]] = held.get(r[group], 0) + r["size"]
+            taken.append((r["doc_id"], r[group]))
+    if len(taken) < len(sizes):
+        keys = found.sparkSession.createDataFrame(taken, found.select("doc_id", group).schema)
+        found = found.join(F.broadcast(keys), ["doc_id", group])  # as many rows as were collected above
+    return sorted(found.select("doc_id", group, place, "text").collect(), key=lambda r: (r[group], r["place"], r["doc_id"]))

@@ -21,10 +21,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import lowest_hashes, small_batches
+from .common import hash_sample, sampled_texts, small_batches
 
 UNKNOWN = "und"
-SAMPLE, DIM, CLUSTERS, ROUNDS = 400, 8192, 3, 8
+SAMPLE, SAMPLE_BYTES, DIM, CLUSTERS, ROUNDS = 400, 4 << 20, 8192, 3, 8
 #: A document of at least JUDGED letters is rejected below FAR times the low quantile of training cosines.
 JUDGED, FAR, LOW_QUANTILE = 40, 0.5, 0.01
 
@@ -124,10 +124,8 @@ def held_out(doc_id: Column) -> Column:
 def train(docs: DataFrame) -> Model:
     """Fit on the bounded sample. Only ids are ranked; texts are read for the chosen ones alone."""
     labelled = docs.select("doc_id", "lang").where(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & ~held_out(F.col("doc_id"))).distinct()
-    chosen = lowest_hashes(labelled, "lang", SAMPLE)
-    picked = docs.select("doc_id", "lang", "text").where("text is not null").join(F.broadcast(chosen), ["doc_id", "lang"])  # SAMPLE rows a language
-    rows = sorted((r["lang"], r["doc_id"], r["text"]) for r in picked.collect())
-    return fit([(lang, text) for lang, _, text in rows])
+    rows = sampled_texts(docs, hash_sample(labelled, "lang", SAMPLE), "lang", SAMPLE_BYTES)
+    return fit([(r["lang"], r["text"]) for r in rows])
 
 
 def predicted(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:

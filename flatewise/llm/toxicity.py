@@ -1,19 +1,27 @@
 """Toxicity by compression distance: which of two zstandard dictionaries makes the windows of a text shorter.
 
-Training takes at most SAMPLE labelled documents per class (those whose id hashes lowest; a documented bound of the fit).
-Toxic text is first reduced to the pieces that mark it: character n-grams found in a toxic document RATIO times as often
-as in an ordinary one, joined where they touch. One dictionary holds those pieces, the other the ordinary documents'
-words. A window is a space-separated chunk of the text, with its letters recoded to four pseudo-random bytes each, which
-raises the resolution of compressed lengths from bytes to quarters of letters. Differences of lengths are remembered per
-distinct chunk in a bounded memory.
-
-A document's distance is the share of its windows that the toxic dictionary makes shorter by ``cut`` bytes or more (over
-its windows and a constant, so short texts need no less evidence). The cut and the threshold are calibrated on a quarter
-of the sample that the dictionaries have not seen, under a bound on false alarms.
-score = distance / (distance + threshold).
-
-Defined results: null or empty text scores 0; with only one class of labels, all score 0; repeated rows are scored each;
-a document's repeated labels count as toxic if any is; labels without doc_id are ignored.
+Dictionaries are trained on toxic and on ordinary documents apart, by one rule: the dictionary at a level holds the
+windows that at least that share of the class's words has (each word counted once a document), the most common ones
+last, where they are cheapest to refer to. A window is the opening of a word, of each of LENGTHS letters; words go on in
+pieces of PIECE letters, so whole texts are read. Letters are recoded to four pseudo-random bytes each, which raises the
+resolution of compressed lengths from bytes to quarters of letters.
+
+A window's distance at a pair of levels is its compressed length under the ordinary dictionary less that under the toxic
+one, if the latter compresses it at all. For every pair of PAIRS, length and cut of CUTS, the share of a document's words
+(each counted REPEATS times at most) with a window at or above the cut is one measure of the document, over its words and
+PRIOR more, so that short texts need no less evidence. A logistic regression of these measures calibrates how much each counts, and a threshold of best F1,
+under a bound on false alarms, is where the score is 0.5.
+
+Dictionaries of either half of the training sample are calibrated on the other half, and a document's score is the mean
+over both halves.
+
+Bounds of the fit: about SAMPLE labelled documents per class, chosen by hash of their id, and of those, in order of that
+hash, as many as come to SAMPLE_BYTES. Nothing else is bounded, and nothing at all when documents are scored.
+
+Defined results: a text without letters scores as one without any evidence, less than 0.5; where one class is absent from
+either half, all score 0; repeated rows are scored each; a document's repeated labels count as toxic if any is; labels
+without doc_id, or other than 0 and 1, are ignored; scores that tie are equal; empty tables give no rows; other columns
+than doc_id, text and toxic are not looked at. A very long text costs time in proportion, and the memory of its words.
 """
 
 from __future__ import annotations
@@ -28,147 +36,185 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import lowest_hashes, small_batches
+from .common import hash_sample, sampled_texts, small_batches
 
-SAMPLE, GRAM, RATIO, LEAST_DOCS = 3000, 5, 40.0, 4
-ORDINARY_CHARS, TOXIC_CHARS = 60_000, 30_000
-CUTS, COMPRESSED, PRIOR_WINDOWS, FALSE_ALARMS = (1, 2, 3, 4, 6, 8, 10), 0.75, 10, 0.01
-CACHE = 250_000
+SAMPLE, SAMPLE_BYTES = 3000, 16 << 20
+LENGTHS, PIECE = (3, 5, 7, 9), 9
+ORDINARY_LEVELS, TOXIC_LEVELS = (3e-5, 1e-4, 2e-4), (1e-4, 2e-4, 4e-4)
+#: Levels that are compared: (of the ordinary dictionary, of the toxic one).
+PAIRS = ((0, 0), (1, 0), (1, 1), (2, 1), (2, 2))
+CUTS, LEAST_DOCS, COMPRESSED, PRIOR = (3, 6, 9), 3, 0.75, 10
+#: A word counts at most so often in a document, or a line of junk that is repeated would outweigh all else.
+REPEATS = 2
+PENALTY, FALSE_ALARMS = 5.0, 0.005
+CACHE = 400_000
+MEASURES = len(PAIRS) * len(LENGTHS) * len(CUTS)
 
 _WORD = re.compile(r"[^\W\d_]+")
 _CODES = np.random.default_rng(11).integers(0, 1 << 32, 0x110000, dtype=np.uint32)
 
 
-def words(text: str) -> list[str]:
-    return _WORD.findall(text.lower())
+def words(text: str | None) -> list[str]:
+    return _WORD.findall(text.lower()) if text else []
 
 
-def grams(word: str) -> list[str]:
-    marked = f" {word} "
-    return [marked[i : i + GRAM] for i in range(max(1, len(marked) - GRAM + 1))]
+def windows(word: str) -> list[tuple[int, str]]:
+    """(length class, window) of a word: openings of its pieces, with a blank where the word begins or ends."""
+    out = []
+    for at in range(0, len(word), PIECE):
+        piece, blank = word[at : at + PIECE], "" if at else " "
+        for i, n in enumerate(LENGTHS):
+            if len(piece) <= n:
+                out.append((i, blank + piece + (" " if at + PIECE >= len(word) else "")))
+                break
+            out.append((i, blank + piece[:n]))
+    return out
 
 
 def recoded(s: str) -> bytes:
     return _CODES[np.frombuffer(s.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)].tobytes()
 
 
-def marks(word: str, toxic: set[str]) -> list[str]:
-    """The parts of a word, with its borders, that toxic n-grams cover."""
-    marked = f" {word} "
-    covered = [False] * len(marked)
-    for i, g in enumerate(grams(word)):
-        if g in toxic:
-            covered[i : i + len(g)] = [True] * len(g)
-    out, start = [], None
-    for i, c in enumerate([*covered, False]):
-        if c and start is None:
-            start = i
-        elif not c and start is not None:
-            out.append(marked[start:i])
-            start = None
-    return out
+def contents(texts: list[str], levels: tuple[float, ...]) -> list[bytes]:
+    """What the dictionaries of a class hold, one per level."""
+    spoken: Counter = Counter()
+    for t in texts:
+        spoken.update(set(words(t)))
+    found: Counter = Counter()
+    for w, n in spoken.items():
+        for _, window in windows(w):
+            found[window] += n
+    total, rising = sum(spoken.values()), sorted(found.items(), key=lambda x: (x[1], x[0]))
+    return [recoded("".join(w for w, n in rising if n >= max(LEAST_DOCS, level * total))) for level in levels]
 
 
 @dataclass
-class Model:
-    ordinary: bytes = b""
-    toxic: bytes = b""
-    threshold: float = 0.0
-    cut: int = 0
-    known: dict = field(default_factory=dict, repr=False)
+class Half:
+    """Both classes' dictionaries, from half of the sample, and the weights that the other half gives to the measures."""
+
+    ordinary: list[bytes]
+    toxic: list[bytes]
+    weights: np.ndarray = field(default_factory=lambda: np.zeros(MEASURES))
+    offset: float = 0.0
+    of_words: dict = field(default_factory=dict, repr=False)
+    of_windows: dict = field(default_factory=dict, repr=False)
     compressors: tuple = field(default=(), repr=False)
 
     def __getstate__(self) -> dict:
-        return {"ordinary": self.ordinary, "toxic": self.toxic, "threshold": self.threshold, "cut": self.cut, "known": {}, "compressors": ()}
+        return self.__dict__ | {"of_words": {}, "of_windows": {}, "compressors": ()}
 
-    def _compressor(self, content: bytes):
+    @staticmethod
+    def _compressor(content: bytes):
         import zstandard as z
 
-        how = z.ZstdCompressionParameters(strategy=z.STRATEGY_BTLAZY2, target_length=0, min_match=6, hash_log=17, window_log=20, chain_log=18, search_log=6, write_content_size=False, write_checksum=False, write_dict_id=False)
+        how = z.ZstdCompressionParameters(strategy=z.STRATEGY_BTLAZY2, target_length=0, min_match=6, hash_log=17, window_log=22, chain_log=19, search_log=7, write_content_size=False, write_checksum=False, write_dict_id=False)
+        if len(content) < 8:  # too little for a dictionary
+            return z.ZstdCompressor(compression_params=how).compress
         dictionary = z.ZstdCompressionDict(content, dict_type=z.DICT_TYPE_RAWCONTENT)
         dictionary.precompute_compress(compression_params=how)
         return z.ZstdCompressor(dict_data=dictionary, compression_params=how).compress
 
-    def difference(self, chunk: str) -> int:
-        """Bytes by which the toxic dictionary makes the chunk's letters shorter than the ordinary one; 0 where it does
-        not make them much shorter at all."""
-        text = " " + " ".join(_WORD.findall(chunk)) + " "
-        data = recoded(text)
-        plain, toxic = self.compressors
-        under_toxic = len(toxic(data))
-        return len(plain(data)) - under_toxic if under_toxic <= COMPRESSED * len(data) else 0
-
-    def differences(self, text: str | None) -> np.ndarray:
-        """One difference per window."""
-        if not self.toxic or not text:
-            return np.zeros(0, dtype=np.int16)
+    def _of_window(self, length: int, window: str) -> tuple[int, ...]:
+        data = recoded(window)
+        toxic = [len(c(data)) for c in self.compressors[1]]
+        if min(toxic) > COMPRESSED * len(data):
+            return ()
+        ordinary = [len(c(data)) for c in self.compressors[0]]
+        return tuple(
+            (i * len(LENGTHS) + length) * len(CUTS) + j
+            for i, (a, b) in enumerate(PAIRS)
+            if toxic[b] <= COMPRESSED * len(data)
+            for j, cut in enumerate(CUTS)
+            if ordinary[a] - toxic[b] >= cut
+        )
+
+    def _of_word(self, word: str) -> tuple[int, ...]:
+        out: tuple[int, ...] = ()
+        for key in windows(word):
+            if key not in self.of_windows:
+                self.of_windows[key] = self._of_window(*key)
+            out += self.of_windows[key]
+        return out
+
+    def measures(self, spoken: Counter) -> np.ndarray:
+        """The measures of a document from its words' counts."""
         if not self.compressors:
-            self.compressors = (self._compressor(self.ordinary), self._compressor(self.toxic))
-        known = self.known
-        if len(known) > CACHE:
-            known.clear()
-        chunks = text.lower().split()
-        for c in chunks:
-            if c not in known:
-                known[c] = self.difference(c)
-        return np.fromiter(map(known.__getitem__, chunks), dtype=np.int16, count=len(chunks))
+            self.compressors = tuple([self._compressor(c) for c in of] for of in (self.ordinary, self.toxic))
+        for known in (self.of_words, self.of_windows):
+            if len(known) > CACHE:
+                known.clear()
+        out, known, n = np.zeros(MEASURES), self.of_words, 0
+        for word, times in spoken.items():
+            weight = min(times, REPEATS)
+            n += weight
+            hits = known.get(word)
+            if hits is None:
+                hits = known[word] = self._of_word(word)
+            for i in hits:
+                out[i] += weight
+        return out / (n + PRIOR)
+
+    def evidence(self, measures: np.ndarray) -> np.ndarray:
+        return measures @ self.weights + self.offset
+
+
+def regressed(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, float]:
+    """Weights and offset of a logistic regression with penalty PENALTY on standardised weights, by Newton's method."""
+    mean, scale = x.mean(axis=0), x.std(axis=0) + 1e-6
+    a = np.hstack([(x - mean) / scale, np.ones((len(x), 1))])
+    penalty = np.append(np.full(x.shape[1], PENALTY), 0.0)
+    w = np.append(np.zeros(x.shape[1]), np.log(y.mean() / (1 - y.mean())))
+    for _ in range(60):
+        p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
+        step = np.linalg.solve((a * (p * (1 - p) + 1e-9)[:, None]).T @ a + np.diag(penalty + 1e-9), a.T @ (p - y) + penalty * w)
+        w -= step
+        if np.abs(step).max() < 1e-7:
+            break
+    return w[:-1] / scale, float(w[-1] - (w[:-1] * mean / scale).sum())
 
-    @staticmethod
-    def distance(differences: np.ndarray, cut: int) -> float:
-        return float((differences >= cut).sum()) / (len(differences) + PRIOR_WINDOWS)
+
+@dataclass
+class Model:
+    halves: list[Half] = field(default_factory=list)
+    #: Mean probability of the halves that makes a score of 0.5.
+    threshold: float = 0.5
+
+    def probability(self, text: str | None) -> float:
+        spoken = Counter(words(text))
+        return float(np.mean([1 / (1 + np.exp(-np.clip(h.evidence(h.measures(spoken)), -30, 30))) for h in self.halves]))
 
     def score(self, text: str | None) -> float:
-        d = self.distance(self.differences(text), self.cut)
-        return d / (d + self.threshold) if d > 0 else 0.0
+        if not self.halves:
+            return 0.0
+        p, t = self.probability(text), self.threshold
+        return p * (1 - t) / (p * (1 - t) + t * (1 - p))
 
 
-def calibrated(measured: list[tuple[float, int]]) -> tuple[float, float]:
+def calibrated(p: np.ndarray, y: np.ndarray) -> float:
     """The threshold of best F1 among those with at most FALSE_ALARMS of the ordinary documents at or above it."""
-    measured = sorted(measured, reverse=True)
-    positives = sum(y for _, y in measured)
-    negatives = len(measured) - positives
-    alarms, hits, best = 0, 0, (0.0, 1.0)
-    for i, (d, y) in enumerate(measured):
-        hits, alarms = hits + y, alarms + 1 - y
-        if d <= 0 or alarms > max(1, FALSE_ALARMS * negatives):
-            break
-        below = measured[i + 1][0] if i + 1 < len(measured) else 0.0
-        if below < d:
-            best = max(best, (2 * hits / (hits + alarms + positives) if positives else 0.0, (d + below) / 2))
-    return best
+    best = (-1.0, 0.5)
+    rising = np.unique(p)
+    for low, high in zip(np.concatenate(([0.0], rising[:-1])), rising):
+        at, hits = p >= high, ((p >= high) & (y == 1)).sum()
+        if at.sum() - hits <= max(1, FALSE_ALARMS * (y == 0).sum()):
+            best = max(best, (2 * hits / (at.sum() + y.sum()), (low + high) / 2))
+    return float(min(0.999, max(0.001, best[1])))
 
 
 def fit(rows: list[tuple[int, str]]) -> Model:
-    """rows: (1 for toxic else 0, text), in a fixed order; every fourth is kept for calibration."""
-    seen, apart = [r for i, r in enumerate(rows) if i % 4], [r for i, r in enumerate(rows) if i % 4 == 0]
-    n = [sum(y == c for y, _ in seen) for c in (0, 1)]
-    if not all(n):
-        return Model()
-    found: tuple[Counter, Counter] = (Counter(), Counter())
-    spoken: tuple[Counter, Counter] = (Counter(), Counter())
-    for text, y in dict.fromkeys((t, y) for y, t in seen):  # copies count once
-        own = set(words(text))
-        spoken[y].update(own)
-        found[y].update({g for w in own for g in grams(w)})
-    toxic = {g for g, c in found[1].items() if c >= LEAST_DOCS and (c + 0.5) / n[1] >= RATIO * (found[0][g] + 0.5) / n[0]}
-    pieces: Counter = Counter()
-    for w, c in spoken[1].items():
-        for p in marks(w, toxic):
-            pieces[p] += c
-    common_last = lambda counter: [w for w, _ in sorted(counter.items(), key=lambda x: (x[1], x[0]))]
-    content = recoded("|".join(p for p in common_last(pieces) if pieces[p] >= 3)[-TOXIC_CHARS:])
-    if not content:
-        return Model()
-    ordinary = recoded(" ".join(w for w in common_last(spoken[0]) if toxic.isdisjoint(grams(w)))[-ORDINARY_CHARS:] + " ")
-    model = Model(ordinary, content)
-    apart_differences = [(model.differences(t), y) for y, t in apart]
-    best = (-1.0, 0, 1.0)
-    for cut in CUTS:
-        f1, threshold = calibrated([(Model.distance(d, cut), y) for d, y in apart_differences])
-        best = max(best, (f1, cut, threshold))
-    _, model.cut, model.threshold = best
-    model.known.clear()
-    return model
+    """rows: (1 for toxic else 0, text), in a fixed order; every other one belongs to the second half."""
+    halves, found = [], []
+    for h in (0, 1):
+        own, other = rows[h::2], rows[1 - h :: 2]
+        y = np.array([c for c, _ in other], dtype=float)
+        if len({c for c, _ in own}) < 2 or len(set(y)) < 2:
+            return Model()
+        half = Half(contents([t for c, t in own if not c], ORDINARY_LEVELS), contents([t for c, t in own if c], TOXIC_LEVELS))
+        x = np.array([half.measures(Counter(words(t))) for _, t in other])
+        half.weights, half.offset = regressed(x, y)
+        halves.append(half)
+        found.append((1 / (1 + np.exp(-np.clip(half.evidence(x), -30, 30))), y))
+    return Model(halves, calibrated(*map(np.concatenate, zip(*found))))
 
 
 def held_out(doc_id: Column) -> Column:
@@ -178,10 +224,8 @@ def held_out(doc_id: Column) -> Column:
 def train(docs: DataFrame, labels: DataFrame) -> Model:
     """Fit on the bounded sample. Only ids are ranked; texts are read for the chosen ones alone."""
     labelled = labels.select("doc_id", "toxic").where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    chosen = lowest_hashes(labelled, "toxic", SAMPLE)
-    picked = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(chosen), "doc_id")  # 2 * SAMPLE rows
-    rows = sorted({(r["doc_id"], r["toxic"], r["text"]) for r in picked.collect()})
-    return fit([(y, t) for _, y, t in rows])
+    rows = sampled_texts(docs, hash_sample(labelled, "toxic", SAMPLE), "toxic", SAMPLE_BYTES)
+    return fit([(r["toxic"], r["text"]) for r in rows])
 
 
 def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:

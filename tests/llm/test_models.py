@@ -7,7 +7,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
-from flatewise.llm import langid, packing, toxicity
+from flatewise.llm import common, langid, packing, toxicity
 from ..conftest import SF
 
 
@@ -138,7 +138,7 @@ def toxic_rows(n=900):
     return rows
 
 
-def test_toxicity_held_out(spark):
+def test_toxicity_of_planted_words(spark):
     rows = toxic_rows()
     df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
     got = {r["doc_id"]: r for r in toxicity.digest(df.select("doc_id", "text"), df.select("doc_id", "toxic")).collect()}
@@ -148,8 +148,81 @@ def test_toxicity_held_out(spark):
     assert all(r["predicted"] == int(r["score"] >= 0.5) and 0 <= r["score"] <= 1 for r in got.values())
 
 
+def test_toxicity_held_out(spark):
+    """Held-out documents of sf0.1, by language: none of the four is left out."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    some = docs.join(labels.select("doc_id"), "doc_id", "left_semi")
+    got = {r["doc_id"]: r for r in toxicity.digest(some, labels).collect()}
+    seen = defaultdict(lambda: [0, 0, 0, 0])
+    for r in docs.join(labels, "doc_id").select("doc_id", "lang", "toxic").collect():
+        if got[r["doc_id"]]["held_out"]:
+            for of in (seen[r["lang"]], seen["all"]):
+                of[2 * r["toxic"]] += 1
+                of[2 * r["toxic"] + 1] += got[r["doc_id"]]["predicted"]
+    assert seen["all"][3] >= 0.88 * seen["all"][2] and seen["all"][1] <= 0.015 * seen["all"][0], dict(seen)
+    assert all(caught >= 0.75 * toxic and alarms <= 0.06 * others for others, alarms, toxic, caught in seen.values()), dict(seen)
+
+
+def plain_measures(half, text):
+    """The measures of a document, window by window, without any memory of words."""
+    import zstandard as z
+
+    lengths, out, n = [3, 5, 7, 9], defaultdict(float), 0
+    how = z.ZstdCompressionParameters(strategy=z.STRATEGY_BTLAZY2, target_length=0, min_match=6, hash_log=17, window_log=22, chain_log=19, search_log=7, write_content_size=False, write_checksum=False, write_dict_id=False)
+
+    def size(content, data):
+        if len(content) < 8:
+            return len(z.ZstdCompressor(compression_params=how).compress(data))
+        held = z.ZstdCompressionDict(content, dict_type=z.DICT_TYPE_RAWCONTENT)
+        held.precompute_compress(compression_params=how)
+        return len(z.ZstdCompressor(dict_data=held, compression_params=how).compress(data))
+
+    found = toxicity._WORD.findall(text.lower())
+    for word in [w for i, w in enumerate(found) if found[:i].count(w) < 2]:
+        n += 1
+        for at in range(0, len(word), 9):
+            last = False
+            for i, length in enumerate(lengths):
+                if last:
+                    break
+                piece = word[at : min(at + length, at + 9)]
+                last = len(word[at : at + 9]) <= length
+                window = ("" if at else " ") + piece + (" " if last and at + 9 >= len(word) else "")
+                data = toxicity.recoded(window)
+                for p, (a, b) in enumerate(toxicity.PAIRS):
+                    under = size(half.toxic[b], data)
+                    for j, cut in enumerate(toxicity.CUTS):
+                        if under <= 0.75 * len(data) and size(half.ordinary[a], data) - under >= cut:
+                            out[(p * 4 + i) * 3 + j] += 1
+    return np.array([out[i] for i in range(toxicity.MEASURES)]) / (n + 10)
+
+
+def test_toxicity_is_what_compression_says():
+    rows = [(y, t) for _, t, y in toxic_rows(300)]
+    model = toxicity.fit(rows)
+    for text in ["", "123", "the villain of shreou", "Grotesque" * 9, rows[0][1][:200], rows[1][1][:120]]:
+        p = np.mean([1 / (1 + np.exp(-(plain_measures(h, text) @ h.weights + h.offset))) for h in model.halves])
+        t = model.threshold
+        assert abs(model.score(text) - p * (1 - t) / (p * (1 - t) + t * (1 - p))) < 1e-9
+    assert model.score("") < 0.5 and model.score("wretch villain grotesque " * 9) >= 0.5
+
+
+def test_toxicity_sample_is_bounded(spark, monkeypatch):
+    rows = [(i, "x" * (1000 if i % 7 else 90_000), i % 2) for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    chosen = common.hash_sample(df.select("doc_id", "toxic"), "toxic", 50)
+    assert all(20 < n["count"] < 90 for n in chosen.groupBy("toxic").count().collect())
+    got = common.sampled_texts(df.select("doc_id", "text").union(df.select("doc_id", "text")), chosen, "toxic", 30_000)
+    assert got and all(sum(len(r["text"]) for r in got if r["toxic"] == y) <= 30_000 for y in (0, 1)) and len({r["doc_id"] for r in got}) == len(got)
+
+
 def test_toxicity_edges(spark):
     docs = spark.createDataFrame([(1, None), (2, ""), (None, "x"), (3, "x"), (3, "x")], "doc_id long, text string")
     for labels in ([], [(1, 1)], [(None, 1), (3, 0), (2, None)]):
         got = toxicity.digest(docs, spark.createDataFrame(labels, "doc_id long, toxic int")).collect()
         assert len(got) == 5 and all(r["score"] == 0 and r["predicted"] == 0 for r in got)
+    labels = spark.createDataFrame([(i, i % 2, "l") for i in range(9)], "doc_id long, toxic int, text string")
+    assert toxicity.digest(spark.createDataFrame([], "doc_id long, text string, toxic int, score double"), labels).collect() == []
+    odd = spark.createDataFrame([(i, "the villain" * 40_000 if i == 3 else "the villain" if i % 2 else "the other", 9, "s") for i in range(40)] + [(3, "the other", 9, "s")], "doc_id long, text string, toxic int, score string")
+    got = toxicity.digest(odd, spark.createDataFrame([(i, i % 2, "l") for i in range(40)] * 2, "doc_id long, toxic int, text string")).collect()
+    assert len(got) == 41 and len({r["score"] for r in got if r["doc_id"] in (5, 7, 9)}) == 1
