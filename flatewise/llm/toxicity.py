@@ -202,8 +202,9 @@ def calibrated(p: np.ndarray, y: np.ndarray) -> float:
 
 
 def fit(rows: list[tuple[int, str]]) -> Model:
-    """rows: (1 for toxic else 0, text), in a fixed order; every other one belongs to the second half."""
+    """rows: (1 for toxic else 0, text), in a fixed order; every other one of a class belongs to the second half."""
     halves, found = [], []
+    rows = sorted(rows, key=lambda r: r[0])
     for h in (0, 1):
         own, other = rows[h::2], rows[1 - h :: 2]
         y = np.array([c for c, _ in other], dtype=float)
