@@ -47,10 +47,15 @@ def remove_stored() -> None:
             return
 
 
+def small(size: int) -> bool:
+    """Whether so many bytes may be broadcast."""
+    return size <= BROADCAST_BYTES
+
+
 def broadcast_if_small(df: DataFrame, row_bytes: int, rows: int | None = None) -> DataFrame:
     """df with a broadcast hint if its counted size is under BROADCAST_BYTES; otherwise df, joined by shuffle."""
     rows = df.count() if rows is None else rows
-    return F.broadcast(df) if rows * row_bytes <= BROADCAST_BYTES else df
+    return F.broadcast(df) if small(rows * row_bytes) else df
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:

@@ -5,26 +5,32 @@ could never be read. It is written to the shared folder, document by document, s
 entry per document, under LENGTH, gives its number of words. A window is WINDOW consecutive words of an item, or all words
 of a shorter one. For each window the lists of its two rarest terms (by the index's own counts) are intersected after
 adjusting positions by the terms' offsets, i.e. per document, item and diagonal (document position less item position).
-Alignments that survive have the rest of their lists intersected in the same way, which gives exact phrase matches, and
-proximity matches where all but a few words of a window stand in place.
-
-Native: scans, broadcast joins on size-checked tables (shuffle joins beyond), and aggregates; intermediate rows are keyed
-by document and diagonal, so frequent terms and common passages spread over tasks.
-
-Defined results: null text has no words; item rows without item_id or without words have no windows; rows that repeat a
-doc_id are told apart by their text; repeated item ids count once.
+Windows whose rare terms stand in place have the rest of their lists intersected, at the places they cover and nowhere
+else. That gives exact phrase matches, and proximity matches: whole windows of WINDOW words with both rare terms and all
+but at most APART words in place.
+
+Native: scans, broadcast joins on size-checked tables (shuffle joins beyond), aggregates and one window function; rows
+between them are keyed by document and diagonal, so frequent terms and common passages spread over tasks, and their
+number is in proportion to what the lists hold, however long a document or an item is.
+
+Defined results: null text or one without words has no words and no hits; item rows without item_id or without words have
+no windows; rows that repeat a doc_id are told apart by their text, and rows that repeat both are judged alike; repeated
+item ids count once; terms that are equally rare are taken by position; an empty table of documents gives no rows, an empty one of
+items no hits; other columns than doc_id, item_id and text are not looked at.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, positioned_words, stored, upto
+from .common import broadcast_if_small, positioned_words, small, stored, upto
 
 WINDOW = 10
 #: Words of a window that may be missing or out of place in a proximity match.
 APART = 2
+#: Parts that a word's list is dealt into where the vocabulary is too large to broadcast.
+SALTS = 16
 #: The index entry of a document's number of words; no word contains this character.
 LENGTH = "\x00"
 
@@ -36,18 +42,22 @@ def items_of(benchmark: DataFrame) -> DataFrame:
     return rows.where("n_words > 0").select(item, F.col("doc_id").alias("item_id"), F.slice("words", F.col("at") + 1, F.col("n_words")).alias("terms"))
 
 
-def index_of(docs: DataFrame, vocabulary: DataFrame, n_terms: int) -> DataFrame:
+def index_of(docs: DataFrame, vocabulary: DataFrame, vocabulary_bytes: int) -> DataFrame:
     """The stored index: term (number), doc_id, text_key, position; for LENGTH the position is the number of words."""
     words = positioned_words(docs)
     at = F.explode(F.sequence(F.lit(-1), F.col("n_words") - 1)).alias("i")
     each = words.select("doc_id", "text_key", "words", "at", "n_words", at)
     word = F.when(F.col("i") < 0, LENGTH).otherwise(F.get("words", F.col("i") + F.col("at")))
-    entries = each.select("doc_id", "text_key", word.alias("word"), F.when(F.col("i") < 0, F.col("n_words")).otherwise(F.col("i")).alias("position"))
-    return stored(entries.join(broadcast_if_small(vocabulary, 64, n_terms), "word").select("term", "doc_id", "text_key", "position"))
+    entries = each.select("doc_id", "text_key", word.alias("word"), F.when(F.col("i") < 0, F.col("n_words")).otherwise(F.col("i")).alias("position"), F.pmod(F.hash("text_key", "i"), F.lit(SALTS)).alias("salt"))
+    if small(vocabulary_bytes):
+        joined = entries.join(F.broadcast(vocabulary), "word")
+    else:  # a frequent word's entries meet SALTS copies of its row, each in a task of its own
+        joined = entries.join(vocabulary.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["word", "salt"])
+    return stored(joined.select("term", "doc_id", "text_key", "position"))
 
 
 def windows_of(items: DataFrame, item_terms: DataFrame, counts: DataFrame) -> DataFrame:
-    """item, item_id, windows: array of (start, length, rare): positions in the item of each window's two rarest terms."""
+    """item, start, length, rare: every window, and the positions in its item of its two rarest terms (one, if it has one)."""
     ranked = item_terms.join(counts, "term", "left").groupBy("item").agg(F.array_sort(F.collect_list(F.struct("i", F.coalesce("n", F.lit(0)).alias("n")))).alias("terms"))
 
     def window(start: Column) -> Column:
@@ -56,7 +66,15 @@ def windows_of(items: DataFrame, item_terms: DataFrame, counts: DataFrame) -> Da
         return F.struct(start.alias("start"), F.size(part).alias("length"), F.transform(rare, lambda t: t["i"]).alias("rare"))
 
     starts = upto(F.greatest(F.lit(1), F.size("terms") - WINDOW + 1))
-    return items.select("item", "item_id").join(ranked, "item").select("item", "item_id", F.transform(starts, window).alias("windows"))
+    return ranked.select("item", F.explode(F.transform(starts, window)).alias("w")).select("item", "w.*")
+
+
+def same_place(left: str, right: str, *names: str) -> Column:
+    """Whether two rows are of one document, without or with a doc_id, and equal in names."""
+    same = F.col(f"{left}.doc_id").eqNullSafe(F.col(f"{right}.doc_id")) & (F.col(f"{left}.text_key") == F.col(f"{right}.text_key"))
+    for n in names:
+        same = same & (F.col(f"{left}.{n}") == F.col(f"{right}.{n}"))
+    return same
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -65,53 +83,49 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     each = items.select("item", F.posexplode("terms").alias("i", "word"))
     words = each.select("word").distinct()
     vocabulary = stored(words.select("word", F.monotonically_increasing_id().alias("term")).unionByName(docs.sparkSession.createDataFrame([(LENGTH, -1)], "word string, term long")))
-    n_terms = vocabulary.count()
+    size = vocabulary.agg(F.count("*"), F.sum(F.octet_length("word"))).first()
     item_terms = stored(each.join(vocabulary, "word").select("item", "i", "term"))
-    n_item_terms = item_terms.count()
-    index = index_of(docs, vocabulary, n_terms)
+    index = index_of(docs, vocabulary, 32 * size[0] + size[1])
     lengths = index.where("term = -1").select("doc_id", "text_key", F.col("position").alias("n_words"))
     lists = index.where("term >= 0")
 
     counts = lists.groupBy("term").agg(F.count("*").alias("n"))
     windows = stored(windows_of(items, item_terms, counts))
-    n_items = windows.count()
 
-    # the two rarest lists of every window, adjusted to diagonals and intersected
-    probes = windows.select("item", F.explode(F.array_distinct(F.flatten(F.transform("windows", lambda w: w["rare"])))).alias("i")).join(item_terms, ["item", "i"])
-    probes = stored(probes)
+    # the lists of every window's rarest terms, adjusted to diagonals and intersected
+    probes = stored(windows.select("item", F.explode("rare").alias("i"), F.size("rare").alias("need")).distinct().join(item_terms, ["item", "i"]))
     diagonal = (F.col("position") - F.col("i")).alias("diagonal")
-    met = lists.join(broadcast_if_small(probes, 32), "term").select("doc_id", "text_key", "item", diagonal, "i")
-    met = met.groupBy("doc_id", "text_key", "item", "diagonal").agg(F.collect_set("i").alias("met"))
-    complete = F.exists("windows", lambda w: F.forall(w["rare"], lambda i: F.array_contains("met", i)))
-    alignments = stored(met.join(broadcast_if_small(windows, 2048, n_items), "item").where(complete).select("doc_id", "text_key", "item", "diagonal"))
-
-    # all lists, for the surviving alignments only
-    left, right = lists.alias("l"), broadcast_if_small(alignments, 48).alias("r")
-    same = F.col("l.doc_id").eqNullSafe(F.col("r.doc_id")) & (F.col("l.text_key") == F.col("r.text_key"))
-    # a position can only belong to an alignment if it lies within the item
-    sizes = items.select("item", F.size("terms").alias("size"))
-    inside = left.join(right, same).select("l.doc_id", "l.text_key", "item", "diagonal", "term", (F.col("position") - F.col("diagonal")).alias("i"))
-    placed = inside.where("i >= 0").join(broadcast_if_small(sizes, 24, n_items), "item").where("i < size").drop("size")
-    found = placed.join(broadcast_if_small(item_terms, 32, n_item_terms), ["item", "i", "term"]).groupBy("doc_id", "text_key", "item", "diagonal").agg(F.collect_set("i").alias("found"))
-
-    in_place = lambda w: F.size(F.filter("found", lambda i: (i >= w["start"]) & (i < w["start"] + w["length"])))
-    judged = found.join(broadcast_if_small(windows, 2048, n_items), "item").select(
-        "doc_id", "text_key", "item_id", "diagonal",
-        F.transform("windows", lambda w: F.struct(w["start"].alias("start"), w["length"].alias("length"), in_place(w).alias("n"))).alias("windows"),
-    )
-    exact = F.filter("windows", lambda w: w["n"] == w["length"])
-    near = F.filter("windows", lambda w: (w["n"] < w["length"]) & (w["n"] >= w["length"] - APART) & (w["length"] == WINDOW))
-    positions = F.array_distinct(F.flatten(F.transform(exact, lambda w: F.sequence(F.col("diagonal") + w["start"], F.col("diagonal") + w["start"] + w["length"] - 1))))
-    per_alignment = judged.select("doc_id", "text_key", F.when(F.size(exact) > 0, F.col("item_id").cast("string")).alias("item_id"), positions.alias("positions"), F.size(near).alias("near"))
-    per_document = per_alignment.groupBy("doc_id", "text_key").agg(
-        F.size(F.array_distinct(F.flatten(F.collect_list("positions")))).cast("long").alias("n_hit"),
-        F.array_sort(F.collect_set("item_id")).alias("item_ids"),
-        F.sum("near").alias("n_near"),
-    )
-    l2, r2 = lengths.alias("l"), per_document.alias("r")
-    same = F.col("l.doc_id").eqNullSafe(F.col("r.doc_id")) & (F.col("l.text_key") == F.col("r.text_key"))
+    met = lists.join(broadcast_if_small(probes, 40), "term").select("doc_id", "text_key", "item", diagonal, "i", "need")
+    met = met.groupBy("doc_id", "text_key", "item", "diagonal").agg(F.collect_set("i").alias("met"), F.min("need").alias("need"))
+    met = met.where(F.size("met") >= F.col("need")).select("doc_id", "text_key", "item", "diagonal", F.explode("met").alias("i"))
+    served = windows.select("item", "start", "length", F.size("rare").alias("need"), F.explode("rare").alias("i"))
+    at = ["doc_id", "text_key", "item", "diagonal"]
+    whole = met.join(broadcast_if_small(served, 48), ["item", "i"]).groupBy(*at, "start", "length").agg(F.count("*").alias("n"), F.first("need").alias("need"))
+    candidates = stored(whole.where("n = need").select(*at, "start", "length"))
+
+    # the rest of their lists, at the places that the surviving windows cover and nowhere else
+    covered = candidates.select(*at, F.explode(F.sequence(F.col("start"), F.col("start") + F.col("length") - 1)).alias("i")).distinct()
+    places = stored(covered.join(broadcast_if_small(item_terms, 40), ["item", "i"]).select(*at, "i", "term", (F.col("diagonal") + F.col("i")).alias("position")))
+    wanted = broadcast_if_small(stored(candidates.select("doc_id", "text_key").distinct()), 40).alias("w")
+    near_lists = lists.alias("l").join(wanted, same_place("l", "w"), "left_semi").alias("l")
+    found = near_lists.join(broadcast_if_small(places, 64).alias("p"), same_place("l", "p", "term", "position")).select(*[f"p.{c}" for c in [*at, "i"]]).distinct()
+
+    # how many words of each surviving window stand in place: those found from its start on
+    marks = candidates.withColumn("hit", F.lit(0)).unionByName(found.select(*at, F.col("i").alias("start"), F.lit(None).cast("int").alias("length"), F.lit(1).alias("hit")))
+    ahead = Window.partitionBy(*at).orderBy("start").rangeBetween(0, WINDOW - 1)
+    judged = stored(marks.withColumn("n", F.sum("hit").over(ahead)).where("length is not null").select(*at, "start", "length", "n").where(F.col("n") >= F.col("length") - APART))
+    exact = judged.where("n = length")
+    document = ["doc_id", "text_key"]
+    hit = exact.select(*document, F.explode(F.sequence(F.col("diagonal") + F.col("start"), F.col("diagonal") + F.col("start") + F.col("length") - 1)).alias("position")).distinct()
+    names = items.select("item", F.col("item_id").cast("string").alias("item_id"))
+    own = exact.select(*document, "item").distinct().join(broadcast_if_small(names, 64), "item").select(*document, "item_id").distinct()
+    near = judged.where((F.col("n") < F.col("length")) & (F.col("length") == WINDOW))
     none = F.array().cast("array<string>")
-    return l2.join(r2, same, "left").select(
+    parts = hit.groupBy(*document).agg(F.count("*").alias("n_hit")).withColumns({"item_ids": none, "n_near": F.lit(0).cast("long")})
+    parts = parts.unionByName(own.groupBy(*document).agg(F.array_sort(F.collect_list("item_id")).alias("item_ids")).withColumns({"n_hit": F.lit(0).cast("long"), "n_near": F.lit(0).cast("long")}))
+    parts = parts.unionByName(near.groupBy(*document).agg(F.count("*").alias("n_near")).withColumns({"n_hit": F.lit(0).cast("long"), "item_ids": none}))
+    per_document = stored(parts.groupBy(*document).agg(F.sum("n_hit").alias("n_hit"), F.flatten(F.collect_list("item_ids")).alias("item_ids"), F.sum("n_near").alias("n_near")))
+    return lengths.alias("l").join(per_document.alias("r"), same_place("l", "r"), "left").select(
         "l.doc_id", "l.text_key", F.col("n_words").cast("long").alias("n_words"), F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),
         F.coalesce("item_ids", none).alias("item_ids"), F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"),
     )

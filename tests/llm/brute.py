@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import itertools
 import re
+from collections import Counter
 
 _LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -73,6 +74,25 @@ def contamination(docs, items):
     return out
 
 
+def near_windows(docs, items, apart=2):
+    """[(doc_id, n_near)]: places of whole windows whose two rarest words and all but at most ``apart`` others stand in place."""
+    split = [(item, words(text)) for item, text in dict.fromkeys(items) if item is not None and words(text)]
+    used = {w for _, x in split for w in x}
+    count = Counter(w for _, text in docs for w in words(text) if w in used)
+    out = []
+    for doc, text in docs:
+        w, n = words(text), 0
+        for _, x in split:
+            for start in range(len(x) - 9):
+                part = x[start : start + 10]
+                rare = sorted(range(10), key=lambda i: (count[part[i]], i))[:2]
+                for at in range(-9, len(w)):
+                    same = [0 <= at + i < len(w) and w[at + i] == part[i] for i in range(10)]
+                    n += all(same[i] for i in rare) and 10 - apart <= sum(same) < 10
+        out.append((doc, n))
+    return out
+
+
 def shingles(text):
     w = re.findall(r"[^\x20\x09-\x0D]+", (text or "").translate(_LOWER))
     return set(zip(w, w[1:])) if len(w) > 1 else {tuple(w)} if w else set()

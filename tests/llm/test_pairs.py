@@ -1,6 +1,7 @@
 """Near duplicates, contamination and top-k against brute force."""
 
 import random
+import time
 
 import numpy as np
 import pytest
@@ -78,15 +79,46 @@ def test_contamination(spark):
     contaminated(spark, table("documents", "doc_id"), table("benchmark", "item_id"))
 
 
-def test_contamination_without_broadcasts(spark, monkeypatch):
-    monkeypatch.setattr("flatewise.llm.common.BROADCAST_BYTES", 0)
+def test_contamination_without_broadcasts(spark, no_broadcasts):
     contaminated(spark, DOCS, ITEMS)
+    df = decontaminate.digest(spark.createDataFrame(DOCS, "doc_id long, text string"), spark.createDataFrame(ITEMS, "item_id long, text string"))
+    assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
 
 
 def test_proximity(spark):
-    item = [(1, "aa bb cc dd ee ff gg hh ii jj")]
-    got = contaminated(spark, [(1, "aa bb cc XX ee ff gg hh ii jj"), (2, "aa bb XX YY ZZ ff gg hh ii jj")], item)
-    assert {r["doc_id"]: r["n_near"] for r in got} in ({1: 1, 2: 0}, {1: 0, 2: 0})  # the two rarest terms must both stand
+    item = [(1, "aa bb cc dd ee ff gg hh ii jj kk"), (2, "x y z")]
+    docs = [(1, "aa bb cc XX ee ff gg hh ii jj"), (2, "aa bb XX YY ZZ ff gg hh ii jj"), (3, "aa XX cc dd ee ff gg hh YY jj kk"), (4, "bb cc dd ee ff gg hh ii jj kk"), (5, None), (6, "cc dd ee ff gg hh ii jj kk " * 3)]
+    got = contaminated(spark, docs, item)
+    assert [(r["doc_id"], r["n_near"]) for r in sorted(got, key=lambda r: r["doc_id"])] == brute.near_windows(docs, item)
+    assert any(r["n_near"] for r in got)
+
+
+def test_proximity_at_random(spark):
+    r = random.Random(8)
+    text = lambda n, of="abcdefgh": " ".join(r.choice(of) for _ in range(n))
+    items = [(i, text(r.randrange(8, 30))) for i in range(6)]
+    changed = lambda t: " ".join(r.choice("abcdefgh") if r.random() < 0.12 else w for w in t.split())
+    docs = [(i, f"{text(r.randrange(0, 20))} {changed(items[i % 6][1])} {text(5)}") for i in range(24)]
+    got = contaminated(spark, docs, items)
+    assert [(g["doc_id"], g["n_near"]) for g in sorted(got, key=lambda g: g["doc_id"])] == brute.near_windows(docs, items)
+
+
+def test_contamination_of_long_texts(spark):
+    """One text of one word, and an item that is as long as its document: time grows with their length, not its square."""
+    took = []
+    for n in (30_000, 60_000):
+        docs = [(1, "the " * n), (2, " ".join(f"w{i}" for i in range(n))), (3, "a w7 w8 the")]
+        began = time.monotonic()
+        rows = decontaminate.digest(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(1, "the"), (2, docs[1][1])], "item_id long, text string")).collect()
+        took.append(time.monotonic() - began)
+        assert {r["doc_id"]: (r["n_hit"], r["n_items"]) for r in rows} == {1: (n, 1), 2: (n, 1), 3: (1, 1)}
+    assert took[1] < 2.6 * took[0] + 4
+
+
+def test_contamination_of_other_columns(spark):
+    docs = spark.createDataFrame([(1, "one", "x", 2, 3), (1, "one", "y", 2, 3)], "doc_id long, text string, item string, term int, position int")
+    items = spark.createDataFrame([("5", "one", 1, "z")], "item_id string, text string, doc_id int, word string")
+    assert [(r["doc_id"], r["n_hit"], r["n_items"]) for r in decontaminate.digest(docs, items).collect()] == [(1, 1, 1)] * 2
 
 
 @pytest.mark.parametrize("block", [7, 8192])
