@@ -3,8 +3,10 @@
 Native: one scan, no shuffle, no Python. Base kinds are email, ip, card (Luhn) and phone; the method adds iban (mod-97)
 and national identity numbers (``ssn``), the latter only where a context word stands nearby, since they have no checksum.
 
-Defined results: null or empty text has no spans; repeated rows are judged one by one; other columns are ignored.
-Patterns are written with possessive quantifiers and start anchors, so that a text of any length is scanned in linear time.
+Defined results: null or empty text has no spans; repeated rows are judged one by one; spans of one start are ordered by
+kind; an empty table gives no rows; other columns are ignored. Patterns are written with possessive quantifiers and start
+anchors and the text around a span is read from its page, so that a text of any length, with any number of spans, takes
+time nearly in proportion.
 """
 
 from __future__ import annotations
@@ -124,18 +126,19 @@ def find_all(text: Column) -> Column:
 def scored(text: Column, found: Column) -> Column:
     """[(span, score)]: the kind's prior, raised where one of its context words stands shortly before or after the span."""
 
-    def one(s: Column) -> Column:
-        start = F.greatest(F.lit(0), s["start"] - WINDOW)
-        before = F.lower(F.substr(text, start + 1, s["start"] - start))
-        after = F.lower(F.substr(text, s["stop"] + 1, F.lit(WINDOW)))
-        prior, near = F.lit(0.0), F.lit(False)
-        for kind in KINDS:
-            prior = F.when(s["kind"] == kind, F.lit(PRIOR[kind])).otherwise(prior)
-            near = F.when(s["kind"] == kind, before.rlike(rf"\b(?:{CONTEXT[kind]})") | after.rlike(rf"\b(?:{CONTEXT[kind]})")).otherwise(near)
-        return F.struct(s.alias("span"), F.least(F.lit(1.0), prior + F.when(near, BOOST).otherwise(0.0)).alias("score"))
+    def all_of(x: Column) -> Column:
+        def one(s: Column) -> Column:
+            before = F.lower(S.part(x["pages"], F.greatest(F.lit(0), s["start"] - WINDOW), s["start"]))
+            after = F.lower(S.part(x["pages"], s["stop"], F.least(x["length"], s["stop"] + WINDOW)))
+            prior, near = F.lit(0.0), F.lit(False)
+            for kind in KINDS:
+                prior = F.when(s["kind"] == kind, F.lit(PRIOR[kind])).otherwise(prior)
+                near = F.when(s["kind"] == kind, before.rlike(rf"\b(?:{CONTEXT[kind]})") | after.rlike(rf"\b(?:{CONTEXT[kind]})")).otherwise(near)
+            return F.struct(s.alias("span"), F.least(F.lit(1.0), prior + F.when(near, BOOST).otherwise(0.0)).alias("score"))
 
-    kept = F.transform(F.array_sort(found), one)
-    return F.filter(kept, lambda x: (x["span"]["kind"] != "ssn") | (x["score"] >= LEAST))
+        return F.filter(F.transform(x["found"], one), lambda y: (y["span"]["kind"] != "ssn") | (y["score"] >= LEAST))
+
+    return let(F.struct(F.array_sort(found).alias("found"), S.pages(text).alias("pages"), F.length(text).alias("length")), all_of)
 
 
 def detect(docs: DataFrame) -> DataFrame:
@@ -147,15 +150,17 @@ def detect(docs: DataFrame) -> DataFrame:
 
 def redact(text: Column, found: Column) -> Column:
     """text with every span of found (sorted, as from detect) replaced by <kind>; overlapping spans become one."""
-    done = F.aggregate(
-        found,
-        F.struct(F.lit("").alias("out"), F.lit(0).alias("at")),
-        lambda a, s: F.when(
-            s["span"]["start"] >= a["at"],
-            F.struct(F.concat(a["out"], F.substr(text, a["at"] + 1, s["span"]["start"] - a["at"]), F.lit("<"), s["span"]["kind"], F.lit(">")).alias("out"), s["span"]["stop"].alias("at")),
-        ).otherwise(F.struct(a["out"].alias("out"), F.greatest(a["at"], s["span"]["stop"]).alias("at"))),
-    )
-    return F.when(F.size(found) > 0, let(done, lambda d: F.concat(d["out"], F.substr(text, d["at"] + 1, F.length(text))))).otherwise(text)
+
+    def replaced(x: Column) -> Column:
+        # a span that begins where all before it have ended stands for itself and those that overlap it
+        opens = F.filter(F.transform(found, lambda s, i: F.struct(s["span"]["start"].alias("start"), s["span"]["kind"].alias("kind"), F.get(x["before"], i).alias("at"))), lambda s: s["start"] >= s["at"])
+        kept = F.transform(opens, lambda s: F.concat(S.part(x["pages"], s["at"], s["start"]), F.lit("<"), s["kind"], F.lit(">")))
+        end = F.array_max(F.transform(found, lambda s: s["span"]["stop"]))
+        return F.concat(F.array_join(kept, ""), S.part(x["pages"], end, x["length"]))
+
+    before = S.running_max(F.transform(found, lambda s: s["span"]["stop"]))
+    parts = F.struct(before.alias("before"), S.pages(text).alias("pages"), F.length(text).alias("length"))
+    return F.when(F.size(found) > 0, let(parts, replaced)).otherwise(text)
 
 
 def digest(docs: DataFrame) -> DataFrame:

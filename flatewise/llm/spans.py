@@ -22,6 +22,39 @@ def _total(numbers: Column) -> Column:
     return F.aggregate(numbers, F.lit(0), lambda a, b: a + b)
 
 
+def running_max(numbers: Column) -> Column:
+    """For each of the numbers (at least 0) the largest of those before it, or 0."""
+    most = lambda part: F.coalesce(F.array_max(part), F.lit(0))
+    blocks = lambda x: F.transform(upto(F.floor((F.size(x) + BLOCK - 1) / BLOCK).cast("int")), lambda b: most(F.slice(x, b * BLOCK + 1, F.lit(BLOCK))))
+
+    def each(s: Column) -> Column:
+        earlier = lambda i: F.get(s["before"], F.floor(i / BLOCK).cast("int"))
+        own = lambda i: most(F.slice(s["x"], F.floor(i / BLOCK).cast("int") * BLOCK + 1, (i % BLOCK).cast("int")))
+        return F.transform(s["x"], lambda _, i: F.greatest(earlier(i), own(i)))
+
+    def summed(y: Column) -> Column:
+        before = F.transform(y["blocks"], lambda _, b: most(F.slice(y["blocks"], F.lit(1), b)))
+        return let(F.struct(y["x"].alias("x"), before.alias("before")), each)
+
+    return let(numbers, lambda x: let(F.struct(x.alias("x"), blocks(x).alias("blocks")), summed))
+
+
+#: Code points of a page.
+PAGE = 256
+
+
+def pages(text: Column) -> Column:
+    """The text as pages of PAGE code points, so that a part is found without walking the text from its beginning."""
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PAGE}}}"), F.lit(0))
+
+
+def part(pages: Column, start: Column, stop: Column) -> Column:
+    """The code points from start to stop of the text that pages hold."""
+    first = F.floor(start / PAGE).cast("int")
+    held = F.slice(pages, first + 1, F.greatest(F.lit(0), F.floor((stop - 1) / PAGE).cast("int") - first + 1))
+    return F.substr(F.array_join(held, ""), start - first * PAGE + 1, stop - start)
+
+
 def find(text: Column, kind: str, ord_: int, pattern: str, keep: Callable[[Column], Column], guard: Column | None = None) -> Column:
     """Spans of the pattern's leftmost non-overlapping matches for whose string keep() holds; [] for null text.
 

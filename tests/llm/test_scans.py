@@ -1,5 +1,9 @@
 """Secrets, licenses, personal data and URLs against plain Python and SQL."""
 
+import random
+import re
+import time
+
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
@@ -108,8 +112,45 @@ def test_redaction(spark):
     assert [r["t"] for r in rows] == ["to <email> and <phone>.", "none", None]
 
 
+def plain_redaction(text, spans):
+    out, at = [], 0
+    for start, stop, kind in spans:
+        if start >= at:
+            out += [text[at:start], f"<{kind}>"]
+        at = max(at, stop)
+    return "".join(out) + text[at:]
+
+
+def test_redaction_against_plain_python(spark):
+    r = random.Random(3)
+    piece = lambda: r.choice(["a@b.co", "1.2.3.4", "+1 415 555 0123", "4111 1111 1111 1111", "é😀 ", "x" * r.randrange(1, 400), "card ", "123-45-6789 ssn ", "DE89 3704 0044 0532 0130 00 ", "9@9.9.9.9", "\n"])
+    docs = [(i, "".join(piece() + r.choice(["", " ", ", "]) for _ in range(r.randrange(0, 90)))) for i in range(40)] + [(99, None), (98, "")]
+    rows = pii.detect(spark.createDataFrame(docs, "doc_id long, text string")).withColumn("redacted", pii.redact(F.col("text"), F.col("pii"))).collect()
+    assert len(rows) == len(docs) and sum(len(r["pii"]) for r in rows) > 300
+    for row in rows:
+        spans = [(x["span"]["start"], x["span"]["stop"], x["span"]["kind"]) for x in row["pii"]]
+        assert all(row["text"][x["span"]["start"] : x["span"]["stop"]] == x["span"]["value"] for x in row["pii"])
+        assert row["redacted"] == (plain_redaction(row["text"], spans) if row["text"] else row["text"])
+        for x in row["pii"]:
+            kind, near = x["span"]["kind"], (row["text"][max(0, x["span"]["start"] - 48) : x["span"]["start"]], row["text"][x["span"]["stop"] : x["span"]["stop"] + 48])
+            boost = any(re.search(rf"\b(?:{pii.CONTEXT[kind]})", n.lower(), re.A) for n in near)
+            assert abs(x["score"] - min(1.0, pii.PRIOR[kind] + 0.25 * boost)) < 1e-9
+
+
+def test_many_spans_in_one_text(spark):
+    """Detection and redaction take time in proportion to the number of spans."""
+    took = []
+    for n in (50_000, 100_000):
+        docs = spark.createDataFrame([(1, "a@b.co, " * n), (2, "+1 415 555 0123\n")], "doc_id long, text string")
+        began = time.monotonic()
+        rows = pii.detect(docs).select(F.size("pii").alias("n"), pii.redact(F.col("text"), F.col("pii")).alias("text")).collect()
+        took.append(time.monotonic() - began)
+        assert [r["n"] for r in rows] == [n, 1] and rows[0]["text"] == "<email>, " * n
+    assert took[1] < 2.6 * took[0] + 3
+
+
 def test_random_tokens_are_found_and_words_are_not(spark):
-    import random
+
 
     r = random.Random(5)
     token = lambda n: "".join(r.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789") for _ in range(n))
