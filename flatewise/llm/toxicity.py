@@ -7,10 +7,10 @@ pieces of PIECE letters, so whole texts are read. Letters are recoded to four ps
 resolution of compressed lengths from bytes to quarters of letters.
 
 A window's distance at a pair of levels is its compressed length under the ordinary dictionary less that under the toxic
-one, if the latter compresses it at all. For every pair of PAIRS, length and cut of CUTS, the share of a document's words
+one, if the toxic dictionary of the lowest level compresses it at all. For every pair of PAIRS, length and cut of CUTS, the share of a document's words
 (each counted REPEATS times at most) with a window at or above the cut is one measure of the document, over its words and
-PRIOR more, so that short texts need no less evidence. A logistic regression of these measures calibrates how much each counts, and a threshold of best F1,
-under a bound on false alarms, is where the score is 0.5.
+PRIOR more, so that short texts need no less evidence. A logistic regression of these measures calibrates how much each counts, and the threshold that
+serves both classes best, an alarm over an ordinary document costing ALARM_COST times a miss, is where the score is 0.5.
 
 Dictionaries of either half of the training sample are calibrated on the other half, and a document's score is the mean
 over both halves.
@@ -26,6 +26,7 @@ than doc_id, text and toxic are not looked at. A very long text costs time in pr
 
 from __future__ import annotations
 
+import bisect
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -39,15 +40,15 @@ from pyspark.sql import functions as F
 from .common import hash_sample, sampled_texts, small_batches
 
 SAMPLE, SAMPLE_BYTES = 3000, 16 << 20
-LENGTHS, PIECE = (3, 5, 7, 9), 9
-ORDINARY_LEVELS, TOXIC_LEVELS = (3e-5, 1e-4, 2e-4), (1e-4, 2e-4, 4e-4)
+LENGTHS, PIECE = (3, 5, 7), 7
+ORDINARY_LEVELS, TOXIC_LEVELS = (5e-5, 1.5e-4), (1e-4, 3e-4)
 #: Levels that are compared: (of the ordinary dictionary, of the toxic one).
-PAIRS = ((0, 0), (1, 0), (1, 1), (2, 1), (2, 2))
+PAIRS = ((0, 0), (1, 0), (1, 1))
 CUTS, LEAST_DOCS, COMPRESSED, PRIOR = (3, 6, 9), 3, 0.75, 10
 #: A word counts at most so often in a document, or a line of junk that is repeated would outweigh all else.
 REPEATS = 2
-PENALTY, FALSE_ALARMS = 5.0, 0.005
-CACHE = 400_000
+PENALTY, ALARM_COST = 5.0, 5.0
+WORDS_KEPT, WINDOWS_KEPT = 300_000, 600_000
 MEASURES = len(PAIRS) * len(LENGTHS) * len(CUTS)
 
 _WORD = re.compile(r"[^\W\d_]+")
@@ -58,21 +59,33 @@ def words(text: str | None) -> list[str]:
     return _WORD.findall(text.lower()) if text else []
 
 
-def windows(word: str) -> list[tuple[int, str]]:
-    """(length class, window) of a word: openings of its pieces, with a blank where the word begins or ends."""
-    out = []
-    for at in range(0, len(word), PIECE):
-        piece, blank = word[at : at + PIECE], "" if at else " "
-        for i, n in enumerate(LENGTHS):
-            if len(piece) <= n:
-                out.append((i, blank + piece + (" " if at + PIECE >= len(word) else "")))
+def windows(word: str) -> list[str]:
+    """Openings of a word's pieces, with a blank where the word begins or ends."""
+    out, end = [], len(word)
+    for at in range(0, end, PIECE):
+        start, letters = ("" if at else " "), min(PIECE, end - at)
+        for n in LENGTHS:
+            if letters <= n:
+                out.append(start + word[at : at + letters] + (" " if at + PIECE >= end else ""))
                 break
-            out.append((i, blank + piece[:n]))
+            out.append(start + word[at : at + n])
     return out
 
 
+def length_class(window: str) -> int:
+    return bisect.bisect_left(LENGTHS, len(window.strip(" ")))
+
+
+_code_of: dict[str, bytes] = {}
+
+
 def recoded(s: str) -> bytes:
-    return _CODES[np.frombuffer(s.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)].tobytes()
+    try:
+        return b"".join([_code_of[c] for c in s])
+    except KeyError:
+        for c in s:
+            _code_of[c] = _CODES[ord(c)].tobytes()
+        return recoded(s)
 
 
 def contents(texts: list[str], levels: tuple[float, ...]) -> list[bytes]:
@@ -82,80 +95,84 @@ def contents(texts: list[str], levels: tuple[float, ...]) -> list[bytes]:
         spoken.update(set(words(t)))
     found: Counter = Counter()
     for w, n in spoken.items():
-        for _, window in windows(w):
+        for window in windows(w):
             found[window] += n
     total, rising = sum(spoken.values()), sorted(found.items(), key=lambda x: (x[1], x[0]))
     return [recoded("".join(w for w, n in rising if n >= max(LEAST_DOCS, level * total))) for level in levels]
 
 
+def compressor(content: bytes):
+    import zstandard as z
+
+    how = z.ZstdCompressionParameters(strategy=z.STRATEGY_BTLAZY2, target_length=0, min_match=6, hash_log=17, window_log=22, chain_log=19, search_log=7, write_content_size=False, write_checksum=False, write_dict_id=False)
+    if len(content) < 8:  # too little for a dictionary
+        return z.ZstdCompressor(compression_params=how).compress
+    dictionary = z.ZstdCompressionDict(content, dict_type=z.DICT_TYPE_RAWCONTENT)
+    dictionary.precompute_compress(compression_params=how)
+    return z.ZstdCompressor(dict_data=dictionary, compression_params=how).compress
+
+
 @dataclass
 class Half:
     """Both classes' dictionaries, from half of the sample, and the weights that the other half gives to the measures."""
 
     ordinary: list[bytes]
     toxic: list[bytes]
-    weights: np.ndarray = field(default_factory=lambda: np.zeros(MEASURES))
+    weights: np.ndarray | None = None
     offset: float = 0.0
-    of_words: dict = field(default_factory=dict, repr=False)
-    of_windows: dict = field(default_factory=dict, repr=False)
-    compressors: tuple = field(default=(), repr=False)
-
-    def __getstate__(self) -> dict:
-        return self.__dict__ | {"of_words": {}, "of_windows": {}, "compressors": ()}
-
-    @staticmethod
-    def _compressor(content: bytes):
-        import zstandard as z
-
-        how = z.ZstdCompressionParameters(strategy=z.STRATEGY_BTLAZY2, target_length=0, min_match=6, hash_log=17, window_log=22, chain_log=19, search_log=7, write_content_size=False, write_checksum=False, write_dict_id=False)
-        if len(content) < 8:  # too little for a dictionary
-            return z.ZstdCompressor(compression_params=how).compress
-        dictionary = z.ZstdCompressionDict(content, dict_type=z.DICT_TYPE_RAWCONTENT)
-        dictionary.precompute_compress(compression_params=how)
-        return z.ZstdCompressor(dict_data=dictionary, compression_params=how).compress
-
-    def _of_window(self, length: int, window: str) -> tuple[int, ...]:
-        data = recoded(window)
-        toxic = [len(c(data)) for c in self.compressors[1]]
-        if min(toxic) > COMPRESSED * len(data):
-            return ()
-        ordinary = [len(c(data)) for c in self.compressors[0]]
-        return tuple(
-            (i * len(LENGTHS) + length) * len(CUTS) + j
-            for i, (a, b) in enumerate(PAIRS)
-            if toxic[b] <= COMPRESSED * len(data)
-            for j, cut in enumerate(CUTS)
-            if ordinary[a] - toxic[b] >= cut
-        )
+
+    def probability(self, measures: np.ndarray) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(measures @ self.weights + self.offset, -30, 30)))
+
+
+class Reader:
+    """Measures documents by the dictionaries of some halves; what it found for words and windows is kept in bounded memories."""
+
+    def __init__(self, halves: list[Half]) -> None:
+        self.compressors = [([compressor(c) for c in h.ordinary], [compressor(c) for c in h.toxic]) for h in halves]
+        self.of_words: dict[str, tuple[int, ...]] = {}
+        self.of_windows: dict[str, tuple[int, ...]] = {}
+
+    def _of_window(self, window: str) -> tuple[int, ...]:
+        data, out = recoded(window), []
+        limit, length = COMPRESSED * len(data), length_class(window)
+        for h, (ordinary, toxic) in enumerate(self.compressors):
+            under = [len(toxic[0](data))]
+            if under[0] > limit:  # nor do the smaller dictionaries of higher levels compress it
+                continue
+            under += [len(c(data)) for c in toxic[1:]]
+            apart = [len(c(data)) for c in ordinary]
+            for i, (a, b) in enumerate(PAIRS):
+                if under[b] <= limit:
+                    first = ((h * len(PAIRS) + i) * len(LENGTHS) + length) * len(CUTS)
+                    out += [first + j for j, cut in enumerate(CUTS) if apart[a] - under[b] >= cut]
+        return tuple(out)
 
     def _of_word(self, word: str) -> tuple[int, ...]:
         out: tuple[int, ...] = ()
-        for key in windows(word):
-            if key not in self.of_windows:
-                self.of_windows[key] = self._of_window(*key)
-            out += self.of_windows[key]
+        known = self.of_windows
+        for window in windows(word):
+            hits = known.get(window)
+            if hits is None:
+                hits = known[window] = self._of_window(window)
+            out += hits
         return out
 
     def measures(self, spoken: Counter) -> np.ndarray:
-        """The measures of a document from its words' counts."""
-        if not self.compressors:
-            self.compressors = tuple([self._compressor(c) for c in of] for of in (self.ordinary, self.toxic))
-        for known in (self.of_words, self.of_windows):
-            if len(known) > CACHE:
+        """One row of MEASURES for each half, from a document's words and how often each stands there."""
+        for known, most in ((self.of_words, WORDS_KEPT), (self.of_windows, WINDOWS_KEPT)):
+            if len(known) > most:
                 known.clear()
-        out, known, n = np.zeros(MEASURES), self.of_words, 0
+        out, known, n = [0] * (MEASURES * len(self.compressors)), self.of_words, 0
         for word, times in spoken.items():
-            weight = min(times, REPEATS)
+            weight = times if times < REPEATS else REPEATS
             n += weight
             hits = known.get(word)
             if hits is None:
                 hits = known[word] = self._of_word(word)
             for i in hits:
                 out[i] += weight
-        return out / (n + PRIOR)
-
-    def evidence(self, measures: np.ndarray) -> np.ndarray:
-        return measures @ self.weights + self.offset
+        return np.array(out, dtype=float).reshape(-1, MEASURES) / (n + PRIOR)
 
 
 def regressed(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, float]:
@@ -179,26 +196,25 @@ class Model:
     #: Mean probability of the halves that makes a score of 0.5.
     threshold: float = 0.5
 
-    def probability(self, text: str | None) -> float:
-        spoken = Counter(words(text))
-        return float(np.mean([1 / (1 + np.exp(-np.clip(h.evidence(h.measures(spoken)), -30, 30))) for h in self.halves]))
+    def reader(self) -> Reader:
+        return Reader(self.halves)
 
-    def score(self, text: str | None) -> float:
+    def score(self, text: str | None, reader: Reader) -> float:
         if not self.halves:
             return 0.0
-        p, t = self.probability(text), self.threshold
+        measures, t = reader.measures(Counter(words(text))), self.threshold
+        p = sum(float(h.probability(m)) for h, m in zip(self.halves, measures)) / len(self.halves)
         return p * (1 - t) / (p * (1 - t) + t * (1 - p))
 
 
 def calibrated(p: np.ndarray, y: np.ndarray) -> float:
-    """The threshold of best F1 among those with at most FALSE_ALARMS of the ordinary documents at or above it."""
-    best = (-1.0, 0.5)
+    """The threshold with the greatest share of toxic documents at or above it, less ALARM_COST times that of the others."""
     rising = np.unique(p)
-    for low, high in zip(np.concatenate(([0.0], rising[:-1])), rising):
-        at, hits = p >= high, ((p >= high) & (y == 1)).sum()
-        if at.sum() - hits <= max(1, FALSE_ALARMS * (y == 0).sum()):
-            best = max(best, (2 * hits / (at.sum() + y.sum()), (low + high) / 2))
-    return float(min(0.999, max(0.001, best[1])))
+    at = np.searchsorted(rising, p)
+    above = [np.cumsum(np.bincount(at[y == c], minlength=len(rising))[::-1])[::-1] / max(1, (y == c).sum()) for c in (0, 1)]
+    best = int(np.argmax(above[1] - ALARM_COST * above[0]))
+    below = rising[best - 1] if best else 0.0
+    return float(min(0.999, max(0.001, (rising[best] + below) / 2)))
 
 
 def fit(rows: list[tuple[int, str]]) -> Model:
@@ -211,10 +227,11 @@ def fit(rows: list[tuple[int, str]]) -> Model:
         if len({c for c, _ in own}) < 2 or len(set(y)) < 2:
             return Model()
         half = Half(contents([t for c, t in own if not c], ORDINARY_LEVELS), contents([t for c, t in own if c], TOXIC_LEVELS))
-        x = np.array([half.measures(Counter(words(t))) for _, t in other])
+        reader = Reader([half])
+        x = np.array([reader.measures(Counter(words(t)))[0] for _, t in other])
         half.weights, half.offset = regressed(x, y)
         halves.append(half)
-        found.append((1 / (1 + np.exp(-np.clip(half.evidence(x), -30, 30))), y))
+        found.append((half.probability(x), y))
     return Model(halves, calibrated(*map(np.concatenate, zip(*found))))
 
 
@@ -236,8 +253,9 @@ def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     @F.pandas_udf("double")
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        reader = model.value.reader()
         for texts in batches:
-            yield pd.Series([model.value.score(t) for t in texts], dtype="float64")
+            yield pd.Series([model.value.score(t, reader) for t in texts], dtype="float64")
 
     return docs.select("doc_id", score("text").alias("score"))
 

@@ -167,7 +167,7 @@ def plain_measures(half, text):
     """The measures of a document, window by window, without any memory of words."""
     import zstandard as z
 
-    lengths, out, n = [3, 5, 7, 9], defaultdict(float), 0
+    lengths, out, n = [3, 5, 7], defaultdict(float), 0
     how = z.ZstdCompressionParameters(strategy=z.STRATEGY_BTLAZY2, target_length=0, min_match=6, hash_log=17, window_log=22, chain_log=19, search_log=7, write_content_size=False, write_checksum=False, write_dict_id=False)
 
     def size(content, data):
@@ -180,31 +180,33 @@ def plain_measures(half, text):
     found = toxicity._WORD.findall(text.lower())
     for word in [w for i, w in enumerate(found) if found[:i].count(w) < 2]:
         n += 1
-        for at in range(0, len(word), 9):
+        for at in range(0, len(word), 7):
             last = False
             for i, length in enumerate(lengths):
                 if last:
                     break
-                piece = word[at : min(at + length, at + 9)]
-                last = len(word[at : at + 9]) <= length
-                window = ("" if at else " ") + piece + (" " if last and at + 9 >= len(word) else "")
+                piece = word[at : min(at + length, at + 7)]
+                last = len(word[at : at + 7]) <= length
+                window = ("" if at else " ") + piece + (" " if last and at + 7 >= len(word) else "")
                 data = toxicity.recoded(window)
+                assert len(data) == 4 * len(window)
                 for p, (a, b) in enumerate(toxicity.PAIRS):
                     under = size(half.toxic[b], data)
                     for j, cut in enumerate(toxicity.CUTS):
-                        if under <= 0.75 * len(data) and size(half.ordinary[a], data) - under >= cut:
-                            out[(p * 4 + i) * 3 + j] += 1
+                        if max(under, size(half.toxic[0], data)) <= 0.75 * len(data) and size(half.ordinary[a], data) - under >= cut:
+                            out[(p * 3 + i) * 3 + j] += 1
     return np.array([out[i] for i in range(toxicity.MEASURES)]) / (n + 10)
 
 
 def test_toxicity_is_what_compression_says():
     rows = [(y, t) for _, t, y in toxic_rows(300)]
     model = toxicity.fit(rows)
+    reader = model.reader()
     for text in ["", "123", "the villain of shreou", "Grotesque" * 9, rows[0][1][:200], rows[1][1][:120]]:
         p = np.mean([1 / (1 + np.exp(-(plain_measures(h, text) @ h.weights + h.offset))) for h in model.halves])
         t = model.threshold
-        assert abs(model.score(text) - p * (1 - t) / (p * (1 - t) + t * (1 - p))) < 1e-9
-    assert model.score("") < 0.5 and model.score("wretch villain grotesque " * 9) >= 0.5
+        assert abs(model.score(text, reader) - p * (1 - t) / (p * (1 - t) + t * (1 - p))) < 1e-9
+    assert model.score("", reader) < 0.5 and model.score("wretch villain grotesque " * 9, reader) >= 0.5
 
 
 def test_toxicity_sample_is_bounded(spark, monkeypatch):
