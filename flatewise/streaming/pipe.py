@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import struct
-import zlib
 from collections.abc import Iterator
 
 import pandas as pd
@@ -11,13 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..functions import framing
+from ..functions import resume
 from ..operators import codec
-from ..options import DICTIONARY
 
 FILES = "path string, modificationTime timestamp, length long, content binary"
-DECODED = "stream_id long, chunk long, data binary, finished boolean, crc_ok boolean"
-STATE = "pending binary, window binary, crc long, n_out long, in_body boolean, chunk long"
+DECODED = "stream_id long, chunk long, data binary, members int, finished boolean, error string"
+STATE = "next long, held array<struct<chunk: long, content: binary>>, phase string, pending binary, bit int, window binary, given long, tried long, crc long, n_out long, members int, error string"
+#: Bytes of chunks that wait for an earlier one before the stream is given up.
+MOST_HELD = 64 << 20
 
 
 def arriving_files(spark: SparkSession, path: str) -> DataFrame:
@@ -31,48 +30,36 @@ def compressed(streams: DataFrame, level: int = 6) -> DataFrame:
     return streams.select("stream_id", "path", codec.encode_indexed("content", F.lit(min(level, 9))).alias("payload"))
 
 
-def _resume(pending: bytes, window: bytes, more: bytes) -> tuple[bytes, bytes, bytes, bool]:
-    """Decode what pending + more gives beyond window: (data, rest, window, ended). Stops at byte-aligned flush points,
-    from which DEFLATE can be resumed with no more state than the last 32 KiB."""
-    feed = pending + more
-    at, out = 0, b""
-    marks = [i + 4 for i in range(len(feed) - 3) if feed[i : i + 4] == b"\0\0\xff\xff"]
-    for end in [*marks, len(feed)]:
-        d = zlib.decompressobj(-15, **({"zdict": window} if window else {}))
-        try:
-            data = d.decompress(feed[at:end])
-        except zlib.error:
-            continue  # the four bytes were data; the next mark lies beyond them
-        if d.eof:
-            return out + data, d.unused_data + feed[end:], (window + data)[-DICTIONARY:], True
-        if end in marks:
-            out, window, at = out + data, (window + data)[-DICTIONARY:], end
-    return out, feed[at:], window, False
-
-
 def decode_chunks(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """One stream's chunks in order of ``chunk``: data as soon as it is complete, and the checksum's verdict at the end.
-
-    The state is bounded by the distance between flush points, which the chained encoder puts after each block."""
-    pending, window, crc, n, in_body, chunk = state.get if state.exists else (b"", b"", 0, 0, False, -1)
-    pending, window = bytes(pending), bytes(window)
+    """One stream's chunks, numbered from 0, in that order: a row for each as soon as all before it have arrived.
+
+    data is what the chunk makes known. members counts the members that have ended well so far, checksums included;
+    finished says that the stream may end with this chunk. error is set from the first damage on, after which a stream has
+    no more data; a chunk that comes again gives a row without data and the error repeated_chunk, and leaves the stream
+    as it was. The state is bounded by the window, a block and the chunks that wait."""
+    follows, held, decoder = 0, {}, resume.Resumable()
+    if state.exists:
+        follows, waiting, *fields = state.get
+        held = {int(c): bytes(b) for c, b in waiting}
+        decoder = resume.Resumable(*[bytes(f) if isinstance(f, (bytes, bytearray)) else f for f in fields])
+    out = []
     for batch in batches:
-        for number, content in batch.sort_values("chunk")[["chunk", "content"]].itertuples(index=False):
-            chunk, more, finished, ok, data = int(number), bytes(content), False, None, b""
-            if not in_body:
-                head = framing.parse_header(pending + more)
-                if head is None:
-                    pending += more
-                    more = b""
-                else:
-                    more, pending, in_body = (pending + more)[head.size :], b"", True
-            if in_body:
-                data, pending, window, finished = _resume(pending, window, more)
-                crc, n = zlib.crc32(data, crc), n + len(data)
-                if finished:
-                    ok = pending[:8] == struct.pack("<II", crc, n & 0xFFFFFFFF)
-            yield pd.DataFrame([(key[0], chunk, data, finished, ok)], columns=["stream_id", "chunk", "data", "finished", "crc_ok"])
-    state.update((pending, window, crc, n, in_body, chunk))
+        for number, content in zip(batch["chunk"], batch["content"]):
+            if number < follows or number in held:
+                out.append((key[0], int(number), b"", decoder.members, False, "repeated_chunk"))
+            else:
+                held[int(number)] = bytes(content or b"")
+    while follows in held:
+        data = decoder.feed(held.pop(follows))
+        out.append((key[0], follows, data, decoder.members, decoder.at_end, decoder.error))
+        follows += 1
+    if decoder.error or sum(map(len, held.values())) > MOST_HELD:
+        if not decoder.error:
+            decoder.fail("missing_chunk")
+        out += [(key[0], number, b"", decoder.members, False, decoder.error) for number in sorted(held)]
+        follows, held = max([follows, *(n + 1 for n in held)]), {}
+    state.update((follows, sorted(held.items()), *decoder.state()))
+    yield pd.DataFrame(out, columns=[c.split()[0] for c in DECODED.split(", ")])
 
 
 def decoded(chunks: DataFrame) -> DataFrame:

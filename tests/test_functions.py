@@ -5,7 +5,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from flatewise.functions import bits, formats, planning
+from flatewise.functions import bits, formats, framing, planning
 from flatewise.operators import content, inflate_stats
 from flatewise.operators.codec import encode_single
 from flatewise.options import CodecOptions, parse_level, parse_size
@@ -91,3 +91,19 @@ def test_synthetic_sources(spark):
     sizes = [0, 1, 44, 1000]
     assert [len(r["content"]) for r in files.sized_text(spark, sizes).orderBy("stream_id").collect()] == sizes
     assert files.synthetic_logs(spark, 10).count() == 10
+
+
+def test_blocks_of_all_members_and_before_damage(spark):
+    import zlib
+
+    def body(n):
+        c = zlib.compressobj(6, zlib.DEFLATED, -15)
+        return b"".join(c.compress(bytes([i]) * 40) + c.flush(zlib.Z_SYNC_FLUSH) for i in range(n)) + c.flush()
+
+    member = lambda n: framing.PLAIN_HEADER + body(n) + b"12345678"
+    rows = [(1, member(3) + member(2)), (2, member(4)[:-20]), (3, b""), (4, None), (5, member(1) + b"rest"), (6, framing.PLAIN_HEADER + b"\x00\x05\x00\xfa\xffabcde\x00\x05\x00\xfa\xfeabcde")]
+    found = inflate_stats.blocks(spark.createDataFrame(rows, "stream_id long, content binary"))
+    got = {(r["stream_id"], r["member_idx"]): (r["n"], r["out"]) for r in found.groupBy("stream_id", "member_idx").agg(F.sum("n_out").alias("out"), F.count_if(F.col("n_out") > 0).alias("n")).collect()}
+    assert {k: v for k, v in got.items() if k[0] != 2} == {(1, 0): (3, 120), (1, 1): (2, 80), (5, 0): (1, 40), (6, 0): (1, 5)}
+    assert 1 <= got[2, 0][0] <= 4
+    assert inflate_stats.blocks(spark.createDataFrame(rows, "stream_id long, content binary"), first_only=True).groupBy("stream_id").count().where("stream_id = 1").first()["count"] == 1
