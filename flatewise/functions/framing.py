@@ -82,7 +82,25 @@ def indexed_member(data: bytes, level: int) -> bytes:
 
 
 def plain_member(data: bytes, level: int) -> bytes:
-    return PLAIN_HEADER + deflate(data, level) + trailer(zlib.crc32(data), len(data))
+    return member(data, deflate(data, level))
+
+
+def stored_deflate(data: bytes, piece: int) -> bytes:
+    """Raw DEFLATE of stored blocks of ``piece`` bytes (at most 65 535): the sequential scheme without compression."""
+    parts = [data[i : i + piece] for i in range(0, len(data), piece)] or [b""]
+    head = lambda i, p: struct.pack("<BHH", i == len(parts) - 1, len(p), len(p) ^ 0xFFFF)
+    return b"".join(head(i, p) + p for i, p in enumerate(parts))
+
+
+def strategy_deflate(data: bytes, level: int, strategy: int) -> bytes:
+    """Raw DEFLATE under one of zlib's strategies (Z_HUFFMAN_ONLY, Z_RLE, Z_FIXED, ...)."""
+    c = zlib.compressobj(level, zlib.DEFLATED, -15, 8, strategy)
+    return c.compress(data) + c.flush()
+
+
+def member(data: bytes, body: bytes) -> bytes:
+    """A plain member around raw DEFLATE of data."""
+    return PLAIN_HEADER + body + trailer(zlib.crc32(data), len(data))
 
 
 def _times(matrix: list[int], vector: int) -> int:

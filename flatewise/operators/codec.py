@@ -46,6 +46,19 @@ def encode_zlib(data: pd.Series, level: pd.Series) -> pd.Series:
     return pd.Series([None if d is None else zlib.compress(d, n) for d, n in zip(data, level)], dtype=object)
 
 
+#: zlib's strategies by name; ``stored`` takes the level for the size of its blocks instead.
+STRATEGIES = {"default": zlib.Z_DEFAULT_STRATEGY, "filtered": zlib.Z_FILTERED, "huffman": zlib.Z_HUFFMAN_ONLY, "runs": zlib.Z_RLE, "fixed": zlib.Z_FIXED}
+
+
+@F.pandas_udf(T.BinaryType())
+def encode_by_strategy(data: pd.Series, level: pd.Series, strategy: pd.Series) -> pd.Series:
+    """A plain member whose blocks are made by the named strategy."""
+    out = []
+    for d, n, s in zip(data, level, strategy):
+        out.append(None if d is None else framing.member(d, framing.stored_deflate(d, int(n)) if s == "stored" else framing.strategy_deflate(d, int(n), STRATEGIES[s])))
+    return pd.Series(out, dtype=object)
+
+
 @F.pandas_udf(DECODED)
 def decode_zlib(data: pd.Series) -> pd.DataFrame:
     out = []
@@ -117,36 +130,61 @@ def split(streams: DataFrame, size: Column) -> DataFrame:
     )
 
 
+def independent_parts(streams: DataFrame, level: Column, size: Column) -> DataFrame:
+    """stream_id, part, payload: self-indexing members. level and size may use the streams' columns."""
+    return split(streams, size).select("stream_id", F.col("block_idx").alias("part"), encode_indexed("data", level).alias("payload"))
+
+
 def compress_independent(streams: DataFrame, level: Column, size: Column) -> DataFrame:
     """stream_id, payload: self-indexing members in order, decodable in parallel."""
-    blocks = split(streams.select("stream_id", "content"), size)
-    coded = blocks.select("stream_id", "block_idx", encode_indexed("data", level).alias("member"))
-    return coded.groupBy("stream_id").agg(merged("member", "block_idx").alias("payload"))
+    return independent_parts(streams, level, size).groupBy("stream_id").agg(merged("payload", "part").alias("payload"))
 
 
-def compress_chained(streams: DataFrame, level: Column, size: Column) -> DataFrame:
-    """stream_id, payload: one member whose blocks refer to the 32 KiB before them."""
+def chained_parts(streams: DataFrame, level: Column, size: Column) -> DataFrame:
+    """stream_id, part, payload: one member in parts, whose blocks refer to the 32 KiB before them; the header stands in
+    the first part and the trailer in the last."""
     # the whole's checksum and size ride along with its blocks; combined_crc32 is for streams that lie in several rows
-    whole = streams.select("stream_id", "content", F.crc32("content").alias("crc"), F.length("content").cast("long").alias("n"))
-    blocks = split(whole, size)
-    coded = blocks.select("stream_id", "block_idx", "crc", "n", encode_chained("data", "dictionary", level, "is_last").alias("body"))
-    parts = coded.groupBy("stream_id").agg(merged("body", "block_idx").alias("body"), F.first("crc").alias("crc"), F.first("n").alias("n"))
+    whole = streams.withColumns({"crc_": F.crc32("content"), "n_": F.length("content").cast("long")})
     le = lambda v: F.concat(*[F.unhex(F.lpad(F.hex(F.shiftright(v, 8 * i).bitwiseAND(F.lit(255))), 2, "0")) for i in range(4)])
-    return parts.select("stream_id", F.concat(F.lit(framing.PLAIN_HEADER), F.col("body"), le(F.col("crc")), le(F.col("n"))).alias("payload"))
+    body = encode_chained("data", "dictionary", level, "is_last").alias("body")
+    coded = split(whole, size).select("stream_id", F.col("block_idx").alias("part"), "is_last", "crc_", "n_", body)
+    head = F.when(F.col("part") == 0, F.lit(framing.PLAIN_HEADER)).otherwise(F.lit(b""))
+    tail = F.when(F.col("is_last"), F.concat(le(F.col("crc_")), le(F.col("n_")))).otherwise(F.lit(b""))
+    return coded.select("stream_id", "part", F.concat(head, "body", tail).alias("payload"))
 
 
-def compress(streams: DataFrame, level: int = 6, threads: int = 4, cores: int = 8) -> DataFrame:
-    """stream_id, strategy, effective_level, payload: every stream by the strategy the plan gives it."""
+def compress_chained(streams: DataFrame, level: Column, size: Column) -> DataFrame:
+    """stream_id, payload: the parts of one member laid end to end."""
+    return chained_parts(streams, level, size).groupBy("stream_id").agg(merged("payload", "part").alias("payload"))
+
+
+def compressed_parts(streams: DataFrame, level: int = 6, threads: int = 4, cores: int = 8, block_size: int | None = None) -> DataFrame:
+    """stream_id, strategy, part, payload: every stream by the strategy the plan gives it, in parts to be laid end to end.
+
+    Parts are never brought into one row, so a stream's size is bounded by its input row alone. block_size replaces the
+    planned one."""
     n = F.length("content").cast("long")
     t = P.thread_count(F.lit(threads), n, F.lit(level), cores)
-    planned = streams.select("stream_id", "content").withColumn("strategy", routing.compress_strategy(n, F.lit(level), t)).withColumn("threads_", t)
+    planned = streams.select("stream_id", "content").withColumn("strategy", routing.compress_strategy(n, F.lit(level), t))
     used = F.lit(min(level, 9))
-    of = lambda s: planned.where(F.col("strategy") == s)
-    out = [
-        of("EMPTY").select("stream_id", F.lit(EMPTY_MEMBER).alias("payload"), "strategy"),
-        of("SINGLE").select("stream_id", encode_single("content", P.adjusted_level(F.lit(level))).alias("payload"), "strategy"),
-        compress_independent(of("INDEPENDENT"), used, P.independent_block_size(F.lit(level), F.length("content"), F.lit(max(1, min(threads, cores))))).withColumn("strategy", F.lit("INDEPENDENT")),
-        compress_chained(of("CHAINED"), used, P.chained_block_size(F.length("content"))).withColumn("strategy", F.lit("CHAINED")),
+    of = lambda s: planned.where(F.col("strategy") == s).select("stream_id", "content")
+    size = lambda planned_size: F.lit(block_size) if block_size else planned_size
+    whole = lambda s, payload: of(s).select("stream_id", F.lit(0).alias("part"), payload.alias("payload"))
+    done = [
+        ("EMPTY", whole("EMPTY", F.lit(EMPTY_MEMBER))),
+        ("SINGLE", whole("SINGLE", encode_single("content", P.adjusted_level(F.lit(level))))),
+        ("INDEPENDENT", independent_parts(of("INDEPENDENT"), used, size(P.independent_block_size(F.lit(level), F.length("content"), F.lit(max(1, min(threads, cores))))))),
+        ("CHAINED", chained_parts(of("CHAINED"), used, size(P.chained_block_size(F.length("content"))))),
     ]
-    done = out[0].unionByName(out[1]).unionByName(out[2]).unionByName(out[3])
-    return done.select("stream_id", "strategy", used.alias("effective_level"), "payload")
+    out = None
+    for name, parts in done:
+        rows = parts.select("stream_id", F.lit(name).alias("strategy"), "part", "payload")
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+def compress(streams: DataFrame, level: int = 6, threads: int = 4, cores: int = 8) -> DataFrame:
+    """stream_id, strategy, effective_level, payload: every stream by the strategy the plan gives it."""
+    parts = compressed_parts(streams, level, threads, cores)
+    done = parts.groupBy("stream_id", "strategy").agg(merged("payload", "part").alias("payload"))
+    return done.select("stream_id", "strategy", F.lit(min(level, 9)).alias("effective_level"), "payload")

@@ -10,19 +10,21 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..functions import framing
+from ..functions import framing, resume
+from ..plans import routing
 from . import codec
 
 MEMBERS = "stream_id long, member_idx int, start long, length long, deflate_offset int, isize long, n_out long, crc_ok boolean, indexed boolean, error string"
 
 
-def walk(data: bytes, keep: bool = False) -> Iterator[tuple]:
+def walk(data: bytes, keep: bool = False, stepping: bool = True) -> Iterator[tuple]:
     """(start, length, deflate offset, isize, bytes out, crc ok, indexed, error, data) of each member.
 
     A member whose header tells its size is stepped over without decoding (bytes out and crc are then null); for others
     the decoder says where it ends, and their data are given if keep is set. What follows the last member gives one row
-    with an error."""
+    with an error. stepping: believe headers that tell a size; otherwise all members are decoded."""
     at = 0
     if not data:
         yield 0, 0, 0, 0, 0, None, False, "empty", b""
@@ -31,7 +33,7 @@ def walk(data: bytes, keep: bool = False) -> Iterator[tuple]:
         if head is None:
             yield at, len(data) - at, 0, 0, 0, None, False, "trailing_bytes" if at else "not_gzip", b""
             return
-        size = head.member_size
+        size = head.member_size if stepping else None
         if size and head.size + 8 <= size <= len(data) - at:
             yield at, size, head.size, struct.unpack_from("<I", data, at + size - 4)[0], None, None, True, None, None
             at += size
@@ -122,6 +124,78 @@ def decompress(streams: DataFrame, mode: str = "PERMISSIVE", spread: bool = Fals
     return some.groupBy("stream_id").agg(codec.merged("data", "member_idx").alias("data"), F.min_by("error", F.when(F.col("error").isNotNull(), F.col("member_idx"))).alias("error"))
 
 
+@F.pandas_udf(T.StructType([T.StructField("gzip", T.BooleanType()), T.StructField("indexed", T.BooleanType()), T.StructField("candidates", T.IntegerType())]))
+def _seen(content: pd.Series) -> pd.DataFrame:
+    heads = [framing.parse_header(data or b"") for data in content]
+    counts = [len(candidate_starts(data or b"", "header")) if h else 0 for h, data in zip(heads, content)]
+    return pd.DataFrame({"gzip": [h is not None for h in heads], "indexed": [bool(h and h.member_size) for h in heads], "candidates": pd.Series(counts, dtype="int32")})
+
+
+def routed(streams: DataFrame) -> DataFrame:
+    """stream_id, strategy: how each stream is best decoded, from its first header and what looks like further ones."""
+    seen = streams.select("stream_id", _seen("content").alias("s"))
+    return seen.select("stream_id", routing.decompress_strategy(F.col("s.gzip"), F.col("s.indexed"), F.col("s.candidates")).alias("strategy"))
+
+
+@F.pandas_udf(T.ArrayType(T.BinaryType()))
+def _at_candidates(content: pd.Series) -> pd.Series:
+    """Streams cut where a whole header stands."""
+    out = []
+    for data in content:
+        data = data or b""
+        starts = [0, *(m.start() for m in re.finditer(b"\x1f\x8b\x08", data) if m.start() and framing.parse_header(data, m.start()))]
+        out.append([data[a:b] for a, b in zip(starts, [*starts[1:], len(data)])])
+    return pd.Series(out, dtype=object)
+
+
+@F.pandas_udf(codec.DECODED)
+def _whole_member(piece: pd.Series) -> pd.DataFrame:
+    """A piece's data if it is one sound member and nothing else."""
+    out = []
+    for data in piece:
+        found = list(walk(bytes(data), keep=True, stepping=False))
+        one = len(found) == 1 and found[0][7] is None
+        out.append((found[0][8], None) if one else (None, "not_one_member"))
+    return pd.DataFrame(out, columns=["data", "error"])
+
+
+def decompress_candidates(streams: DataFrame) -> DataFrame:
+    """stream_id, data, error like decompress(), for streams of many members that do not tell their size.
+
+    Each stream is cut where headers seem to stand and its pieces are decoded apart from each other, dealt out over the
+    cluster. Where a piece is not exactly one sound member, a candidate was false or the stream is damaged, and that
+    stream is walked from its beginning instead; the outcome never depends on the candidates."""
+    pieces = streams.select("stream_id", F.posexplode(_at_candidates("content")).alias("piece", "content")).repartition("stream_id", "piece")
+    parts = pieces.select("stream_id", "piece", _whole_member("content").alias("d")).select("stream_id", "piece", "d.*")
+    whole = parts.groupBy("stream_id").agg(codec.merged("data", "piece").alias("data"), F.max("error").alias("error"))
+    sound = whole.where("error is null")
+    rest = streams.join(whole.where("error is not null").select("stream_id"), "stream_id", "left_semi")
+    return sound.unionByName(decompress(rest))
+
+
+@F.pandas_udf(codec.DECODED)
+def decode_whole(content: pd.Series) -> pd.DataFrame:
+    """A stream's data by one pass over it, member sizes in headers being ignored; and the first error."""
+    out = []
+    for data in content:
+        found = list(walk(bytes(data or b""), keep=True, stepping=False))
+        out.append((b"".join(m[8] for m in found), next((m[7] for m in found if m[7]), None)))
+    return pd.DataFrame(out, columns=["data", "error"])
+
+
+@F.pandas_udf(codec.DECODED)
+def decode_resumed(content: pd.Series, piece: pd.Series) -> pd.DataFrame:
+    """A stream's data by a decoder that is put away and taken up again after every ``piece`` bytes."""
+    out = []
+    for data, n in zip(content, piece):
+        decoder, got = resume.Resumable(), []
+        for at in range(0, len(data or b""), int(n)):
+            got.append(decoder.feed(bytes(data[at : at + int(n)])))
+            decoder = resume.Resumable(*decoder.state())
+        out.append((b"".join(got), decoder.error or (None if decoder.at_end else "truncated")))
+    return pd.DataFrame(out, columns=["data", "error"])
+
+
 def tested(streams: DataFrame) -> DataFrame:
     """stream_id, n_members, ok, error: what --test tells; every checksum is computed."""
     parts = decoded_members(streams)
@@ -142,6 +216,13 @@ def _candidate(data: bytes, at: int, strictness: str) -> bool:
     return strictness != "header" or framing.parse_header(data, at) is not None
 
 
+def candidate_starts(data: bytes, strictness: str = "time") -> list[int]:
+    """Places that look like member headers."""
+    if strictness not in STRICTNESS:
+        raise ValueError(strictness)
+    return [m.start() for m in re.finditer(b"\x1f\x8b\x08", data) if _candidate(data, m.start(), strictness)]
+
+
 def candidates(streams: DataFrame, strictness: str = "time") -> DataFrame:
     """stream_id, start: places that look like member headers. Data may hold false ones; members() is exact."""
     if strictness not in STRICTNESS:
@@ -149,7 +230,7 @@ def candidates(streams: DataFrame, strictness: str = "time") -> DataFrame:
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = [(s, m.start()) for s, d in zip(batch["stream_id"], batch["content"]) for m in re.finditer(b"\x1f\x8b\x08", d or b"") if _candidate(d, m.start(), strictness)]
+            rows = [(s, start) for s, d in zip(batch["stream_id"], batch["content"]) for start in candidate_starts(d or b"", strictness)]
             yield pd.DataFrame(rows, columns=["stream_id", "start"]).astype("int64")
 
     return streams.select("stream_id", "content").mapInPandas(scan, "stream_id long, start long")

@@ -32,6 +32,17 @@ def normalised(rows: DataFrame, path: str = "path") -> DataFrame:
     )
 
 
+def result_kind(rows: DataFrame) -> Column:
+    """What a row measures, by what it has: decompression (a source or decompressor), validation (a cell's success or
+    correctness), compression (a level and threads), else unknown."""
+    has = lambda c: F.col(c).isNotNull() if c in rows.columns else F.lit(False)
+    return F.when(has("source") | has("decompressor"), "decompression").when(has("success") | has("correct"), "validation").when(has("level") & has("threads"), "compression").otherwise("unknown")
+
+
+def distinct_levels(rows: DataFrame) -> DataFrame:
+    return rows.select("level").where("level is not null").distinct().orderBy("level")
+
+
 def deduplicated(rows: DataFrame, keys: list[str], arrival: str) -> DataFrame:
     """One row per key by a fold in order of arrival: a later row replaces the kept one if it has more trials or,
     failing that, a lower cv. The outcome depends on the order, so it is a fold and not a maximum."""
@@ -54,13 +65,20 @@ def trial_stats(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
 
 
 def robust_stats(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """median and stdev after dropping values above twice the median, unless fewer than half of them remain."""
-    times = rows.where(F.col(value).isNotNull())
-    medians = times.groupBy(*keys).agg(F.median(value).alias("mid"), F.count("*").alias("n"), F.count("*").alias("n_all"))
-    kept = times.join(medians, keys).withColumn("low", F.col(value) <= 2 * F.col("mid"))
-    counts = kept.groupBy(*keys).agg(F.count_if("low").alias("n_low"))
-    use = kept.join(counts, keys).where((F.col("n_low") < F.floor(F.col("n") / 2)) | F.col("low"))
-    got = use.groupBy(*keys).agg(F.first("n_all").alias("n_trials"), F.count("*").alias("n_kept"), F.median(value).alias("median"), F.coalesce(F.stddev_samp(value), F.lit(0.0)).alias("stdev"))
+    """median and stdev after dropping values above twice the median, unless fewer than half of them remain.
+
+    One shuffle for the medians, one that deals out each key's values for the median of what remains; the rest are sums."""
+    times = rows.where(F.col(value).isNotNull()).select(*keys, F.col(value).alias("v_"))
+    medians = times.groupBy(*keys).agg(F.median("v_").alias("mid"), F.count("*").alias("n"))
+    low = F.col("v_") <= 2 * F.col("mid")
+    both = times.join(F.broadcast(medians) if medians.count() <= 100_000 else medians, keys)
+    got = both.groupBy(*keys).agg(
+        F.first("n").alias("n_trials"), F.count_if(low).alias("n_low"), F.first("mid").alias("mid"), F.stddev_samp("v_").alias("sd_all"),
+        F.median(F.when(low, F.col("v_"))).alias("mid_low"), F.stddev_samp(F.when(low, F.col("v_"))).alias("sd_low"),
+    )
+    every = F.col("n_low") < F.floor(F.col("n_trials") / 2)
+    pick = lambda a, b, name: F.when(every, F.col(a)).otherwise(F.col(b)).alias(name)
+    got = got.select(*keys, "n_trials", pick("n_trials", "n_low", "n_kept"), pick("mid", "mid_low", "median"), F.coalesce(pick("sd_all", "sd_low", "x"), F.lit(0.0)).alias("stdev"))
     stable = (F.col("n_trials") >= MIN_TRIALS) & ((F.col("median") == 0) | (F.col("stdev") / F.when(F.col("median") != 0, F.col("median")) <= CV_STABLE))
     return got.withColumn("stable", F.coalesce(stable, F.lit(False)))
 
@@ -101,9 +119,10 @@ def _latest(rows: DataFrame, keys: list[str], arrival: str) -> DataFrame:
 
 
 def compression_guards(rows: DataFrame, own: str, arrival: str) -> DataFrame:
-    """Guard rows of a tool against its baselines (inner join on level, threads, data type)."""
+    """Guard rows of a tool against its baselines (inner join on level, threads, data type); rows with an error are left out."""
     keys = ["level", "threads", "data_type"]
-    last = _latest(rows, [*keys, "tool"], arrival)
+    good = rows if "error" not in rows.columns else rows.where("error is null")
+    last = _latest(good, [*keys, "tool"], arrival)
     mine = last.where(F.col("tool") == own).select(*keys, F.col("speed").alias("own_speed"), F.col("size").alias("own_size"))
     out = None
     for other, metric, sense, threshold, from_level in COMPRESSION_GUARDS:
@@ -155,12 +174,28 @@ def with_baseline(rows: DataFrame) -> DataFrame:
     return rows.withColumn("baseline", F.when(F.col("threads") == 1, "gzip").otherwise("pigz"))
 
 
-def allowances(rows: DataFrame, spark: SparkSession) -> DataFrame:
-    """time_allowance and size_allowance by range join with a small table of thresholds."""
-    table = [(0, 6, 8.0), (6, 9, 2.0), (9, 10, 0.5), (10, 1 << 30, -3.0)]
-    ranges = spark.createDataFrame(table, "low int, high int, size_allowance double")
-    joined = rows.join(F.broadcast(ranges), (F.col("level") >= F.col("low")) & (F.col("level") < F.col("high"))).drop("low", "high")
-    return joined.withColumn("time_allowance", P.time_allowance(F.col("level"), F.col("size_mb")))
+#: From each level on: allowed growth of the size, in per cent, of benchmark runs; and allowed loss of time and growth of
+#: size in validation (fixed values).
+SIZE_ALLOWANCES = ((0, 8.0), (6, 2.0), (9, 0.5), (10, -3.0))
+VALIDATION_ALLOWANCES = ((0, 2.0, 8.0), (7, 5.0, 2.0), (9, 5.0, 0.5))
+
+
+def _by_level(rows: DataFrame, ladder: tuple, columns: list[str]) -> DataFrame:
+    """rows with a ladder's values by range join: each step reaches to the next."""
+    ends = [*(step[0] for step in ladder[1:]), 1 << 30]
+    table = [(step[0], end, *step[1:]) for step, end in zip(ladder, ends)]
+    ranges = rows.sparkSession.createDataFrame(table, ", ".join(["low_ int", "high_ int", *(f"{c} double" for c in columns)]))
+    return rows.join(F.broadcast(ranges), (F.col("level") >= F.col("low_")) & (F.col("level") < F.col("high_"))).drop("low_", "high_")
+
+
+def allowances(rows: DataFrame) -> DataFrame:
+    """time_allowance and size_allowance of benchmark runs, by level and size."""
+    return _by_level(rows, SIZE_ALLOWANCES, ["size_allowance"]).withColumn("time_allowance", P.time_allowance(F.col("level"), F.col("size_mb")))
+
+
+def validation_allowances(rows: DataFrame) -> DataFrame:
+    """time_allowed and size_allowed of validation, by level."""
+    return _by_level(rows, VALIDATION_ALLOWANCES, ["time_allowed", "size_allowed"])
 
 
 def cells(spark: SparkSession, levels: list[int], threads: list[int], tools: list[str]) -> DataFrame:

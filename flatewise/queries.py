@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions import bits, formats, planning
+from .functions import bits, formats, framing, planning
 from .operators import codec, content, index, inflate_stats, results
 from .plans import routing
 from .sources import files
@@ -220,35 +220,77 @@ def byte_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return content.byte_histogram(documents(spark, sf_dir))
 
 
-def _blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    coded = documents(spark, sf_dir).select("stream_id", codec.encode_single("content", F.when(F.col("stream_id") % 4 == 0, 0).otherwise(6)).alias("content"))
-    return inflate_stats.blocks(coded)
+#: What follows each stream of _blocks as a second member: one stored block of five bytes.
+TAIL = framing.member(b"tail!", framing.stored_deflate(b"tail!", 9))
+PATTERN = 4096
+
+
+def _blocks(spark: SparkSession, sf_dir: str, run_by: str = "fixed") -> DataFrame:
+    """Blocks of streams of four kinds by id, a second member behind each: the text in stored blocks of 1000 bytes, a
+    pattern of 4 to 8 letters and the text itself without matches, and a run as long as the text."""
+    streams = documents(spark, sf_dir)
+    kind, letters = F.col("stream_id") % 4, 4 + F.floor(F.col("stream_id") / 4) % 5
+    pattern = F.substr(F.encode(F.repeat(F.substr(F.lit("abcdefgh"), F.lit(1), letters.cast("int")), 2000), "UTF-8"), F.lit(1), F.lit(PATTERN))
+    run = F.encode(F.repeat(F.lit("z"), F.length("content")), "UTF-8")
+    made = F.when(kind == 1, pattern).when(kind == 3, run).otherwise(F.col("content"))
+    how = F.when(kind == 0, "stored").when(kind == 3, run_by).otherwise("huffman")
+    coded = codec.encode_by_strategy(made, F.when(kind == 0, 1000).otherwise(1), how)
+    return inflate_stats.blocks(streams.select("stream_id", F.concat(coded, F.lit(TAIL)).alias("content")))
+
+
+def _known_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Without the kind whose blocks zlib may cut anywhere."""
+    return _blocks(spark, sf_dir).where("stream_id % 4 <> 2")
 
 
 def block_types(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return inflate_stats.block_types(_blocks(spark, sf_dir))
+    return inflate_stats.block_types(_known_blocks(spark, sf_dir))
 
 
 def top_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return inflate_stats.top_fingerprints(_blocks(spark, sf_dir))
+    return inflate_stats.top_fingerprints(_known_blocks(spark, sf_dir)).select("n", F.round("share", 9).alias("share"))
 
 
 def fingerprint_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return inflate_stats.fingerprint_summary(_blocks(spark, sf_dir))
+    got = inflate_stats.fingerprint_summary(_known_blocks(spark, sf_dir))
+    return got.withColumn("hit_rate", F.round("hit_rate", 9))
 
 
 def decode_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return inflate_stats.trace(_blocks(spark, sf_dir))
+    got = inflate_stats.trace(_blocks(spark, sf_dir, "runs"))
+    return got.select(*[F.round(c, 9).alias(c) if c.endswith("_share") else c for c in got.columns])
 
 
 def traced_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Bytes that the walk over blocks counts, per stream: the text's own length."""
+    """Bytes that the walk over blocks counts, per stream."""
     return _blocks(spark, sf_dir).groupBy("stream_id").agg(F.sum("n_out").alias("n_bytes"))
 
 
+def first_coded_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Streams of one member each that opens with stored blocks: how many precede the first block with a code."""
+    streams = documents(spark, sf_dir)
+    stored = F.concat(*[F.concat(F.unhex(F.lit("000100FEFF")), F.lit(b"x"))] * 3)
+    body = codec.encode_by_strategy("content", F.lit(1), F.lit("fixed"))
+    n = (F.col("stream_id") % 4).cast("int")
+    opened = F.concat(F.substr(body, F.lit(1), F.lit(10)), F.substr(stored, F.lit(1), 6 * n), F.substr(body, F.lit(11), F.length(body)))
+    found = inflate_stats.blocks(streams.select("stream_id", opened.alias("content")), first_only=True)
+    return found.groupBy("stream_id").agg(F.count_if(F.col("btype") == "stored").alias("n_stored"), F.max("member_idx").alias("last_member"))
+
+
 def deflate_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    coded = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("stream_id"), codec.encode_single(F.encode("text", "UTF-8"), F.lit(6)).alias("content"))
-    return inflate_stats.block_candidates(coded).groupBy("stream_id").agg(F.count("*").alias("n"), F.min("bit_offset").alias("first"))
+    """Places in each conversation's bytes where a block's header could begin."""
+    return inflate_stats.block_candidates(conversations(spark, sf_dir)).groupBy("stream_id").agg(F.count("*").alias("n"), F.min("bit_offset").alias("first"))
+
+
+def stats_formulas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ratios, savings, expansion, throughput and percentages over the planner's sizes."""
+    rows = _sizes(spark, sf_dir).select("o_orderkey", "size", F.floor(F.col("size") / (F.col("level") + 1)).cast("long").alias("out"), ((F.col("o_orderkey") % 9) / 4).alias("seconds"))
+    stats = planning.compression_stats(F.col("size"), F.col("out"))
+    speed = lambda binary: F.round(planning.throughput(F.col("size"), F.col("seconds"), binary), 9)
+    return rows.select(
+        "o_orderkey", F.round(stats["ratio"], 9).alias("ratio"), F.round(stats["saved_percent"], 7).alias("saved_percent"), F.round(planning.expansion(F.col("out"), F.col("size")), 6).alias("expansion"),
+        speed(False).alias("mb_s"), speed(True).alias("mib_s"), planning.percentage(F.col("out"), F.col("size") * 4).alias("percentage"),
+    )
 
 
 def bit_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -295,12 +337,13 @@ def _results(spark: SparkSession, sf_dir: str) -> DataFrame:
     return li.select(
         tool.alias("tool"), (F.col("l_quantity") % 10).cast("int").alias("level"), (F.col("l_suppkey") % 2 + 1).cast("int").alias("threads"), F.concat("l_returnflag", "l_linestatus").alias("data_type"), F.col("l_linestatus").alias("source"),
         F.col("l_extendedprice").alias("speed"), F.col("l_partkey").alias("size"), ((F.col("l_orderkey") * 8 + F.col("l_linenumber")) * 100_000_000 + F.round(F.col("l_extendedprice") * 100).cast("long")).alias("arrival"), (F.col("l_partkey") % 5).cast("int").alias("trials"), F.col("l_discount").alias("cv"), F.when(F.col("l_tax") >= 0.08, "fail").otherwise("ok").alias("status"),
+        F.when(F.col("l_discount") >= 0.095, "timed out").alias("error"),
     )
 
 
 _RESULTS_SQL = """SELECT ['self','pigz','gzip','igzip','rapidgzip','unpigz','self'][(l_linenumber % 7 + 1)::INT] AS tool, (l_quantity % 10)::INT AS level, (l_suppkey % 2 + 1)::INT AS threads,
   l_returnflag || l_linestatus AS data_type, l_linestatus AS source, l_extendedprice AS speed, l_partkey AS size, (l_orderkey * 8 + l_linenumber) * 100000000 + round(l_extendedprice * 100)::BIGINT AS arrival, (l_partkey % 5)::INT AS trials, l_discount AS cv,
-  CASE WHEN l_tax >= 0.08 THEN 'fail' ELSE 'ok' END AS status FROM lineitem"""
+  CASE WHEN l_tax >= 0.08 THEN 'fail' ELSE 'ok' END AS status, CASE WHEN l_discount >= 0.095 THEN 'timed out' END AS error FROM lineitem"""
 
 
 def guard_compression(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -330,7 +373,7 @@ def dedup_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def threshold_range_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _results(spark, sf_dir).select(F.col("level") + (F.col("trials") % 4).alias("x"), (F.col("size") % 50).cast("int").alias("size_mb")).toDF("level", "size_mb")
-    return results.allowances(rows, spark).groupBy("level", "size_allowance", "time_allowance").agg(F.count("*").alias("n"))
+    return results.allowances(rows).groupBy("level", "size_allowance", "time_allowance").agg(F.count("*").alias("n"))
 
 
 def tool_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -343,15 +386,88 @@ def baseline_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def validation_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every level and compressor against every decompressor, on the benchmark's texts."""
-    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("stream_id"), F.encode("text", "UTF-8").alias("content"))
-    grid = results.cells(spark, [1, 6, 9], [1, 4], ["indexed", "single"])
-    rows = items.crossJoin(F.broadcast(grid))
-    coded = rows.withColumn("payload", F.when(F.col("compressor") == "indexed", codec.encode_indexed("content", "level")).otherwise(codec.encode_single("content", "level")))
-    head = F.when(F.col("compressor") == "indexed", 20).otherwise(10)
-    done = coded.withColumn("out", codec.inflate_member("payload", head)["data"])
-    correct = F.col("out") == F.col("content")
-    return done.groupBy("level", "threads", "compressor", "decompressor").agg(F.count_if(correct).alias("n_correct"), F.count("*").alias("n"))
+    """Every level, thread count and compressor against every decompressor, on all documents."""
+    grid = results.cells(spark, [1, 6, 9], [1, 4], ["independent", "chained", "single"]).select("level", "threads", "compressor").distinct()
+    cell = F.xxhash64("level", "threads", "compressor", "stream_id").alias("cell")
+    rows = documents(spark, sf_dir).crossJoin(F.broadcast(grid)).select(cell, "level", "threads", "compressor", F.md5("content").alias("md5"), "content")
+    of = lambda c: rows.where(F.col("compressor") == c).select(F.col("cell").alias("stream_id"), "level", "threads", "content")
+    size = F.when(F.col("threads") == 1, F.greatest(F.lit(1), F.length("content"))).otherwise(BLOCK)
+    single = of("single").select("stream_id", codec.encode_single("content", "level").alias("payload"))
+    coded = codec.compress_independent(of("independent"), F.col("level"), size).unionByName(codec.compress_chained(of("chained"), F.col("level"), size)).unionByName(single)
+    coded = coded.withColumnRenamed("payload", "content")
+    chunk = F.lit(997)
+    done = [
+        ("parallel", index.decompress(coded)),
+        ("whole", coded.select("stream_id", index.decode_whole("content").alias("d")).select("stream_id", "d.*")),
+        ("resumed", coded.select("stream_id", index.decode_resumed("content", chunk).alias("d")).select("stream_id", "d.*")),
+    ]
+    out = None
+    for name, decoded in done:
+        part = decoded.select(F.col("stream_id").alias("cell"), F.lit(name).alias("decompressor"), F.when(F.col("error").isNull(), F.md5("data")).alias("back"))
+        out = part if out is None else out.unionByName(part)
+    judged = rows.drop("content").join(out, "cell")
+    return judged.groupBy("level", "threads", "compressor", "decompressor").agg(F.count_if(F.col("md5") == F.col("back")).alias("n_correct"), F.count("*").alias("n"))
+
+
+def result_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of three schemas laid together, told apart by what they have."""
+    r = _results(spark, sf_dir)
+    both = r.select("tool", "level", "threads").unionByName(r.select("tool", "source", "speed"), allowMissingColumns=True)
+    both = both.unionByName(r.where("error is null").select("level", "threads", (F.col("status") == "ok").alias("success")), allowMissingColumns=True).unionByName(r.where("error is not null").select("tool"), allowMissingColumns=True)
+    return both.groupBy(results.result_kind(both).alias("kind")).agg(F.count("*").alias("n"))
+
+
+def validation_ladder(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _results(spark, sf_dir).select(F.col("level") + (F.col("trials") % 4).alias("x")).toDF("level")
+    return results.validation_allowances(rows).groupBy("level", "time_allowed", "size_allowed").agg(F.count("*").alias("n"))
+
+
+def distinct_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return results.distinct_levels(_results(spark, sf_dir))
+
+
+def golden_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hash of each stream's first 64 bytes after a round trip, as golden values are kept."""
+    packed = documents(spark, sf_dir).select("stream_id", codec.encode_single("content", F.lit(9)).alias("content"))
+    return index.decompress_candidates(packed).select("stream_id", F.md5(F.substring("data", 1, 64)).alias("prefix"), "error")
+
+
+def table_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hits and misses of code tables looked up by fingerprint, where every stream repeats its pattern once."""
+    letters = 4 + F.floor(F.col("stream_id") / 4) % 5
+    pattern = F.substr(F.encode(F.repeat(F.substr(F.lit("abcdefgh"), F.lit(1), letters.cast("int")), 2000), "UTF-8"), F.lit(1), F.lit(PATTERN))
+    member = codec.encode_by_strategy(pattern, F.lit(1), F.lit("huffman"))
+    rows = documents(spark, sf_dir).select("stream_id", member.alias("member")).select("stream_id", F.concat("member", "member").alias("content"))
+    return inflate_stats.cache_stats(inflate_stats.with_table(inflate_stats.blocks(rows)))
+
+
+def roundtrip_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Plain members of 4 KiB blocks, decoded apart from each other where headers seem to stand."""
+    blocks = codec.split(documents(spark, sf_dir), F.lit(BLOCK * 4)).select("stream_id", "block_idx", codec.encode_single("data", F.lit(6)).alias("member"))
+    packed = blocks.groupBy("stream_id").agg(codec.merged("member", "block_idx").alias("content"))
+    return _digest(index.decompress_candidates(packed))
+
+
+def roundtrip_resumed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chained members, decoded by a decoder that is put away after every 1000 bytes."""
+    packed = codec.compress_chained(documents(spark, sf_dir), F.lit(6), F.lit(BLOCK * 4))
+    return _digest(packed.select("stream_id", index.decode_resumed("payload", F.lit(1000)).alias("d")).select("stream_id", "d.data"))
+
+
+def decompress_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which way each archive is decoded: members that tell their size, plain members, one member, or no gzip at all."""
+    streams = documents(spark, sf_dir)
+    kind = F.col("stream_id") % 4
+    single = codec.encode_single("content", F.lit(1))
+    made = F.when(kind == 0, codec.encode_indexed("content", F.lit(1))).when(kind == 1, single).when(kind == 2, F.concat(single, single)).otherwise(codec.encode_zlib("content", F.lit(1)))
+    return index.routed(streams.select("stream_id", made.alias("content")))
+
+
+def dataset_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Built-in data sets: their size, and whether each comes back from its own level."""
+    rows = files.datasets(spark)
+    back = index.decode_whole(codec.encode_single("content", "level"))
+    return rows.select("name", F.length("content").cast("long").alias("n_bytes"), (back["data"] == F.col("content")).alias("equal"))
 
 
 def first_per_key(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -387,6 +503,9 @@ SELECT stream_id, i::INT AS block_idx, {columns} FROM b"""
 _MEDIANS = "SELECT tool, threads, median(seconds) AS mid, count(*) AS n FROM t GROUP BY ALL"
 _TRIALS = "t AS (SELECT event_type AS tool, (user_id % 4)::INT AS threads, event_id AS arrival, value AS seconds FROM events)"
 
+#: The kinds of streams that _blocks makes.
+_KINDS = "k AS (SELECT doc_id AS stream_id, doc_id % 4 AS kind, octet_length(encode(coalesce(text, '')))::BIGINT AS n FROM documents)"
+
 ORACLE_SQL: dict[str, str] = {
     **{name: _ROUND_TRIP for name in ("roundtrip_independent", "roundtrip_chained", "roundtrip_zlib")},
     "roundtrip_single": "SELECT page_id AS stream_id, md5(coalesce(html, '')) AS md5, octet_length(encode(coalesce(html, '')))::BIGINT AS n_bytes FROM pages",
@@ -422,7 +541,32 @@ s AS (SELECT stream_id, len(b) AS n, len(list_filter(b, lambda x: x BETWEEN 32 A
 SELECT stream_id, CASE WHEN n = 0 THEN 0 ELSE round(t / n, 6) END AS text_share, CASE WHEN n = 0 THEN 0 ELSE round(c / n, 6) END AS control_share, CASE WHEN n > 0 AND t / n > 0.8 AND c / n < 0.1 THEN 'Text' ELSE 'Binary' END AS content_type FROM s""",
     "byte_histogram": """WITH d AS (SELECT hex(encode(text)) AS h FROM documents WHERE text IS NOT NULL), b AS (SELECT substr(h, (2 * unnest(range(length(h) // 2)) + 1)::BIGINT, 2) AS x FROM d)
 SELECT ('0x' || x)::INT AS value, count(*) AS n FROM b GROUP BY 1""",
-    "traced_bytes": "SELECT doc_id AS stream_id, octet_length(encode(coalesce(text, '')))::BIGINT AS n_bytes FROM documents",
+    "traced_bytes": f"WITH {_KINDS} SELECT stream_id, (CASE kind WHEN 1 THEN 4096 ELSE n END + 5)::BIGINT AS n_bytes FROM k",
+    "header_candidates": "WITH d AS (SELECT doc_id, octet_length(encode(coalesce(text, '')))::BIGINT AS n FROM documents) SELECT doc_id AS stream_id, greatest(1, (n + 4095) // 4096)::BIGINT AS n_candidates FROM d",
+    "block_types": f"""WITH {_KINDS}, b AS (SELECT CASE kind WHEN 0 THEN 'stored' WHEN 1 THEN 'dynamic' ELSE 'fixed' END AS btype, CASE kind WHEN 0 THEN greatest(1, (n + 999) // 1000) ELSE 1 END AS c, CASE kind WHEN 1 THEN 4096 ELSE n END AS s FROM k WHERE kind <> 2
+  UNION ALL SELECT 'stored', 1, 5 FROM k WHERE kind <> 2)
+SELECT coalesce(btype, 'all') AS btype, sum(c)::BIGINT AS n_blocks, sum(s)::BIGINT AS n_bytes FROM b GROUP BY ROLLUP (btype)""",
+    "top_fingerprints": f"WITH {_KINDS}, f AS (SELECT count(*) AS n FROM k WHERE kind = 1 GROUP BY stream_id // 4 % 5) SELECT n, round(n / (SELECT sum(n) FROM f), 9) AS share FROM f ORDER BY n DESC LIMIT 10",
+    "fingerprint_summary": f"""WITH {_KINDS}, c AS (SELECT count(*) FILTER (kind = 1) AS n_dynamic, count(*) FILTER (kind = 3) AS n_static, count(DISTINCT stream_id // 4 % 5) FILTER (kind = 1) AS t FROM k)
+SELECT n_dynamic, n_static, t + (n_static > 0)::INT AS n_unique, round((n_dynamic - t) / n_dynamic, 9) AS hit_rate FROM c""",
+    "decode_trace": f"""WITH {_KINDS}, m AS (SELECT kind, n, greatest(n - 1, 0) // 258 AS w, greatest(n - 1, 0) % 258 AS r FROM k),
+t AS (SELECT sum(CASE kind WHEN 0 THEN 0 WHEN 1 THEN 4096 WHEN 2 THEN n ELSE (n > 0)::INT + CASE WHEN r < 3 THEN r ELSE 0 END END)::BIGINT AS literals, coalesce(sum(w + (r >= 3)::INT) FILTER (kind = 3), 0)::BIGINT AS matches,
+  coalesce(sum(w * 258 + CASE WHEN r >= 3 THEN r ELSE 0 END) FILTER (kind = 3), 0)::BIGINT AS match_bytes, count(*) FILTER (kind = 3 AND r BETWEEN 3 AND 8) AS len_8, count(*) FILTER (kind = 3 AND r BETWEEN 9 AND 32) AS len_32, coalesce(sum(w + (r > 32)::INT) FILTER (kind = 3), 0)::BIGINT AS len_258 FROM m)
+SELECT literals, matches, match_bytes, matches AS dist_1, 0::BIGINT AS dist_2_7, 0::BIGINT AS dist_8_39, 0::BIGINT AS dist_40, len_8, len_32, len_258, 1.0::DOUBLE AS dist_1_share, 0.0::DOUBLE AS dist_2_7_share, 0.0::DOUBLE AS dist_8_39_share, 0.0::DOUBLE AS dist_40_share,
+  round(len_8 / matches, 9) AS len_8_share, round(len_32 / matches, 9) AS len_32_share, round(len_258 / matches, 9) AS len_258_share, round(literals / (literals + matches), 9) AS literal_share FROM t""",
+    "first_coded_blocks": "SELECT doc_id AS stream_id, doc_id % 4 AS n_stored, 0 AS last_member FROM documents",
+    "deflate_candidates": """WITH c AS (SELECT conv_id AS stream_id, hex(encode(coalesce(string_agg(text, '' ORDER BY turn), ''))) AS h FROM conversations GROUP BY 1),
+y AS (SELECT stream_id, length(h) // 2 AS n, list_transform(range(length(h) // 2), lambda i: ('0x' || substr(h, 2 * i + 1, 2))::BIGINT) AS b FROM c),
+p AS (SELECT stream_id, b, unnest(range(0, n - 9)) AS byte FROM y WHERE n >= 10),
+w AS (SELECT stream_id, byte, list_reduce(list_transform(range(0, 7), lambda j: coalesce(b[byte + 1 + j], 0) << (8 * j)::INT), lambda x, z: x + z) AS low, list_reduce(list_transform(range(0, 4), lambda j: coalesce(b[byte + 8 + j], 0) << (8 * j)::INT), lambda x, z: x + z) AS high FROM p),
+s AS (SELECT stream_id, byte * 8 + bit AS bit_offset, ((low >> bit::INT) | ((high & 127) << (56 - bit)::INT)) AS v, bit, low, high FROM w, (SELECT unnest(range(8)) AS bit)),
+q AS (SELECT *, ((v >> 13) & 15) + 4 AS n_lengths FROM s WHERE (v & 1) = 0 AND ((v >> 1) & 3) = 2 AND ((v >> 3) & 31) <= 29 AND ((v >> 8) & 31) <= 29),
+l AS (SELECT stream_id, bit_offset, list_transform(range(n_lengths), lambda i: CASE WHEN bit + 17 + 3 * i + 3 <= 56 THEN (low >> (bit + 17 + 3 * i)::INT) & 7 WHEN bit + 17 + 3 * i >= 56 THEN (high >> (bit + 17 + 3 * i - 56)::INT) & 7
+  ELSE ((low >> (bit + 17 + 3 * i)::INT) | (high << (56 - (bit + 17 + 3 * i))::INT)) & 7 END) AS lengths FROM q)
+SELECT stream_id, count(*) AS n, min(bit_offset) AS first FROM l WHERE list_sum(list_transform(lengths, lambda x: CASE WHEN x = 0 THEN 0 ELSE 1 << (7 - x)::INT END)) <= 128 GROUP BY 1""",
+    "stats_formulas": f"""WITH s AS ({_SIZES_SQL}), t AS (SELECT o_orderkey, size, floor(size / (level + 1))::BIGINT AS out, (o_orderkey % 9) / 4 AS seconds FROM s), r AS (SELECT *, CASE WHEN size = 0 THEN 1.0::DOUBLE ELSE out / size END AS ratio FROM t)
+SELECT o_orderkey, round(ratio, 9) AS ratio, round((1 - ratio) * 100, 7) AS saved_percent, round(CASE WHEN size = 0 OR out = 0 THEN 1.0::DOUBLE ELSE size / out END, 6) AS expansion, round(CASE WHEN seconds > 0 THEN size / seconds / 1000000 END, 9) AS mb_s,
+  round(CASE WHEN seconds > 0 THEN size / seconds / 1048576 END, 9) AS mib_s, CASE WHEN size = 0 THEN 'N/A' ELSE printf('%.1f%%', round_even(out / (size * 4) * 100, 1)) END AS percentage FROM r""",
     "bit_patterns": """WITH b AS (SELECT range::INT AS bits, (range & 1) = 0 AND ((range >> 1) & 3) = 2 AND ((range >> 3) & 31) <= 29 AND ((range >> 8) & 31) <= 29 AS candidate FROM range(8192))
 SELECT candidate, count(*) AS n, sum(list_sum(list_transform(range(13), lambda i: ((bits >> i::INT) & 1) << (12 - i)::INT)))::BIGINT AS reversed FROM b GROUP BY 1""",
     "trial_stats": f"WITH {_TRIALS} SELECT tool, threads, count(*) AS trials, round(median(seconds), 6) AS median, round(avg(seconds), 6) AS mean, round(min(seconds), 6) AS min, round(max(seconds), 6) AS max, round(stddev_samp(seconds), 6) AS stdev, round(stddev_samp(seconds) / avg(seconds), 6) AS cv FROM t GROUP BY tool, threads",
@@ -434,11 +578,11 @@ SELECT tool, user_id, min(n) FILTER (n >= 5 AND cv < 0.6) AS converged_at, count
     "welch_vs_baseline": f"""WITH {_TRIALS}, a AS (SELECT threads, median(seconds) m, stddev_samp(seconds) s, count(*) n FROM t WHERE tool = 'click' GROUP BY 1), b AS (SELECT threads, median(seconds) m, stddev_samp(seconds) s, count(*) n FROM t WHERE tool = 'view' GROUP BY 1),
 j AS (SELECT threads, a.m AS ma, b.m AS mb, a.s * a.s / a.n AS va, b.s * b.s / b.n AS vb, a.n AS na, b.n AS nb FROM a JOIN b USING (threads))
 SELECT threads, (ma - mb - mb * 0.05) / sqrt(va + vb) < 2.0 AS ok, round((ma / mb - 1) * 100, 5) AS overhead_percent, round((ma - mb) / sqrt(va + vb), 5) AS t, round((va + vb) * (va + vb) / (va * va / (na - 1) + vb * vb / (nb - 1)), 5) AS df FROM j""",
-    "guard_compression": f"""WITH r AS ({_RESULTS_SQL}), l AS (SELECT level, threads, data_type, tool, arg_max(speed, arrival) AS speed, arg_max(size, arrival)::DOUBLE AS size FROM r GROUP BY ALL),
+    "guard_compression": f"""WITH r AS ({_RESULTS_SQL}), l AS (SELECT level, threads, data_type, tool, arg_max(speed, arrival) AS speed, arg_max(size, arrival)::DOUBLE AS size FROM r WHERE error IS NULL GROUP BY ALL),
 p AS (SELECT a.level, a.threads, a.data_type, a.speed AS as_, b.speed AS bs, a.size AS az, b.size AS bz FROM l a JOIN l b USING (level, threads, data_type) WHERE a.tool = 'self' AND b.tool = 'pigz'),
 g AS (SELECT level, threads, data_type, 'speed_vs_pigz' AS metric, as_ AS own, bs AS other, as_ / bs AS ratio, 0.95::DOUBLE AS threshold, as_ / bs >= 0.95 AS passed FROM p WHERE bs > 0 UNION ALL SELECT level, threads, data_type, 'size_vs_pigz', az, bz, az / bz, 1.005, az / bz <= 1.005 FROM p WHERE bz > 0 AND level >= 9)
 SELECT level, threads, data_type, metric, round(own, 4) AS own, round(other, 4) AS other, round(ratio, 6) AS ratio, threshold, passed FROM g""",
-    "guard_tally": f"""WITH r AS ({_RESULTS_SQL}), l AS (SELECT level, threads, data_type, tool, arg_max(speed, arrival) AS speed, arg_max(size, arrival)::DOUBLE AS size FROM r GROUP BY ALL),
+    "guard_tally": f"""WITH r AS ({_RESULTS_SQL}), l AS (SELECT level, threads, data_type, tool, arg_max(speed, arrival) AS speed, arg_max(size, arrival)::DOUBLE AS size FROM r WHERE error IS NULL GROUP BY ALL),
 p AS (SELECT a.level, a.speed / b.speed AS rs, a.size / b.size AS rz FROM l a JOIN l b USING (level, threads, data_type) WHERE a.tool = 'self' AND b.tool = 'pigz'), g AS (SELECT rs >= 0.95 AS passed FROM p UNION ALL SELECT rz <= 1.005 FROM p WHERE level >= 9)
 SELECT count(*) AS n_guards, count(*) FILTER (passed) AS n_passed, bool_and(passed) AS all_passed, CASE WHEN bool_and(passed) THEN 0 ELSE 1 END::INT AS exit_code FROM g""",
     "guard_decompression": f"""WITH r AS ({_RESULTS_SQL}), l AS (SELECT source, threads, data_type, CASE tool WHEN 'unpigz' THEN 'pigz' ELSE tool END AS tool, arg_max(speed, arrival) AS speed FROM r WHERE status <> 'fail' GROUP BY ALL),
@@ -453,7 +597,21 @@ SELECT level, CASE WHEN level >= 10 THEN -3.0 WHEN level >= 9 THEN 0.5 WHEN leve
 j AS (SELECT a.level, a.threads, competitor, a.s AS own, b.s AS other, (a.s / b.s - 1) * 100 AS d FROM m a CROSS JOIN o LEFT JOIN m b ON b.tool = competitor AND b.level = a.level AND b.threads = a.threads WHERE a.tool = 'self')
 SELECT level, threads, competitor, round(own, 4) AS own, round(other, 4) AS other, round(d, 5) AS diff_percent, CASE WHEN d IS NULL THEN '-' WHEN d >= 10 THEN 'much_faster' WHEN d >= 0 THEN 'faster' WHEN d >= -5 THEN 'similar' ELSE 'slower' END AS verdict FROM j""",
     "baseline_choice": f"WITH r AS ({_RESULTS_SQL}) SELECT threads, CASE WHEN threads = 1 THEN 'gzip' ELSE 'pigz' END AS baseline, count(*) AS n FROM r WHERE tool = 'self' GROUP BY ALL",
-    "validation_matrix": "SELECT level, threads, c AS compressor, d AS decompressor, (SELECT count(*) FROM benchmark) AS n_correct, (SELECT count(*) FROM benchmark) AS n FROM (SELECT unnest([1, 6, 9])::INT AS level), (SELECT unnest([1, 4])::INT AS threads), (SELECT unnest(['indexed', 'single']) AS c), (SELECT unnest(['indexed', 'single']) AS d)",
+    "validation_matrix": "SELECT level, threads, c AS compressor, d AS decompressor, (SELECT count(*) FROM documents) AS n_correct, (SELECT count(*) FROM documents) AS n FROM (SELECT unnest([1, 6, 9])::INT AS level), (SELECT unnest([1, 4])::INT AS threads), (SELECT unnest(['independent', 'chained', 'single']) AS c), (SELECT unnest(['parallel', 'whole', 'resumed']) AS d)",
+    "result_kinds": f"WITH r AS ({_RESULTS_SQL}) SELECT 'compression' AS kind, count(*) AS n FROM r UNION ALL SELECT 'decompression', count(*) FROM r UNION ALL SELECT 'validation', count(*) FROM r WHERE error IS NULL UNION ALL SELECT 'unknown', count(*) FROM r WHERE error IS NOT NULL",
+    "validation_ladder": f"WITH r AS ({_RESULTS_SQL}), x AS (SELECT level + trials % 4 AS level FROM r) SELECT level, CASE WHEN level >= 7 THEN 5.0 ELSE 2.0 END::DOUBLE AS time_allowed, CASE WHEN level >= 9 THEN 0.5 WHEN level >= 7 THEN 2.0 ELSE 8.0 END::DOUBLE AS size_allowed, count(*) AS n FROM x GROUP BY ALL",
+    "distinct_levels": f"WITH r AS ({_RESULTS_SQL}) SELECT DISTINCT level FROM r ORDER BY level",
+    "golden_prefix": "SELECT doc_id AS stream_id, md5(unhex(substr(hex(encode(coalesce(text, ''))), 1, 128))) AS prefix, NULL::VARCHAR AS error FROM documents",
+    "table_cache": "SELECT count(*) AS hits, count(*) AS misses, 0.5::DOUBLE AS rate FROM documents",
+    "decompress_plan": "SELECT doc_id AS stream_id, ['parallel_index', 'single', 'parallel_members', 'not_gzip'][(doc_id % 4 + 1)::INT] AS strategy FROM documents",
+    "roundtrip_candidates": _ROUND_TRIP,
+    "roundtrip_resumed": _ROUND_TRIP,
+    "dataset_sizes": """WITH i AS (SELECT range AS id FROM range(1000)),
+l AS (SELECT sum(length(CASE id % 5 WHEN 0 THEN 'INFO request served in ' || id % 1000 || ' ms' WHEN 1 THEN 'WARN cache miss for key ' || id % 1000 WHEN 2 THEN 'DEBUG worker ' || id % 1000 || ' is idle'
+  WHEN 3 THEN 'ERROR retry ' || id % 1000 || ' of upload' ELSE 'INFO user ' || id % 1000 || ' signed in' END)) + 999 AS n FROM i),
+f AS (SELECT length('// module ' || id || '|fn compute_' || id || '(table) {|    total = 0;|    return total;|}|') + (20 + id % 30) * length('    if value_' || id % 50 || ' > ' || id % 97 || ' {|        total = total + table[' || id % 16 || '];|    }|') AS n FROM i WHERE id < 40),
+t AS (SELECT sum(512 + (n + 511) // 512 * 512) + 1024 AS n FROM f)
+SELECT name, n::BIGINT AS n_bytes, true AS equal FROM (SELECT 'text' AS name, 65536 AS n UNION ALL SELECT 'random', 65536 UNION ALL SELECT 'binary', 65536 UNION ALL SELECT 'software', n FROM t UNION ALL SELECT 'logs', n FROM l)""",
     "first_per_key": f"WITH r AS ({_RESULTS_SQL}) SELECT tool, level, data_type, min(arrival) AS arrival FROM r GROUP BY tool, level, data_type",
     "fastest_tool": f"WITH r AS ({_RESULTS_SQL}), m AS (SELECT level, tool, max(speed) AS s FROM r GROUP BY ALL) SELECT level, arg_max(tool, s) AS fastest, round(max(s), 4) AS peak FROM m GROUP BY level",
     "normalised_union": f"""WITH r AS ({_RESULTS_SQL}), u AS (SELECT CASE tool WHEN 'unpigz' THEN 'pigz' ELSE tool END AS tool, 'unknown' AS data_type, level, 0 AS size, speed FROM r UNION ALL SELECT CASE tool WHEN 'unpigz' THEN 'pigz' ELSE tool END, 'logs', 0, size, speed FROM r)
@@ -469,6 +627,6 @@ QUERIES = {
         member_index, list_archive, test_archive, corrupt_archive, multi_member, header_candidates, member_bounds, route_plan, buffer_plan, size_format, output_name, format_of, data_types,
         content_type, byte_histogram, block_types, top_fingerprints, fingerprint_summary, decode_trace, traced_bytes, deflate_candidates, bit_patterns, compressed_size_by_level,
         trial_stats, trial_robust, converged_at, welch_vs_baseline, guard_compression, guard_decompression, guard_tally, pivot_tools, dedup_fold, threshold_range_join, tool_comparison, baseline_choice,
-        validation_matrix, first_per_key, fastest_tool, normalised_union, synthetic_logs,
+        validation_matrix, result_kinds, validation_ladder, distinct_levels, golden_prefix, table_cache, roundtrip_candidates, roundtrip_resumed, decompress_plan, dataset_sizes, first_coded_blocks, stats_formulas, first_per_key, fastest_tool, normalised_union, synthetic_logs,
     )
 }

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from urllib.parse import unquote
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,7 +20,15 @@ def files(spark: SparkSession, paths: str | list[str], recursive: bool = False,
         reader = reader.option("pathGlobFilter", pattern)
     rows = reader.load(paths)
     kind = F.coalesce(formats.format_of_bytes(F.col("content")), formats.format_of_path(F.col("path")))
-    return rows.select(F.xxhash64("path").alias("stream_id"), "path", "length", "content", kind.alias("format"))
+    found = rows.select("path", "length", "content").unionByName(_empty_files(rows))
+    return found.select(F.xxhash64("path").alias("stream_id"), "path", "length", "content", kind.alias("format"))
+
+
+def _empty_files(rows: DataFrame) -> DataFrame:
+    """path, length, content of the files that a scan leaves out because they have no bytes."""
+    one_slash = lambda path: re.sub(r"^([A-Za-z][\w+.-]*):/+(?=/)", r"\1:", unquote(path)) if path.startswith("file:") else unquote(path)
+    listed = rows.sparkSession.createDataFrame([(one_slash(p),) for p in rows.inputFiles()], "path string")
+    return listed.join(rows.select("path"), "path", "left_anti").select("path", F.lit(0).cast("long").alias("length"), F.lit(b"").alias("content"))
 
 
 def bytes_source(spark: SparkSession, data: bytes, stream_id: int = 0) -> DataFrame:
@@ -56,7 +67,7 @@ def write_results(rows: DataFrame, path: str) -> None:
 
 
 def write_streams(payloads: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    """Payloads as a Parquet table of (stream_id, payload)."""
+    """Payloads as a Parquet table of (stream_id, payload); sources.driver writes them as files."""
     payloads.write.mode(mode).parquet(path)
 
 
@@ -74,3 +85,64 @@ def sized_text(spark: SparkSession, sizes: list[int], phrase: str = "the quick b
     rows = spark.createDataFrame([(i, n) for i, n in enumerate(sizes)], "stream_id long, n int")
     times = (F.floor(F.col("n") / len(phrase)) + 1).cast("int")
     return rows.select("stream_id", F.substr(F.encode(F.repeat(F.lit(phrase), times), "UTF-8"), F.lit(1), F.col("n")).alias("content"))
+
+
+def random_bytes(spark: SparkSession, sizes: list[int], seed: int = 42) -> DataFrame:
+    """Streams of given sizes that do not compress: hashes of the seed, the stream and a counter."""
+    rows = spark.createDataFrame([(i, n) for i, n in enumerate(sizes)], "stream_id long, n int")
+    each = F.transform(F.sequence(F.lit(0), F.floor(F.col("n") / 32).cast("int")), lambda i: F.unhex(F.sha2(F.concat_ws(":", F.lit(str(seed)), F.col("stream_id").cast("string"), i.cast("string")), 256)))
+    whole = F.aggregate(each, F.lit(b""), lambda a, b: F.concat(a, b))
+    return rows.select("stream_id", F.substr(whole, F.lit(1), F.col("n")).alias("content"))
+
+
+def binary_records(spark: SparkSession, sizes: list[int]) -> DataFrame:
+    """Streams of fixed-width records: a counter, its square and a flag, 4 bytes each, in big-endian order."""
+    rows = spark.createDataFrame([(i, n) for i, n in enumerate(sizes)], "stream_id long, n int")
+    word = lambda v: F.unhex(F.lpad(F.hex(v), 8, "0"))
+    ids = F.sequence(F.lit(0), F.floor(F.col("n") / 12).cast("int"))
+    each = F.transform(ids, lambda i: F.concat(word(i), word((i.cast("long") * i) % (1 << 32)), word(i % 2)))
+    return rows.select("stream_id", F.substr(F.aggregate(each, F.lit(b""), lambda a, b: F.concat(a, b)), F.lit(1), F.col("n")).alias("content"))
+
+
+def tarball(streams: DataFrame, name: str, content: str, into: str) -> DataFrame:
+    """stream_id, content: the rows of each ``into`` as one uncompressed POSIX archive, in order of name."""
+    size = F.length(content)
+    octal = lambda v, width: F.concat(F.lpad(F.conv(v.cast("string"), 10, 8), width - 1, "0"), F.lit("\0"))
+    named = F.rpad(F.substring(F.col(name), 1, 100), 100, "\0")
+    before = F.concat(named, F.lit("0000644\0" + "0000000\0" * 2), octal(size, 12), F.lit("0" * 11 + "\0"))
+    after = F.rpad(F.concat(F.lit("0"), F.rpad(F.lit(""), 100, "\0"), F.lit("ustar\x0000")), 512 - 156, "\0")
+    text = F.concat(before, F.rpad(F.lit(""), 8, " "), after)
+    total = F.aggregate(F.transform(F.split(text, ""), lambda c: F.ascii(c)), F.lit(0), lambda a, b: a + b)
+    check = F.concat(F.lpad(F.conv(total.cast("string"), 10, 8), 6, "0"), F.lit("\0 "))
+    head = F.encode(F.concat(before, check, after), "UTF-8")
+    pad = F.encode(F.rpad(F.lit(""), ((512 - size % 512) % 512).cast("int"), "\0"), "UTF-8")
+    rows = streams.select(F.col(into).cast("long").alias("stream_id"), F.col(name).alias("name_"), F.concat(head, F.col(content), pad).alias("part"))
+    whole = rows.groupBy("stream_id").agg(F.expr("listagg(part) WITHIN GROUP (ORDER BY name_)").alias("content"))
+    return whole.select("stream_id", F.concat("content", F.lit(bytes(1024))).alias("content"))
+
+
+def guard_data(spark: SparkSession, lines: int = 200_000, width: int = 100, seed: int = 42) -> DataFrame:
+    """line, text: lines of ``width`` letters from a to j, drawn by hashes of the seed and the place."""
+    letter = lambda i: F.substr(F.lit("abcdefghij"), (F.pmod(F.xxhash64(F.lit(seed), F.col("line"), i), F.lit(10)) + 1).cast("int"), F.lit(1))
+    rows = spark.range(lines).select(F.col("id").alias("line"))
+    return rows.select("line", F.array_join(F.transform(F.sequence(F.lit(1), F.lit(width)), letter), "").alias("text"))
+
+
+def software_archive(spark: SparkSession, n: int) -> DataFrame:
+    """path, content: n source-like files of repeated statements, names and indentation, as archives of software have."""
+    i = F.col("id")
+    body = F.repeat(F.format_string("    if value_%d > %d {\n        total = total + table[%d];\n    }\n", i % 50, i % 97, i % 16), (20 + i % 30).cast("int"))
+    text = F.concat(F.format_string("// module %d\nfn compute_%d(table) {\n    total = 0;\n", i, i), body, F.lit("    return total;\n}\n"))
+    return spark.range(n).select(F.format_string("src/module_%d/file_%d.src", (i % 20).cast("long"), i).alias("path"), F.encode(text, "UTF-8").alias("content"))
+
+
+def datasets(spark: SparkSession, size: int = 1 << 16) -> DataFrame:
+    """name, level, content of the built-in data sets."""
+    one = lambda rows, name, level: rows.select(F.lit(name).alias("name"), F.lit(level).alias("level"), "content")
+    archive = tarball(software_archive(spark, 40).withColumn("one", F.lit(0)), "path", "content", "one")
+    logs = synthetic_logs(spark, 1000).groupBy().agg(F.expr("listagg(line, '\n') WITHIN GROUP (ORDER BY stream_id)").alias("t")).select(F.encode("t", "UTF-8").alias("content"))
+    sets = [one(sized_text(spark, [size]), "text", 6), one(random_bytes(spark, [size]), "random", 1), one(binary_records(spark, [size]), "binary", 6), one(archive, "software", 9), one(logs, "logs", 1)]
+    out = sets[0]
+    for s in sets[1:]:
+        out = out.unionByName(s)
+    return out
