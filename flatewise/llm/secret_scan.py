@@ -4,13 +4,18 @@ Every run of 20 or more token characters is a candidate. Its encoding is inferre
 else base64) and three tests ask whether it looks drawn uniformly from that alphabet: chi-squared over the alphabet,
 runs above and below the middle, and lag-1 serial correlation. Fisher's method combines their p-values.
 
-Decoys control false discoveries: candidates of letters alone are ordinary long words, and their share of p-values above a
-threshold, at the same length, says how many ordinary tokens pass there. Per length class the lowest threshold is taken at
-which decoys above it are at most RATE of the mixed (letter and digit) candidates above it. The classes' histogram has at
+False discoveries are ordinary tokens (words, paths, identifiers) that look random. Decoys say how many to expect: every
+document without a candidate or base span lends a piece of its own words and numbers, joined by a token character, of a
+length that its hash chooses. Per length class the share of decoys at or above a p-value, the decoy that might yet come
+included, is an ordinary token's chance of passing there, and Benjamini and Hochberg's rule gives the lowest threshold
+at which expected false discoveries stay within RATE of what passes. Classes with fewer than LEAST_DECOYS decoys also
+take their neighbours'. Without enough decoys nothing is reported beyond the base kinds. The classes' histogram has at
 most CLASSES * CELLS * 2 rows, whatever the input's size, and covers every document.
 
 Native: one scan that writes spans and candidates' positions (never their text) to the shared folder, an aggregate over
-them, and a map over them. Defined results: null or empty text has no spans; repeated rows are judged one by one.
+them, and a map over them. Defined results: null or empty text has no spans; repeated rows are judged one by one; spans
+of one start are ordered by kind; an empty table gives no rows; other columns are ignored; a very long text takes time
+in proportion to its length and its spans'.
 """
 
 from __future__ import annotations
@@ -31,14 +36,18 @@ HEX = r"(?<![0-9a-f])[0-9a-f]{16,}+"
 VALUE = r"[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)$"
 CANDIDATE = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}+"
 KINDS = ("assign", "access", "hex", "random")
+SHORTEST = 20
 
-CLASSES, CELLS, RATE = 10, 20, 0.05
+CLASSES, CELLS, RATE = 10, 72, 0.05
+#: Decoys that a length class's estimate rests on, and the powers of ten of p-values that cells tell apart.
+LEAST_DECOYS, DECADES = 200, 9
 ALPHABETS = {
     "hex": "0123456789abcdef",
     "base32": "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567",
     "base64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/",
 }
-CHECKED = "array<struct<start:int,stop:int,class:int,decoy:boolean,p:double>>"
+CHECKED = "array<struct<start:int,stop:int,class:int,p:double>>"
+SEPARATORS = "-_/+"
 
 
 def _upper_tail(z: Column) -> Column:
@@ -92,7 +101,7 @@ def battery(value: Column) -> Column:
 
 
 def length_class(n: Column) -> Column:
-    return F.least(F.lit(CLASSES - 1), F.floor((n - 20) / 6)).cast("int")
+    return F.least(F.lit(CLASSES - 1), F.floor((n - SHORTEST) / 6)).cast("int")
 
 
 def scan(docs: DataFrame) -> DataFrame:
@@ -105,26 +114,56 @@ def scan(docs: DataFrame) -> DataFrame:
         S.find(text, "hex", 2, HEX, lambda _: F.lit(True)),
     )
     tokens = S.find(text, "random", 3, CANDIDATE, lambda v: v.rlike("[A-Za-z]"))
-    checked = F.transform(
-        tokens,
-        lambda s: F.struct(s["start"].alias("start"), s["stop"].alias("stop"), length_class(F.length(s["value"])).alias("class"), (~s["value"].rlike("[0-9]")).alias("decoy"), battery(s["value"]).alias("p")),
-    )
-    plain = F.transform(base, lambda s: F.struct(s["start"].alias("start"), s["ord"].alias("ord"), s["stop"].alias("stop"), s["kind"].alias("kind")))
-    return docs.select("doc_id", plain.alias("base"), checked.cast(CHECKED).alias("checked"))
+    judged = lambda v: F.struct(length_class(F.length(v)).alias("class"), battery(v).alias("p"))
+    plain = lambda found: F.transform(found, lambda s: F.struct(s["start"].alias("start"), s["ord"].alias("ord"), s["stop"].alias("stop"), s["kind"].alias("kind")))
+    rows = docs.select("doc_id", "text", plain(base).alias("base"), tokens.alias("tokens"))
+    checked = F.transform("tokens", lambda s: let(judged(s["value"]), lambda j: F.struct(s["start"].alias("start"), s["stop"].alias("stop"), j["class"].alias("class"), j["p"].alias("p"))))
+    lent = F.when((F.size("base") == 0) & (F.size("tokens") == 0), decoy(F.col("text")))
+    return rows.select("doc_id", "base", checked.cast(CHECKED).alias("checked"), F.when(F.length(lent) >= SHORTEST, judged(lent)).alias("decoy"))
+
+
+def decoy(text: Column) -> Column:
+    """A piece of the text's own words, joined to look like a token; null for a short text."""
+    size = SHORTEST + F.pmod(F.xxhash64(text, F.lit(1)), F.lit(6 * CLASSES)).cast("int")
+    start = F.pmod(F.xxhash64(text, F.lit(2)), F.greatest(F.lit(1), F.length(text) - 3 * size)).cast("int")
+    joint = F.substr(F.lit(SEPARATORS), F.pmod(F.xxhash64(text, F.lit(3)), F.lit(len(SEPARATORS))).cast("int") + 1, F.lit(1))
+    piece = F.regexp_replace(F.substr(text, start + 1, 3 * size), F.lit("[^A-Za-z0-9+/_-]+"), joint)
+    return F.when(F.length(text) >= 3 * size, F.substr(piece, F.lit(1), size))
+
+
+def cell_of(p: Column) -> Column:
+    """Cells of equal width in log p."""
+    return F.greatest(F.lit(0), F.least(F.lit(CELLS - 1), F.floor((F.log10(p) / DECADES + 1) * CELLS))).cast("int")
+
+
+def least_p(cell: int) -> float:
+    return 10.0 ** ((cell / CELLS - 1) * DECADES) if cell else 0.0
+
+
+def histogram(scanned: DataFrame) -> dict[tuple[int, int, bool], int]:
+    """Candidates and decoys by length class and cell: CLASSES * CELLS * 2 numbers at most."""
+    one = F.explode(F.concat(F.transform("checked", lambda c: F.struct(c["class"].alias("class"), c["p"].alias("p"), F.lit(False).alias("decoy"))), F.when(F.col("decoy").isNotNull(), F.array(F.struct(F.col("decoy.class").alias("class"), F.col("decoy.p").alias("p"), F.lit(True).alias("decoy")))).otherwise(F.array())))
+    counts = scanned.where((F.size("checked") > 0) | F.col("decoy").isNotNull()).select(one.alias("c")).groupBy(F.col("c.class").alias("class"), cell_of(F.col("c.p")).alias("cell"), F.col("c.decoy").alias("decoy")).count()
+    return {(r["class"], r["cell"], r["decoy"]): r["count"] for r in counts.collect()}
 
 
-def thresholds(scanned: DataFrame) -> list[float]:
-    """For each length class the least p-value that counts as random; above 1 where no threshold keeps to RATE."""
-    cell = F.least(F.lit(CELLS - 1), F.floor(F.col("c.p") * CELLS)).cast("int")
-    counts = scanned.where(F.size("checked") > 0).select(F.explode("checked").alias("c")).groupBy(F.col("c.class").alias("class"), cell.alias("cell"), F.col("c.decoy").alias("decoy")).count()
-    seen = {(r["class"], r["cell"], r["decoy"]): r["count"] for r in counts.collect()}  # CLASSES * CELLS * 2 rows at most
+def thresholds(seen: dict[tuple[int, int, bool], int]) -> list[float]:
+    """For each length class the least p-value that counts as random; above 1 where none keeps to RATE."""
+    of = lambda c, cell, is_decoy: seen.get((c, cell, is_decoy), 0)
+    total = lambda c, is_decoy: sum(of(c, i, is_decoy) for i in range(CELLS))
     out = []
     for c in range(CLASSES):
-        least = 2.0
-        for cell_from in range(CELLS - 1, 0, -1):
-            decoys, mixed = (sum(seen.get((c, i, d), 0) for i in range(cell_from, CELLS)) for d in (True, False))
-            if mixed and decoys <= RATE * mixed:
-                least = cell_from / CELLS
+        pool = [c]
+        for step in range(1, CLASSES):
+            if sum(total(k, True) for k in pool) >= LEAST_DECOYS:
+                break
+            pool += [k for k in (c - step, c + step) if 0 <= k < CLASSES]
+        decoys, tested = sum(total(k, True) for k in pool), total(c, False)
+        least, passed, above = 2.0, 0, 0
+        for cell in range(CELLS - 1, -1, -1):
+            passed, above = passed + of(c, cell, False), above + sum(of(k, cell, True) for k in pool)
+            if passed and tested * (above + 1) / (decoys + 1) <= RATE * passed:
+                least = least_p(cell)
         out.append(least)
     return out
 
@@ -132,9 +171,9 @@ def thresholds(scanned: DataFrame) -> list[float]:
 def digest(docs: DataFrame) -> DataFrame:
     """One row per document: counts of the base kinds, the digest of base spans, and all spans with the random tokens."""
     scanned = stored(scan(docs))
-    least = F.array(*[F.lit(t) for t in thresholds(scanned)])
+    least = F.array(*[F.lit(t) for t in thresholds(histogram(scanned))])
     random = F.transform(
-        F.filter("checked", lambda c: ~c["decoy"] & (c["p"] >= F.get(least, c["class"]))),
+        F.filter("checked", lambda c: c["p"] >= F.get(least, c["class"])),
         lambda c: F.struct(c["start"].alias("start"), F.lit(3).alias("ord"), c["stop"].alias("stop"), F.lit("random").alias("kind")),
     )
     every = F.array_sort(F.concat("base", random))

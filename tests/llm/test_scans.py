@@ -1,5 +1,6 @@
 """Secrets, licenses, personal data and URLs against plain Python and SQL."""
 
+import math
 import random
 import re
 import time
@@ -149,14 +150,72 @@ def test_many_spans_in_one_text(spark):
     assert took[1] < 2.6 * took[0] + 3
 
 
-def test_random_tokens_are_found_and_words_are_not(spark):
+BASE64 = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
 
 
+def plain_battery(value):
+    """The three tests and their combination in plain Python."""
+    upper = lambda z: min(0.999999, max(1e-9, 1 / (1 + math.exp(min(40.0, 1.5976 * z + 0.07056 * z**3)))))
+    if re.fullmatch("[0-9a-f]+|[0-9A-F]+", value):
+        alphabet, value = "0123456789abcdef", value.lower()
+    elif re.fullmatch("[A-Z2-7]+", value):
+        alphabet = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
+    else:
+        alphabet, value = BASE64, value.translate(str.maketrans("-_", "+/"))
+    x, n, k = [alphabet.index(c) for c in value], len(value), len(alphabet)
+    chi = (sum(x.count(d) ** 2 for d in set(x)) * k / n - n - (k - 1)) / math.sqrt(2 * (k - 1) * (n - 1) / n)
+    high = [v >= k / 2 for v in x]
+    turns, mean = sum(a != b for a, b in zip(high, high[1:])), sum(x) / n
+    expected = 2 * sum(high) * (n - sum(high)) / n
+    runs = (turns - expected) / math.sqrt(expected * (expected - 1) / (n - 1)) if expected > 1 else -6.0
+    spread = sum((v - mean) ** 2 for v in x)
+    serial = (sum((a - mean) * (b - mean) for a, b in zip(x[1:], x)) / spread + 1 / n) * math.sqrt(n) if spread else 6.0
+    h = -sum(math.log(p) for p in (upper(chi), min(1.0, 2 * upper(abs(runs))), min(1.0, 2 * upper(abs(serial)))))
+    return math.exp(-h) * (1 + h + h * h / 2)
+
+
+def test_battery_against_plain_python(spark):
+    r = random.Random(6)
+    of = lambda a: "".join(r.choice(a) for _ in range(r.randrange(20, 90)))
+    values = [of(a) for a in (BASE64, "0123456789abcdef", "ABCDEF0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "etaoin", "ab", "a", "-_az09") for _ in range(6)]
+    got = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, v string").select("i", secret_scan.battery(F.col("v")).alias("p")).collect()
+    assert all(abs(math.log(x["p"]) - math.log(plain_battery(values[x["i"]]))) < 1e-6 for x in got)
+
+
+def ordinary_word(r):
+    return "".join(r.choice(["an", "er", "th", "in", "on", "re", "ou", "sh", "al", "le"]) for _ in range(r.randrange(1, 5)))
+
+
+def test_false_discoveries_are_controlled(spark):
+    """Ordinary tokens with letters and digits, and random ones, at every length: few ordinary ones are reported, and most
+    of the random ones. Where nothing is random, next to nothing is reported."""
     r = random.Random(5)
-    token = lambda n: "".join(r.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789") for _ in range(n))
-    rows = [(i, f"use {token(40)}9a here") for i in range(100)] + [(i, "the " + "internationalisation" * 2 + " of words") for i in range(100, 200)]
-    got = {x["doc_id"]: x["spans"] for x in secret_scan.digest(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert sum("random" in got[i] for i in range(100)) >= 85 and not any("random" in got[i] for i in range(100, 200))
+    ordinary = lambda n: r.choice("-_/").join([ordinary_word(r) if r.random() < 0.8 else str(r.randrange(3000)) for _ in range(40)])[:n]
+    chance = lambda n: "".join(r.choice(BASE64[:62]) for _ in range(n))
+    texts = [" ".join(ordinary_word(r) if r.random() < 0.9 else str(r.randrange(3000)) for _ in range(120)) for _ in range(1200)]
+    rows = [(i, t) for i, t in enumerate(texts)]
+    rows += [(10_000 + i, f"see {ordinary(20 + i % 50)}x, here") for i in range(400)] + [(20_000 + i, f"use {chance(20 + i % 50)} here") for i in range(400)]
+    frame_of = lambda keep: spark.createDataFrame([x for x in rows if keep(x[0])], "doc_id long, text string")
+    got = {x["doc_id"]: "random:" in x["spans"] for x in secret_scan.digest(frame_of(lambda i: True)).collect()}
+    wrong, right = sum(got[i] for i in range(10_000, 10_400)), sum(got[i] for i in range(20_000, 20_400))
+    assert right >= 340 and wrong <= 0.1 * (right + wrong) and not any(got[i] for i in range(1200))
+    for low, high in ((0, 15), (15, 50)):
+        of = lambda start: sum(got[start + i] for i in range(400) if low <= i % 50 < high)
+        assert of(10_000) <= 0.15 * (of(10_000) + of(20_000)) + 1
+    alone = [x["doc_id"] for x in secret_scan.digest(frame_of(lambda i: i < 20_000)).collect() if "random:" in x["spans"]]
+    assert len(alone) <= 4
+    few = secret_scan.digest(frame_of(lambda i: i >= 20_000)).collect()
+    assert not any("random:" in x["spans"] for x in few)  # no ordinary text to tell what passes by chance
+
+
+def test_thresholds_by_hand():
+    cells = secret_scan.CELLS
+    seen = {(3, cells - 1, False): 90, (3, 5, False): 10, (3, 5, True): 300}
+    out = secret_scan.thresholds(seen)
+    assert out[2] == 2.0 and out[3] == secret_scan.least_p(6) and secret_scan.least_p(0) == 0.0
+    assert secret_scan.thresholds({(3, cells - 1, False): 90, (3, 5, True): 15})[3] == 2.0  # too few decoys to be sure
+    assert secret_scan.thresholds({(3, cells - 1, False): 90, (4, 5, True): 300})[3] == secret_scan.least_p(6)  # a neighbour's
+    assert secret_scan.thresholds({(3, cells - 1, False): 90, (3, cells - 1, True): 300})[3] == 2.0
 
 
 LICENSES = [
