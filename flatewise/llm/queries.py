@@ -56,7 +56,7 @@ QUERIES = {
     for f in (op1_pack, op2_secrets, op3_licenses, op4_near_dup, op5_pii, op6_decontaminate, op7_topk, op8_urls, op9_language, op10_toxicity)
 }
 
-_LISTED = ", ".join(f"'{k}'" for k in url_filter.BLOCK_LIST)
+_KINDS, _SUFFIXES = (", ".join(f"'{k}'" for k in x) for x in (url_filter.KINDS, url_filter.SUFFIXES))
 _RULES = " ".join(
     f"WHEN (host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}') THEN '{h}{p}'"
     for _, h, p in sorted(url_filter.RULES, key=lambda r: -len(r[1] + r[2]))
@@ -120,9 +120,14 @@ WITH u AS (
     coalesce(translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
     coalesce(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '') AS path
   FROM u
-), r AS (SELECT *, CASE {_RULES} END AS rule FROM h)
+), r AS (SELECT *, CASE {_RULES} END AS rule FROM h
+), l AS (
+  SELECT kind || CASE WHEN i = 0 THEN '' ELSE i::VARCHAR END || '.example.' || suffix AS key
+  FROM (SELECT unnest([{_KINDS}]) AS kind), (SELECT unnest([{_SUFFIXES}]) AS suffix), (SELECT range AS i FROM range({url_filter.NUMBERED}))
+), k AS (SELECT host, list_transform(range(1, len(p) + 1), lambda i: array_to_string(list_slice(p, i, len(p)), '.')) AS keys FROM (SELECT DISTINCT host, string_split(host, '.') AS p FROM h)
+), b AS (SELECT DISTINCT host FROM (SELECT host, unnest(keys) AS key FROM k) JOIN l USING (key))
 SELECT page_id, host, path, rule,
   CASE WHEN rule IN ({_BLOCKING}) THEN 'block' WHEN rule IS NOT NULL THEN 'allow'
-    WHEN len(list_filter([{_LISTED}], lambda k: host = k OR ends_with(host, '.' || k))) > 0 THEN 'block' ELSE 'allow' END AS verdict
+    WHEN host IN (SELECT host FROM b) THEN 'block' ELSE 'allow' END AS verdict
 FROM r""",
 }

@@ -266,7 +266,28 @@ def test_sql(name, same_as_sql):
 
 def test_cascade_is_exact(spark):
     universe = spark.range(20_000).select(F.concat(F.lit("k"), F.col("id")).alias("key"))
-    levels = url_filter.build(universe, universe.where(F.pmod(F.xxhash64("key"), F.lit(40)) == 0))
+    listed = universe.where(F.pmod(F.xxhash64("key"), F.lit(40)) == 0)
+    levels = url_filter.build(universe, listed)
     wrong = universe.where(url_filter.member(levels, F.col("key")) != (F.pmod(F.xxhash64("key"), F.lit(40)) == 0))
     assert len(levels) > 2 and wrong.count() == 0
     assert url_filter.build(universe, universe.where("false")) == []
+
+
+@pytest.mark.parametrize(("few", "most_bits"), [(64, 1 << 28), (0, 1 << 28), (3, 3000)])
+def test_urls_against_plain_python(spark, monkeypatch, few, most_bits, no_broadcasts):
+    """A list from a table, hosts at every depth, filters without a list of the few at the end, and several shards."""
+    monkeypatch.setattr(url_filter, "FEW", few)
+    monkeypatch.setattr(url_filter, "MOST_BITS", most_bits)
+    r = random.Random(9)
+    label = lambda: r.choice("abcdefghij") + str(r.randrange(40))
+    hosts = [".".join(label() for _ in range(r.randrange(1, 5))) for _ in range(900)]
+    listed = set(r.sample(hosts, 200)) | {f"x{i}.y" for i in range(400)} | {"a1", "b2"}
+    urls = [f"http://{h.upper() if i % 3 else h}/p{i}" for i, h in enumerate(hosts)] + [None, "", "http://", "://A1", "no scheme", "http://x7.y?q#f", "http://" + "l." * 300 + "a1/" + "p" * 100_000]
+    pages = spark.createDataFrame([(i, u, "k", 1) for i, u in enumerate(urls)] + [(0, urls[0], "k", 1)], "page_id long, url string, key string, found int")
+    got = sorted((x["page_id"], x["host"], x["verdict"]) for x in url_filter.judge(pages, spark.createDataFrame([(k, "h") for k in [*listed, *listed]] + [(None, "h")], "key string, host string")).collect())
+    want = []
+    for i, u in [*enumerate(urls), (0, urls[0])]:
+        host = re.split("[/?#]", u.split("://", 1)[1])[0].lower() if u and "://" in u else ""
+        parts = host.split(".")
+        want.append((i, host, "block" if any(".".join(parts[k:]) in listed for k in range(len(parts))) and host else "allow"))
+    assert got == sorted(want) and sum(v == "block" for *_, v in got) > 150
