@@ -6,14 +6,17 @@ descending quantised impact (query weight times level); accumulators then bound
 block is left only when all vectors but a few are proven to be no members of its top k; those few are rescored exactly.
 Blocks' top k are merged per query. Nothing is approximate, and no candidate is dropped without proof.
 
-Query rows meet index blocks block by block; queries are a stated set, packed into blocks as well. Memory per task is one
-block pair. Defined results: null vectors, vectors with null or non-finite components and rows without vec_id take no
+Query rows meet index blocks block by block; queries are a stated set, packed into full blocks as well, so that an index
+block is read once for many of them. Query blocks are broadcast if they are small; else index blocks are dealt into the
+columns of a grid, each with its own copy of the query blocks. Memory per task is one block pair. Defined results: null vectors, vectors with null or non-finite components and rows without vec_id take no
 part; vectors of different dimension do not meet; rows that repeat a vec_id are rows of their own, so each is a candidate
-for the other; scores are 64-bit integers.
+for the other; equal scores are ordered by vec_id; scores are 64-bit integers; an empty table gives no rows, a query without
+candidates none; other columns are not looked at; a vector of many dimensions makes its blocks larger, nothing else.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,11 +25,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, small_batches, stored
+from .common import small, small_batches, stored
 
-BLOCK, LEVELS, TIERS = 8192, 64, 24
+BLOCK, QUERY_BLOCK, LEVELS, TIERS = 8192, 1024, 64, 24
 BLOCKS = "block long, dim int, n int, ids binary, vectors binary, levels binary, postings binary, bounds binary"
-QUERIES = "q_block long, q_dim int, q_rows binary, q_ids binary, q_vectors binary"
+QUERY = "block long, row int, dim int, id long, vector binary"
+QUERIES = "q_dim int, q_blocks binary, q_rows binary, q_ids binary, q_vectors binary"
 FOUND = "q_block long, q_row int, query_id long, vec_id long, score long"
 
 
@@ -78,11 +82,30 @@ def _queries_of(every: int):
                 rows = np.flatnonzero(ids % every == 0).astype(np.int32)
                 if len(rows):
                     vectors = np.frombuffer(r.vectors, dtype=np.int64).reshape(r.n, r.dim)[rows]
-                    yield pd.DataFrame([(r.block, r.dim, rows.tobytes(), ids[rows].tobytes(), vectors.tobytes())], columns=["q_block", "q_dim", "q_rows", "q_ids", "q_vectors"])
+                    yield pd.DataFrame({"block": r.block, "row": rows, "dim": r.dim, "id": ids[rows], "vector": [v.tobytes() for v in vectors]})
 
     return take
 
 
+def _packed_queries(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    waiting: dict[int, list[pd.DataFrame]] = {}
+
+    def flush(dim: int) -> pd.DataFrame:
+        rows = pd.concat(waiting.pop(dim))
+        of = lambda c, kind: rows[c].to_numpy(dtype=kind).tobytes()
+        return pd.DataFrame([(dim, of("block", np.int64), of("row", np.int32), of("id", np.int64), b"".join(rows["vector"]))], columns=[c.split()[0] for c in QUERIES.split(", ")])
+
+    for batch in batches:
+        for dim, rows in batch.groupby("dim"):
+            for at in range(0, len(rows), QUERY_BLOCK):
+                held = waiting.setdefault(int(dim), [])
+                held.append(rows.iloc[at : at + QUERY_BLOCK])
+                if sum(map(len, held)) >= QUERY_BLOCK:
+                    yield flush(int(dim))
+    for dim in list(waiting):
+        yield flush(dim)
+
+
 class Block:
     """An index block as read back."""
 
@@ -134,16 +157,15 @@ def _search(k: int):
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for r in batch.itertuples(index=False):
-                block = Block(r)
-                rows, ids = np.frombuffer(r.q_rows, dtype=np.int32), np.frombuffer(r.q_ids, dtype=np.int64)
-                out = []
-                for row, id_, q in zip(rows, ids, np.frombuffer(r.q_vectors, dtype=np.int64).reshape(len(rows), r.q_dim)):
+                block, out = Block(r), []
+                blocks, rows, ids = np.frombuffer(r.q_blocks, dtype=np.int64), np.frombuffer(r.q_rows, dtype=np.int32), np.frombuffer(r.q_ids, dtype=np.int64)
+                for origin, row, id_, q in zip(blocks, rows, ids, np.frombuffer(r.q_vectors, dtype=np.int64).reshape(len(rows), r.q_dim)):
                     may = block.possible(q, min(k + 1, block.n))  # one more, as the query's own row may be there
-                    if r.q_block == r.block:
+                    if origin == r.block:
                         may = may[may != row]
                     score = block.vectors[may] @ q
                     best = np.lexsort((block.ids[may], -score))[:k]
-                    out.append(pd.DataFrame({"q_block": r.q_block, "q_row": row, "query_id": id_, "vec_id": block.ids[may][best], "score": score[best]}))
+                    out.append(pd.DataFrame({"q_block": origin, "q_row": row, "query_id": id_, "vec_id": block.ids[may][best], "score": score[best]}))
                 yield pd.concat(out)
 
     return search
@@ -153,10 +175,18 @@ def top_k(table: DataFrame, k: int = 10, every: int = 100, scale: int = 1024) ->
     """query_id, rank, vec_id, score for each row whose vec_id is divisible by ``every``, against all other rows."""
     small_batches(table.sparkSession)
     index = stored(quantised(table, scale).mapInPandas(_index, BLOCKS))
-    queries = stored(index.select("block", "dim", "n", "ids", "vectors").mapInPandas(_queries_of(every), QUERIES))
-    size = queries.agg(F.count("*"), F.coalesce(F.max(F.length("q_vectors")), F.lit(0))).first()
+    single = stored(index.select("block", "dim", "n", "ids", "vectors").mapInPandas(_queries_of(every), QUERY))
     parts = max(1, min(10_000, index.count()))
-    pairs = index.repartition(parts, "block").join(broadcast_if_small(queries, size[1] + 1, size[0]), F.col("dim") == F.col("q_dim"))
+    full = max(1, math.ceil(single.count() / QUERY_BLOCK))
+    queries = stored(single.repartition(full, "block", "row").mapInPandas(_packed_queries, QUERIES))
+    size = queries.agg(F.coalesce(F.sum(F.length("q_vectors") + 3 * F.length("q_ids")), F.lit(0))).first()[0]
+    blocks = index.repartition(parts, "block")
+    if small(size):
+        pairs = blocks.join(F.broadcast(queries), F.col("dim") == F.col("q_dim"))
+    else:  # a grid: each of ``parts`` columns of index blocks meets its own copy of the query blocks
+        column = F.pmod(F.xxhash64("block"), F.lit(parts)).cast("int")
+        copies = queries.withColumn("q_column", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+        pairs = index.withColumn("column", column).join(copies, (F.col("dim") == F.col("q_dim")) & (F.col("column") == F.col("q_column"))).drop("column", "q_column")
     found = pairs.mapInPandas(_search(k), FOUND)
     rank = F.row_number().over(Window.partitionBy("q_block", "q_row").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int"), "vec_id", "score")

@@ -125,6 +125,20 @@ def test_contamination_of_other_columns(spark):
     assert [(r["doc_id"], r["n_hit"], r["n_items"]) for r in decontaminate.digest(docs, items).collect()] == [(1, 1, 1)] * 2
 
 
+@pytest.mark.parametrize(("block", "queries"), [(7, 2), (8192, 1024)])
+def test_top_k_in_a_grid(spark, monkeypatch, no_broadcasts, block, queries):
+    monkeypatch.setattr(topk, "QUERY_BLOCK", queries)
+    test_top_k(spark, monkeypatch, block)
+
+
+def test_top_k_of_other_columns_and_ties(spark):
+    rows = [(i, [1.0, 0.0], 5, 6) for i in range(0, 40)] + [(200, [1.0, 0.0], 5, 6)]
+    got = topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<float>, block int, dim int")).collect()
+    assert {(r["query_id"], r["rank"]): r["vec_id"] for r in got} == {(0, i): i for i in range(1, 11)} | {(200, i): i - 1 for i in range(1, 11)}
+    wide = topk.top_k(spark.createDataFrame([(0, [0.5] * 20_000), (1, [0.25] * 20_000)], "vec_id long, embedding array<float>")).collect()
+    assert [(r["vec_id"], r["score"]) for r in wide] == [(1, 512 * 256 * 20_000)]
+
+
 @pytest.mark.parametrize("block", [7, 8192])
 def test_top_k(spark, monkeypatch, block):
     monkeypatch.setattr(topk, "BLOCK", block)
