@@ -1,4 +1,4 @@
-"""The corpus pipeline: five stages, each on all that its predecessor kept.
+"""The corpus pipeline: five stages, each on all that its predecessor kept, begun with what earlier ones held given back.
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame. All but the last return the columns of documents.
 """
@@ -9,13 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flatewise.llm import decontaminate, langid, near_dup, packing, pii
-from flatewise.llm.common import broadcast_if_small, stored
+from flatewise.llm.common import broadcast_if_small, give_back, stored
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that language identification rejects go: no letter, or far from every language learned."""
+    give_back(spark)
     return langid.predicted(docs, COLUMNS).where(~F.col("rejected")).select(*COLUMNS)
 
 
@@ -33,6 +34,7 @@ def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near duplicates stays, the one with the smallest doc_id; of its repeated rows, one."""
+    give_back(spark)
     gone, repeated = near_dup.surplus(docs)
     if repeated.isEmpty():
         return without(docs, gone)
@@ -42,12 +44,14 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a passage of a benchmark item go."""
+    give_back(spark)
     hits = decontaminate.contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     return without(docs, stored(hits.where("n_hit > 0").select("doc_id", "text_key").distinct()))
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data are replaced by the names of their kinds; n_chars follows."""
+    give_back(spark)
     return redacted(docs)
 
 
@@ -60,6 +64,7 @@ def redacted(docs: DataFrame) -> DataFrame:
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Training sequences of the remaining texts: one row per piece."""
+    give_back(spark)
     return packing.pack(docs)
 
 

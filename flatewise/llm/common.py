@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import gc
+import re
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -17,9 +19,12 @@ _made: dict[str, SparkSession] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; a new local one only where it is unset (tests)."""
+    """The folder that the cluster names in spark.checkpoint.dir; where it is unset, a new one if driver and executors are
+    one process, as in tests. On a cluster there is no folder to guess, so that is an error."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         named = "file://" + tempfile.mkdtemp(prefix="flatewise-")
         spark.sparkContext.setCheckpointDir(named)
     return named.rstrip("/")
@@ -36,6 +41,13 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def give_back(spark: SparkSession) -> None:
+    """Let go of what earlier work has left: Spark frees broadcasts and shuffle files on executors only once the driver's
+    collector finds that nothing refers to them, which by itself may take half an hour."""
+    gc.collect()
+    spark._jvm.java.lang.System.gc()
+
+
 def remove_stored() -> None:
     """Delete the tables that stored() has written in this process; also runs when it ends."""
     while _made:

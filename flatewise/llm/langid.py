@@ -1,14 +1,16 @@
 """Language identification by nearest centroid over TF-IDF vectors of character n-grams.
 
-Training takes at most SAMPLE labelled documents per language (those whose id hashes lowest; a documented bound of the
-fit). Letters are lower-cased, every run of other characters is one blank, and the hashed 1- to 3-grams of the whole text
+Training takes about SAMPLE labelled documents per language, chosen by hash of their id, and of those, in order of that
+hash, as many as come to SAMPLE_BYTES (documented bounds of the fit). Letters are lower-cased, every run of other characters is one blank, and the hashed 1- to 3-grams of the whole text
 give a vector of DIM log term frequencies times inverse document frequencies, of length 1. Spherical k-means makes
 CLUSTERS centroids per language, so that a language may have several styles. A document gets the language of the centroid
 with the highest cosine. It is rejected if it has no letter, or is long enough to judge and farther from every centroid
 than nearly all training documents are from theirs.
 
 Defined results: null text or text without a letter is ``und`` with score 0; a row without doc_id is predicted and never
-learned from; repeated rows are predicted each; with nothing to learn from, all are ``und``.
+learned from; repeated rows are predicted each; of equally near centroids the first language's is taken; with nothing to
+learn from, all are ``und``; an empty table gives no rows; other columns than doc_id, text and lang are not looked at; a
+long text takes time and memory in proportion to its length.
 """
 
 from __future__ import annotations

@@ -12,9 +12,9 @@ link between documents that share a key is either found or not needed. Links cou
 
 Nodes are named by their sets, and documents by doc_id and the hash of their text, so that a repeated doc_id mixes nothing.
 
-Defined results: null or blank text has an empty set, is linked with nothing and is kept; a row without doc_id takes no
-part in links (component null, kept); rows that repeat a doc_id are judged by their own texts. surplus() also judges rows
-without doc_id, which come after all others.
+Defined results, however long the texts are and whatever other columns docs has: null or blank text has an empty set, is linked with nothing and is kept; a row without doc_id takes no
+part in links (component null, kept); rows that repeat a doc_id are judged by their own texts. an empty table gives no rows. surplus()
+also judges rows without doc_id, which come after all others.
 """
 
 from __future__ import annotations
@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textkernels as K
-from .common import broadcast_if_small, small_batches, stored
+from .common import broadcast_if_small, give_back, small_batches, stored
 from .components import components
 
 HALVES, ROWS = 11, 2
@@ -184,6 +184,7 @@ def named(docs: DataFrame, rows: DataFrame) -> DataFrame:
     stars = shared.where((F.col("node") != F.col("leader")) & may_be_similar(F.col("n"), F.col("leader_n"))).select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct()
     first = stored(components(stored(confirmed(stars, sets))))
 
+    give_back(docs.sparkSession)
     member = shared.join(first.withColumnRenamed("component", "found"), "node", "left").select("key", "node", "n", "members", F.coalesce("found", "node").alias("component"))
     open_keys = member.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min("node").alias("first_node")).where("low < high").select("key", "first_node")
     open_members = stored(member.join(open_keys, "key"))

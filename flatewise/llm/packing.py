@@ -12,8 +12,9 @@ Pieces find their place by rank within their length. Ranks are counted within ea
 length is added by a join, so no length, however frequent, is gathered in one task. Pieces that a cut divides are
 tokenised again for their checksums.
 
-Defined results: null or empty text is a document of only the end id; repeated rows are packed each; an empty table
-gives no rows.
+Defined results: null or empty text is a document of only the end id; a long text is as many whole windows as it fills
+and a remainder; repeated rows are packed each; pieces of equal length are taken in order of task and place; an empty table
+gives no rows; other columns than doc_id and text are not looked at.
 """
 
 from __future__ import annotations
