@@ -71,11 +71,12 @@ def battery(value: Column) -> Column:
         alphabet = F.when(kind == "hex", ALPHABETS["hex"]).when(kind == "base32", ALPHABETS["base32"]).otherwise(ALPHABETS["base64"])
         text = F.when(kind == "hex", F.lower(x["value"])).otherwise(F.translate(x["value"], "-_", "+/"))
         codes = let(F.struct(alphabet.alias("a"), text.alias("t")), lambda y: F.transform(F.split(y["t"], ""), lambda c: (F.instr(y["a"], c) - 1).cast("double")))
-        return let(F.struct(codes.alias("x"), F.length(x["value"]).cast("double").alias("n"), F.length(alphabet).cast("double").alias("k")), tested)
+        return let(F.struct(codes.alias("x"), text.alias("t"), F.length(x["value"]).cast("double").alias("n"), F.length(alphabet).cast("double").alias("k")), tested)
 
     def tested(s: Column) -> Column:
         x, n, k = s["x"], s["n"], s["k"]
-        squares = _total(F.transform(F.array_distinct(x), lambda d: F.pow(F.size(F.filter(x, lambda v: v == d)).cast("double"), F.lit(2.0))))
+        times = lambda c: F.length(s["t"]) - F.length(F.replace(s["t"], c, F.lit("")))
+        squares = _total(F.transform(F.array_distinct(F.split(s["t"], "")), lambda c: F.pow(times(c).cast("double"), F.lit(2.0))))
         chi = (squares * k / n - n - (k - 1)) / F.sqrt(2 * (k - 1) * (n - 1) / n)
         high = lambda v: v >= k / 2
         above = F.size(F.filter(x, high)).cast("double")
@@ -119,7 +120,7 @@ def scan(docs: DataFrame) -> DataFrame:
     rows = docs.select("doc_id", "text", plain(base).alias("base"), tokens.alias("tokens"))
     checked = F.transform("tokens", lambda s: let(judged(s["value"]), lambda j: F.struct(s["start"].alias("start"), s["stop"].alias("stop"), j["class"].alias("class"), j["p"].alias("p"))))
     lent = F.when((F.size("base") == 0) & (F.size("tokens") == 0), decoy(F.col("text")))
-    return rows.select("doc_id", "base", checked.cast(CHECKED).alias("checked"), F.when(F.length(lent) >= SHORTEST, judged(lent)).alias("decoy"))
+    return rows.select("doc_id", "base", checked.cast(CHECKED).alias("checked"), let(lent, lambda v: F.when(F.length(v) >= SHORTEST, judged(v))).alias("decoy"))
 
 
 def decoy(text: Column) -> Column:
