@@ -1,5 +1,6 @@
 """The library and its entry point stand without the training-data subpackage and the pipeline."""
 
+import os
 import shutil
 import subprocess
 import sys
@@ -17,6 +18,17 @@ def test_entry_without_llm(tmp_path):
     assert done.returncode == 0, done.stderr
 
 
+def test_the_rest_passes_without_llm(tmp_path):
+    """The other tests, in a copy without the subpackage, its tests and the pipeline."""
+    for name in ("flatewise", "tests"):
+        shutil.copytree(REPO / name, tmp_path / name, ignore=shutil.ignore_patterns("llm", "__pycache__", "test_standalone.py"))
+    shutil.copy(REPO / "__spark_entry__.py", tmp_path)
+    env = {k: v for k, v in os.environ.items() if k not in ("PYTHONPATH", "PYTEST_CURRENT_TEST")}
+    done = subprocess.run([sys.executable, "-B", "-m", "pytest", "tests", "-x", "-q", "-p", "no:cacheprovider"], cwd=tmp_path, capture_output=True, text=True, env=env, timeout=1200)
+    assert done.returncode == 0, done.stdout[-3000:]
+    assert not list(tmp_path.rglob("llm")) and not (tmp_path / "corpus_pipeline.py").exists()
+
+
 def test_nothing_imports_llm():
     for path in (REPO / "flatewise").rglob("*.py"):
         if "llm" not in path.relative_to(REPO).parts:
