@@ -107,8 +107,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     covered = candidates.select(*at, F.explode(F.sequence(F.col("start"), F.col("start") + F.col("length") - 1)).alias("i")).distinct()
     places = stored(covered.join(broadcast_if_small(item_terms, 40), ["item", "i"]).select(*at, "i", "term", (F.col("diagonal") + F.col("i")).alias("position")))
     wanted = broadcast_if_small(stored(candidates.select("doc_id", "text_key").distinct()), 40).alias("w")
+    # both sides are of documents with a surviving window alone, and their keys are spread: no broadcast is needed
     near_lists = lists.alias("l").join(wanted, same_place("l", "w"), "left_semi").alias("l")
-    found = near_lists.join(broadcast_if_small(places, 64).alias("p"), same_place("l", "p", "term", "position")).select(*[f"p.{c}" for c in [*at, "i"]]).distinct()
+    found = near_lists.join(places.alias("p"), same_place("l", "p", "term", "position")).select(*[f"p.{c}" for c in [*at, "i"]]).distinct()
 
     # how many words of each surviving window stand in place: those found from its start on
     marks = candidates.withColumn("hit", F.lit(0)).unionByName(found.select(*at, F.col("i").alias("start"), F.lit(None).cast("int").alias("length"), F.lit(1).alias("hit")))
