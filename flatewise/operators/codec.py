@@ -112,6 +112,23 @@ def combined_crc32(part: pd.Series, crc: pd.Series, length: pd.Series) -> int:
     return total
 
 
+@F.pandas_udf(T.LongType())
+def advanced_crc32(crc: pd.Series, n: pd.Series) -> pd.Series:
+    """What a part's CRC-32 adds to that of the whole if n bytes follow the part."""
+    return pd.Series([framing.crc32_combine(int(c), 0, int(k)) for c, k in zip(crc, n)], dtype="int64")
+
+
+def whole_crc32(parts: DataFrame, keys: list[str], start: str, length: str, crc: str) -> DataFrame:
+    """keys, crc, n: CRC-32 and size of each whole from its parts' places, sizes and checksums.
+
+    A checksum is the exclusive or of its parts' advanced ones, so parts are combined within tasks first and a stream of
+    any number of parts is never gathered."""
+    sizes = parts.groupBy(*keys).agg(F.sum(length).alias("n"))
+    follow = F.col("n") - F.col(start) - F.col(length)
+    rows = parts.join(sizes, keys).select(*keys, "n", advanced_crc32(F.col(crc), follow).alias("a"))
+    return rows.groupBy(*keys).agg(F.bit_xor("a").alias("crc"), F.first("n").alias("n"))
+
+
 def merged(payload: str, order: str) -> Column:
     """Binary pieces of a group, concatenated in order."""
     return F.expr(f"listagg({payload}) WITHIN GROUP (ORDER BY {order})")

@@ -92,9 +92,9 @@ def dict_window(spark: SparkSession, sf_dir: str) -> DataFrame:
 def combined_crc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Blocks' checksums combined equal the whole's."""
     streams = documents(spark, sf_dir)
-    blocks = codec.split(streams, F.lit(BLOCK)).select("stream_id", "block_idx", F.crc32("data").alias("crc"), F.length("data").cast("long").alias("n"))
-    got = blocks.groupBy("stream_id").agg(codec.combined_crc32("block_idx", "crc", "n").alias("combined"))
-    return got.join(streams, "stream_id").select("stream_id", (F.col("combined") == F.crc32("content")).alias("equal"))
+    blocks = codec.split(streams, F.lit(BLOCK)).select("stream_id", "start", F.crc32("data").alias("crc_"), F.length("data").cast("long").alias("length"))
+    got = codec.whole_crc32(blocks, ["stream_id"], "start", "length", "crc_")
+    return got.join(streams, "stream_id").select("stream_id", ((F.col("crc") == F.crc32("content")) & (F.col("n") == F.length("content"))).alias("equal"))
 
 
 def single_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
