@@ -71,7 +71,7 @@ def robust_stats(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
     times = rows.where(F.col(value).isNotNull()).select(*keys, F.col(value).alias("v_"))
     medians = times.groupBy(*keys).agg(F.median("v_").alias("mid"), F.count("*").alias("n"))
     low = F.col("v_") <= 2 * F.col("mid")
-    both = times.join(F.broadcast(medians) if medians.count() <= 100_000 else medians, keys)
+    both = times.join(medians, keys)
     got = both.groupBy(*keys).agg(
         F.first("n").alias("n_trials"), F.count_if(low).alias("n_low"), F.first("mid").alias("mid"), F.stddev_samp("v_").alias("sd_all"),
         F.median(F.when(low, F.col("v_"))).alias("mid_low"), F.stddev_samp(F.when(low, F.col("v_"))).alias("sd_low"),

@@ -299,11 +299,17 @@ def bit_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def compressed_size_by_level(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes in, and whether higher levels and the statistics behave: the size falls, and is what the ratio says."""
     streams = documents(spark, sf_dir)
-    rows = streams.crossJoin(F.broadcast(spark.createDataFrame([(n,) for n in (1, 6, 9)], "level int")))
-    coded = rows.select("level", F.length("content").cast("long").alias("n_in"), F.length(codec.encode_single("content", "level")).cast("long").alias("n_out"))
-    got = coded.groupBy("level").agg(F.sum("n_in").alias("n_in"), F.sum("n_out").alias("n_out"))
-    return got.select("level", "n_in", "n_out", planning.compression_stats(F.col("n_in"), F.col("n_out")).alias("s")).select("level", "n_in", "n_out", "s.*")
+    levels = (1, 6, 9)
+    n_in = F.length("content").cast("long")
+    coded = streams.select(n_in.alias("n_in"), *[F.length(codec.encode_single("content", F.lit(n))).cast("long").alias(f"at_{n}") for n in levels])
+    sums = coded.agg(F.sum("n_in").alias("n_in"), *[F.sum(f"at_{n}").alias(f"at_{n}") for n in levels])
+    each = F.explode(F.array(*[F.struct(F.lit(n).alias("level"), F.col(f"at_{n}").alias("n_out"), F.col(f"at_{levels[max(0, i - 1)]}").alias("below")) for i, n in enumerate(levels)]))
+    rows = sums.select("n_in", each.alias("l")).select("n_in", "l.*")
+    stats = planning.compression_stats(F.col("n_in"), F.col("n_out"))
+    told = F.abs(stats["ratio"] * F.col("n_in") - F.col("n_out")) < 0.5
+    return rows.select("level", "n_in", (F.col("n_out") < F.col("n_in")).alias("smaller"), (F.col("n_out") <= F.col("below")).alias("not_above_lower_level"), (told & (stats["saved_percent"] > 0)).alias("ratio_told"))
 
 
 # ---- results
@@ -569,6 +575,7 @@ SELECT o_orderkey, round(ratio, 9) AS ratio, round((1 - ratio) * 100, 7) AS save
   round(CASE WHEN seconds > 0 THEN size / seconds / 1048576 END, 9) AS mib_s, CASE WHEN size = 0 THEN 'N/A' ELSE printf('%.1f%%', round_even(out / (size * 4) * 100, 1)) END AS percentage FROM r""",
     "bit_patterns": """WITH b AS (SELECT range::INT AS bits, (range & 1) = 0 AND ((range >> 1) & 3) = 2 AND ((range >> 3) & 31) <= 29 AND ((range >> 8) & 31) <= 29 AS candidate FROM range(8192))
 SELECT candidate, count(*) AS n, sum(list_sum(list_transform(range(13), lambda i: ((bits >> i::INT) & 1) << (12 - i)::INT)))::BIGINT AS reversed FROM b GROUP BY 1""",
+    "compressed_size_by_level": "SELECT level, n_in, true AS smaller, true AS not_above_lower_level, true AS ratio_told FROM (SELECT unnest([1, 6, 9])::INT AS level), (SELECT sum(octet_length(encode(coalesce(text, ''))))::BIGINT AS n_in FROM documents)",
     "trial_stats": f"WITH {_TRIALS} SELECT tool, threads, count(*) AS trials, round(median(seconds), 6) AS median, round(avg(seconds), 6) AS mean, round(min(seconds), 6) AS min, round(max(seconds), 6) AS max, round(stddev_samp(seconds), 6) AS stdev, round(stddev_samp(seconds) / avg(seconds), 6) AS cv FROM t GROUP BY tool, threads",
     "trial_robust": f"""WITH {_TRIALS}, m AS ({_MEDIANS}), k AS (SELECT t.*, n, seconds <= 2 * mid AS low FROM t JOIN m USING (tool, threads)), c AS (SELECT tool, threads, count(*) FILTER (low) AS n_low FROM k GROUP BY ALL)
 SELECT tool, threads, any_value(n) AS n_trials, count(*) AS n_kept, round(median(seconds), 6) AS median, round(coalesce(stddev_samp(seconds), 0), 6) AS stdev, any_value(n) >= 3 AND (median(seconds) = 0 OR coalesce(stddev_samp(seconds), 0) / median(seconds) <= 0.05) AS stable
