@@ -7,20 +7,23 @@ HALVES * ROWS minhashes serve HALVES * (HALVES - 1) / 2 tables. Two sets of simi
 Pairs are never all emitted. In each bucket every member is compared with the bucket's smallest one, and the links found
 give components. A bucket whose members are all in one component has nothing more to tell. For the others, members of
 different components still need comparison: buckets of at most SMALL members give these pairs directly; the sets of larger
-ones are joined into groups and compared in blocks of BLOCK sets, which emit only links that connect components. So each
-link between documents that share a key is either found or not needed. Links count only if confirmed on the whole sets.
+ones are joined into groups, the groups cut into bands of sizes that can be similar, and those of several components
+compared in blocks of BLOCK sets, which emit only links that connect components. So each link between documents that share
+a key is either found or not needed. Links count only if confirmed on the whole sets.
 
 Nodes are named by their sets, and documents by doc_id and the hash of their text, so that a repeated doc_id mixes nothing.
 
-Defined results, however long the texts are and whatever other columns docs has: null or blank text has an empty set, is linked with nothing and is kept; a row without doc_id takes no
-part in links (component null, kept); rows that repeat a doc_id are judged by their own texts. an empty table gives no rows. surplus()
-also judges rows without doc_id, which come after all others.
+Defined results, however long the texts are and whatever other columns docs has: null or blank text has an empty set, is
+linked with nothing and is kept; a row without doc_id takes no part in links (component null, kept); rows that repeat a
+doc_id are judged by their own texts; an empty table gives no rows. surplus() also judges rows without doc_id, which come
+after all others.
 """
 
 from __future__ import annotations
 
 import ctypes
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -150,10 +153,23 @@ def _links(rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
 
+def banded(members: DataFrame) -> DataFrame:
+    """members with group narrowed to sizes that allow similar sets: bands of size, each with the next one above it.
+
+    Similar sets' sizes are at most a factor of 1.25 apart, so they lie in one band or in neighbouring ones."""
+    band = F.floor(F.log(F.col("n").cast("double")) / math.log(1.2501)).cast("int")
+    rows = members.withColumn("band", band)
+    own = rows.select("group", "band").distinct()
+    both = rows.withColumn("from", F.explode(F.array(F.col("band"), F.col("band") - 1)))
+    held = both.join(own.withColumnRenamed("band", "from"), ["group", "from"])  # a band stands with the one above it only if it has sets
+    return held.select("node", "n", "component", F.xxhash64("group", "from").alias("group"))
+
+
 def block_links(members: DataFrame, sets: DataFrame) -> DataFrame:
     """Links between components inside groups. members: node, n, component, group."""
+    members = banded(members)
     blocks = F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int")
-    sizes = members.groupBy("group").agg(blocks.alias("blocks"))
+    sizes = members.groupBy("group").agg(blocks.alias("blocks"), F.min("component").alias("low_c"), F.max("component").alias("high_c")).where("low_c < high_c").select("group", "blocks")
     own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     placed = members.join(sizes, "group").withColumn("side", own)
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")

@@ -41,6 +41,22 @@ def test_one_large_group(spark, monkeypatch):
     check_classes(spark, near_copies(150) + [(10_000 + i, f"alone {i} and so on {i * 7} {i * 13}") for i in range(20)])
 
 
+@pytest.mark.parametrize("block", [8, 512])
+def test_groups_across_bands_of_size(spark, monkeypatch, block):
+    """Chains of ever shorter copies, all by blocks: links lie within bands of size and between neighbouring ones."""
+    monkeypatch.setattr(near_dup, "SMALL", 1)
+    monkeypatch.setattr(near_dup, "BLOCK", block)
+    r = random.Random(6)
+    rows, at = [], 0
+    for chain in range(3):
+        base = [f"c{chain}w{i}" for i in range(150)]
+        for n in sorted(r.sample(range(8, 150), 40)):
+            rows.append((at, " ".join(base[:n] + [f"x{at}"] * r.randrange(2))))
+            at += 1
+    r.shuffle(rows)
+    check_classes(spark, rows)
+
+
 def test_class_edges(spark):
     rows = [(1, "a b c d"), (2, "A B  C\td"), (3, None), (4, ""), (5, "one"), (6, "one "), (None, "a b c d"), (7, "é é"), (7, "é é"), (0, "zz"), (8, "x y")]
     got = {(r["doc_id"], r["component_id"], r["n_shingles"], r["kept"]) for r in near_dup.digest(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
