@@ -58,6 +58,7 @@ class ChunkTokenizer:
 
     #: Tab, line feed, carriage return, printable ASCII and precomposed Latin letters, which NFC leaves as they are.
     USUAL = "\t\n\r\\x20-\\x7E\\u00A1-\\u012F\\u0132-\\u017F"
+    PLAIN = b"\t\n\r" + bytes(range(0x20, 0x7F))
     #: The vocabulary's own word pattern (fixed value).
     WORD = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
@@ -80,6 +81,12 @@ class ChunkTokenizer:
         for token, number in vocabulary.items():
             self.bytes_of[number] = len(token.removesuffix("</w>"))
 
+    def odd(self, text: str) -> bool:
+        """Whether the text must be given to the tokenizer whole; ASCII is looked through byte by byte, without a pattern."""
+        if text.isascii():
+            return "<|" in text or bool(text.encode().translate(None, self.PLAIN))
+        return self.unusual(text) is not None
+
     def _learn(self, words: list[str]) -> None:
         """Encode words at once; ids belong to words by the bytes they stand for, which a fast encoding is enough for."""
         if not words:
@@ -101,12 +108,12 @@ class ChunkTokenizer:
         known = self.known
         chunks, new = {}, set()
         for i, text in enumerate(texts):
-            if self.unusual(text):
+            if self.odd(text):
                 self.whole = self.whole or self.load()
                 out[i] = np.array(self.whole.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
             else:
                 chunks[i] = text.lower().split()
-                new.update([c for c in chunks[i] if c not in known])
+                new |= set(chunks[i]).difference(known)
         compound = {}
         for c in new:
             if not c.isalpha():
