@@ -12,9 +12,8 @@ def test_agrees_with_sql(name, same_as_sql):
     same_as_sql(Q.QUERIES[name], Q.ORACLE_SQL[name])
 
 
-@pytest.mark.parametrize("name", sorted(set(Q.QUERIES) - set(Q.ORACLE_SQL)))
-def test_runs(name, spark):
-    assert Q.QUERIES[name](spark, SF).count() > 0
+def test_every_query_has_sql():
+    assert set(Q.QUERIES) == set(Q.ORACLE_SQL)
 
 
 def test_entry(spark):
