@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import gc
 import re
 import tempfile
 import uuid
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,7 +25,7 @@ def shared_dir(spark: SparkSession) -> str:
     one process, as in tests. On a cluster there is no folder to guess, so that is an error."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
-        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        if not one_process(spark):
             raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         named = "file://" + tempfile.mkdtemp(prefix="flatewise-")
         spark.sparkContext.setCheckpointDir(named)
@@ -41,11 +43,44 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def one_process(spark: SparkSession) -> bool:
+    """Whether driver and executors are one process, as in tests."""
+    return bool(re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master))
+
+
 def give_back(spark: SparkSession) -> None:
-    """Let go of what earlier work has left: Spark frees broadcasts and shuffle files on executors only once the driver's
-    collector finds that nothing refers to them, which by itself may take half an hour."""
+    """Let go of what earlier work has left, on the driver and on executors.
+
+    Spark frees broadcasts and shuffle files on executors only once the driver's collector finds that nothing refers to
+    them, which by itself may take half an hour; and an executor's heap, once grown, shrinks only after a whole collection,
+    beside which Python workers and buffers need their share of its memory."""
     gc.collect()
     spark._jvm.java.lang.System.gc()
+    if not one_process(spark):
+        n = spark.sparkContext.defaultParallelism
+        spark.range(0, n, 1, n).selectExpr("java_method('java.lang.System', 'gc') AS done").write.format("noop").mode("overwrite").save()
+
+
+_worker: dict = {"owner": None, "forget": []}
+
+
+def own_worker(name: str, forget: Callable[[], None] | None = None) -> None:
+    """Called in a Python worker when an operator begins there: what another operator kept goes, and is given back.
+
+    forget: lets go of what this operator is going to keep from task to task."""
+    if _worker["owner"] != name:
+        for f in _worker["forget"]:
+            f()
+        _worker.update(owner=name, forget=[forget] if forget else [])
+        gc.collect()
+        release_memory()
+
+
+def release_memory() -> None:
+    """Give freed memory back, since idle workers live on beside the next operator's."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
 
 
 def remove_stored() -> None:

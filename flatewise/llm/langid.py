@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import hash_sample, sampled_texts, small_batches
+from .common import hash_sample, own_worker, sampled_texts, small_batches
 
 UNKNOWN = "und"
 SAMPLE, SAMPLE_BYTES, DIM, CLUSTERS, ROUNDS = 400, 4 << 20, 8192, 3, 8
@@ -138,6 +138,7 @@ def predicted(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
 
     @F.pandas_udf("lang_pred string, score double, rejected boolean")
     def identify(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        own_worker("langid")
         for texts in batches:
             yield pd.DataFrame([model.value.predict(t) for t in texts], columns=["lang_pred", "score", "rejected"])
 

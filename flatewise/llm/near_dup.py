@@ -21,7 +21,6 @@ after all others.
 
 from __future__ import annotations
 
-import ctypes
 import hashlib
 import math
 from collections.abc import Iterator
@@ -33,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textkernels as K
-from .common import broadcast_if_small, give_back, small_batches, stored
+from .common import broadcast_if_small, give_back, own_worker, release_memory, small_batches, stored
 from .components import components
 
 HALVES, ROWS = 11, 2
@@ -43,13 +42,6 @@ BLOCK_SHINGLES = 1 << 18
 PERCENT = 80
 
 
-def _release() -> None:
-    """Give freed memory back, since idle workers live on beside the next operator's."""
-    pa.default_memory_pool().release_unused()
-    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
-        trim(0)
-
-
 # ---- signatures
 
 _SIGNATURE = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int64()), ("n_shingles", pa.int64()), ("set_key", pa.binary()), ("halves", pa.list_(pa.int64()))])
@@ -57,6 +49,7 @@ SIGNATURE = "doc_id long, text_key long, n_shingles long, set_key binary, halves
 
 
 def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    own_worker("near_dup")
     for batch in batches:
         for at in range(0, batch.num_rows, GROUP):
             some = batch.slice(at, GROUP)
@@ -70,7 +63,7 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             keys = [hashlib.blake2b(x.tobytes(), digest_size=16).digest() for x in sets]
             yield pa.RecordBatch.from_arrays([some.column(0), some.column(2), pa.array(sizes), pa.array(keys, pa.binary()), pa.array(halves, pa.list_(pa.int64()))], schema=_SIGNATURE)
             del some, sets, halves, keys
-        _release()
+        release_memory()
 
 
 def signatures(docs: DataFrame) -> DataFrame:
@@ -96,7 +89,7 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sets = [K.shingles(t).view(np.int64) for t in some.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([some.column(0), pa.array(sets, pa.list_(pa.int64()))], schema=_SETS)
             del some, sets
-        _release()
+        release_memory()
 
 
 def sets_of(docs: DataFrame, nodes: DataFrame) -> DataFrame:

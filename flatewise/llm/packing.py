@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, small_batches, stored
+from .common import broadcast_if_small, own_worker, small_batches, stored
 
 WINDOW = 2048
 #: Tokens of padding per window that a multiset may leave.
@@ -143,6 +143,10 @@ def tokenizer(path: str) -> ChunkTokenizer:
     return _tokenizers[path]
 
 
+def forget_tokenizers() -> None:
+    _tokenizers.clear()
+
+
 def document_ids(path: str, texts: list[str | None]) -> Iterator[bytes]:
     """Each text's ids and END_ID as bytes, a group at a time."""
     encode = tokenizer(path)
@@ -161,6 +165,7 @@ def _pieces(path: str):
     schema = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int64()), ("start", pa.int64()), ("length", pa.int32()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("part", pa.int32()), ("local_rank", pa.int64())])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own_worker("packing", forget_tokenizers)
         part = TaskContext.get().partitionId()
         ranks = np.zeros(WINDOW + 1, dtype=np.int64)
         for batch in batches:

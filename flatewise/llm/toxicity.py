@@ -37,7 +37,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import hash_sample, sampled_texts, small_batches
+from .common import hash_sample, own_worker, sampled_texts, small_batches
 
 SAMPLE, SAMPLE_BYTES = 3000, 16 << 20
 LENGTHS, PIECE = (3, 5, 7), 7
@@ -253,6 +253,7 @@ def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     @F.pandas_udf("double")
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        own_worker("toxicity")
         reader = model.value.reader()
         for texts in batches:
             yield pd.Series([model.value.score(t, reader) for t in texts], dtype="float64")
