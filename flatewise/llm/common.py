@@ -55,6 +55,7 @@ def give_back(spark: SparkSession) -> None:
     them, which by itself may take half an hour; and an executor's heap, once grown, shrinks only after a whole collection,
     beside which Python workers and buffers need their share of its memory."""
     gc.collect()
+    release_memory()
     spark._jvm.java.lang.System.gc()
     if not one_process(spark):
         n = spark.sparkContext.defaultParallelism

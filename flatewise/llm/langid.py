@@ -109,9 +109,11 @@ def fit(rows: list[tuple[str, str]]) -> Model:
     if not languages:
         return Model([], np.ones(DIM), np.zeros((0, DIM)), np.zeros(0, dtype=int), 0.0)
     m = np.array(tf)
+    tf.clear()
     idf = (np.log((1 + len(m)) / (1 + (m > 0).sum(axis=0))) + 1).astype(np.float32)
-    m = np.log1p(m) * idf
-    m /= np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12)
+    np.log1p(m, out=m)  # in place: the sample's matrix is the largest thing on the driver
+    m *= idf
+    m /= np.maximum(np.sqrt(np.einsum("ij,ij->i", m, m)), 1e-12)[:, None]
     which = np.array([languages.index(x) for x in kept])
     parts = [cluster(m[which == i], CLUSTERS) for i in range(len(languages))]
     centroids, owner = np.concatenate(parts).astype(np.float32), np.repeat(np.arange(len(languages)), [len(p) for p in parts])
