@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flatewise.llm import decontaminate, langid, near_dup, packing, pii
-from flatewise.llm.common import broadcast_if_small, give_back, stored
+from flatewise.llm.common import HASHED_ROW, broadcast_if_small, give_back, stored
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -24,7 +24,7 @@ def keyed(docs: DataFrame, keys: DataFrame, how: str) -> DataFrame:
     """docs joined with the documents of keys (doc_id, text_key): equal keys mean equal text and equal, or equally no, doc_id."""
     same = F.col("d.doc_id").eqNullSafe(F.col("k.doc_id")) & (F.col("d.text_key") == F.col("k.text_key"))
     rows = docs.select(*COLUMNS, F.xxhash64("text").alias("text_key")).alias("d")
-    return rows.join(broadcast_if_small(keys, 24).alias("k"), same, how).select("d.*")
+    return rows.join(broadcast_if_small(keys, HASHED_ROW).alias("k"), same, how).select("d.*")
 
 
 def without(docs: DataFrame, gone: DataFrame) -> DataFrame:

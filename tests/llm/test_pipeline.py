@@ -83,3 +83,14 @@ def test_sets_of_one_id_are_told_apart(spark):
 
 def test_run(spark):
     assert C.run(spark, SF).count() > 100
+
+
+def test_keys_are_broadcast_by_what_their_hash_table_takes(spark, no_broadcasts, monkeypatch):
+    """A broadcast row of two longs takes over 100 bytes of the driver, not 24."""
+    docs = frame(spark, [(i, f"text {i}") for i in range(400)])
+    gone = docs.where("doc_id % 2 = 0").selectExpr("doc_id", "xxhash64(text) AS text_key")
+    for limit, hinted in ((100, False), (200, True)):
+        monkeypatch.setattr("flatewise.llm.common.BROADCAST_BYTES", 200 * limit)
+        left = C.without(docs, gone)
+        assert ("Broadcast" in left._jdf.queryExecution().executedPlan().toString()) == hinted
+        assert keys(left) == sorted([(i, f"text {i}") for i in range(1, 400, 2)], key=str)
