@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textkernels as K
-from .common import broadcast_if_small, give_back, own_worker, release_memory, small_batches, stored
+from .common import HASHED_ROW, broadcast_if_small, give_back, own_worker, release_memory, small_batches, stored
 from .components import components
 
 HALVES, ROWS = 11, 2
@@ -95,7 +95,7 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def sets_of(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     """node, shingles for the given nodes (node, first), from a second reading of their first documents' texts."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), "text").where("text is not null")
-    wanted = broadcast_if_small(nodes.select("node", F.col("first.doc_id").alias("doc"), F.col("first.text_key").alias("key")), 32)
+    wanted = broadcast_if_small(nodes.select("node", F.col("first.doc_id").alias("doc"), F.col("first.text_key").alias("key")), HASHED_ROW)
     read = texts.join(wanted, F.col("doc_id").eqNullSafe(F.col("doc")) & (F.col("text_key") == F.col("key"))).select("node", "text")
     return read.mapInArrow(_sets, "node long, shingles array<long>").where(F.size("shingles") > 0)
 
@@ -210,7 +210,7 @@ def named(docs: DataFrame, rows: DataFrame) -> DataFrame:
 
     members = final.join(nodes.select("node", "set_key", "first"), "node")
     leading = stored(members.groupBy("component").agg(F.min("first").alias("leading")))
-    led = members.join(broadcast_if_small(leading, 48), "component").select("set_key", "leading")
+    led = members.join(broadcast_if_small(leading, HASHED_ROW), "component").select("set_key", "leading")
     return nodes.select("set_key", "first").join(led, "set_key", "left").select("set_key", F.coalesce("leading", "first").alias("first"))
 
 

@@ -64,6 +64,23 @@ def test_class_edges(spark):
     assert near_dup.digest(spark.createDataFrame([], "doc_id long, text string")).collect() == []
 
 
+def test_classes_are_broadcast_by_what_their_hash_table_takes(spark, no_broadcasts, monkeypatch):
+    """Sets that are read again, and first documents of classes: over 100 bytes of the driver a row, not 32 or 48."""
+    rows = [(i, " ".join(f"w{i // 2}x{j}" for j in range(30 + i % 2))) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    nodes = docs.selectExpr("doc_id AS node", "struct(false AS unnamed, doc_id, xxhash64(text) AS text_key) AS first")
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    for limit, hinted in ((100, False), (200, True)):
+        monkeypatch.setattr("flatewise.llm.common.BROADCAST_BYTES", 400 * limit)
+        sets = near_dup.sets_of(docs, nodes)
+        assert ("Broadcast" in plan(sets)) == hinted
+        assert {r["node"]: len(r["shingles"]) for r in sets.collect()} == {i: 29 + i % 2 for i in range(400)}
+        monkeypatch.setattr("flatewise.llm.common.BROADCAST_BYTES", 200 * limit)
+        got = near_dup.digest(docs)
+        assert ("Broadcast" in plan(got)) == hinted
+        assert {r["doc_id"]: r["component_id"] for r in got.collect()} == {i: i - i % 2 for i in range(400)}
+
+
 def test_components(spark):
     r = random.Random(3)
     edges = [(i, i + 1) for i in range(60)] + [(100 + r.randrange(50), 100 + r.randrange(50)) for _ in range(30)] + [(7, 7)]
