@@ -127,12 +127,12 @@ def decompress(streams: DataFrame, mode: str = "PERMISSIVE", spread: bool = Fals
 @F.pandas_udf(T.StructType([T.StructField("gzip", T.BooleanType()), T.StructField("indexed", T.BooleanType()), T.StructField("candidates", T.IntegerType())]))
 def _seen(content: pd.Series) -> pd.DataFrame:
     heads = [framing.parse_header(data or b"") for data in content]
-    counts = [len(candidate_starts(data or b"", "header")) if h else 0 for h, data in zip(heads, content)]
+    counts = [len(candidate_starts(data or b"", "member")) if h else 0 for h, data in zip(heads, content)]
     return pd.DataFrame({"gzip": [h is not None for h in heads], "indexed": [bool(h and h.member_size) for h in heads], "candidates": pd.Series(counts, dtype="int32")})
 
 
 def routed(streams: DataFrame) -> DataFrame:
-    """stream_id, strategy: how each stream is best decoded, from its first header and what looks like further ones."""
+    """stream_id, strategy: how each stream is best decoded, from its first header and the members behind further ones."""
     seen = streams.select("stream_id", _seen("content").alias("s"))
     return seen.select("stream_id", routing.decompress_strategy(F.col("s.gzip"), F.col("s.indexed"), F.col("s.candidates")).alias("strategy"))
 
@@ -202,8 +202,8 @@ def tested(streams: DataFrame) -> DataFrame:
     return parts.groupBy("stream_id").agg(F.count("*").alias("n_members"), F.bool_and(F.col("error").isNull()).alias("ok"), F.min("error").alias("error"))
 
 
-#: How much of a header a candidate must have right, from the flags alone to all of it.
-STRICTNESS = ("flags", "system", "time", "header")
+#: How much of a header a candidate must have right, from the flags alone to all of it; a member must also begin there.
+STRICTNESS = ("flags", "system", "time", "header", "member")
 
 
 def _candidate(data: bytes, at: int, strictness: str) -> bool:
@@ -213,18 +213,23 @@ def _candidate(data: bytes, at: int, strictness: str) -> bool:
         return False
     if strictness == "time" and struct.unpack_from("<I", data, at + 4)[0] > 4102444800:
         return False
-    return strictness != "header" or framing.parse_header(data, at) is not None
+    return strictness not in ("header", "member") or framing.parse_header(data, at) is not None
 
 
 def candidate_starts(data: bytes, strictness: str = "time") -> list[int]:
-    """Places that look like member headers."""
+    """Places that look like member headers. Coded data hold whole headers by chance, so under "member" a stream that
+    has more than its first is walked, and only places where the walk comes upon a member count."""
     if strictness not in STRICTNESS:
         raise ValueError(strictness)
-    return [m.start() for m in re.finditer(b"\x1f\x8b\x08", data) if _candidate(data, m.start(), strictness)]
+    found = [m.start() for m in re.finditer(b"\x1f\x8b\x08", data) if _candidate(data, m.start(), strictness)]
+    if strictness != "member" or found in ([], [0]):
+        return found
+    begun = {m[0] for m in walk(data) if m[7] not in ("not_gzip", "trailing_bytes")}
+    return [at for at in found if at in begun]
 
 
 def candidates(streams: DataFrame, strictness: str = "time") -> DataFrame:
-    """stream_id, start: places that look like member headers. Data may hold false ones; members() is exact."""
+    """stream_id, start: places that look like member headers. Data may hold false ones unless strictness is "member"."""
     if strictness not in STRICTNESS:
         raise ValueError(strictness)
 

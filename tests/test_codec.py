@@ -110,6 +110,19 @@ def test_offsets_and_listing(spark):
     assert index.candidates(df, "flags").count() >= index.candidates(df, "header").count() >= 3
 
 
+def false_header():
+    """A plain and a self-indexing member of stored data in which a whole member stands."""
+    inner = framing.plain_member(b"looks like a member", 6)
+    return framing.member(inner, framing.deflate(inner, 0)), framing.indexed_member(inner, 0)
+
+
+def test_a_false_header_makes_no_second_member(spark):
+    plain, _ = false_header()
+    rows = [(1, plain), (2, plain + plain), (3, plain[:-4]), (4, b"PK" + plain), (5, b""), (6, framing.plain_member(b"x" * 99, 1))]
+    got = index.routed(spark.createDataFrame([(i, bytearray(d)) for i, d in rows], "stream_id long, content binary"))
+    assert {r["stream_id"]: r["strategy"] for r in got.collect()} == {1: "single", 2: "parallel_members", 3: "single", 4: "not_gzip", 5: "not_gzip", 6: "single"}
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.binary(max_size=300), st.binary(max_size=300))
 def test_crc_combine(a, b):
