@@ -1,17 +1,22 @@
 """Planning, formats, bits, content classes and options at their borders."""
 
 import os
+import random
+import zlib
 
 import pytest
 from pyspark.sql import functions as F
 
-from flatewise.functions import bits, formats, framing, planning
+from flatewise import queries
+from flatewise.functions import bits, deflate, formats, framing, planning
 from flatewise.operators import content, inflate_stats
 from flatewise.operators.codec import encode_single
 from flatewise.options import CodecOptions, parse_level, parse_size
 from flatewise.plans import routing
 from flatewise.sources import files
 
+from .conftest import rows_of
+
 
 def values(spark, column, rows, schema):
     return [r[0] for r in spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], f"i int, {schema}").orderBy("i").select(column).collect()]
@@ -107,3 +112,37 @@ def test_blocks_of_all_members_and_before_damage(spark):
     assert {k: v for k, v in got.items() if k[0] != 2} == {(1, 0): (3, 120), (1, 1): (2, 80), (5, 0): (1, 40), (6, 0): (1, 5)}
     assert 1 <= got[2, 0][0] <= 4
     assert inflate_stats.blocks(spark.createDataFrame(rows, "stream_id long, content binary"), first_only=True).groupBy("stream_id").count().where("stream_id = 1").first()["count"] == 1
+
+
+@pytest.mark.parametrize("strategy", [zlib.Z_HUFFMAN_ONLY, zlib.Z_FIXED, zlib.Z_RLE])
+def test_strategies_that_code_store_no_block(strategy):
+    """Bytes that coding doesn't shrink, alone and between blocks that it does; zlib alone would store them."""
+    r = random.Random(4)
+    hard, easy = r.randbytes(40_000), b"the cat sat on the mat. " * 2000
+    for data in (b"", b"a", hard[:30], hard, easy, easy + hard + easy, hard + easy, "ÿþýüûúùøö".encode() * 6):
+        body = framing.strategy_deflate(data, 1, strategy)
+        found = list(deflate.blocks(body))
+        assert zlib.decompress(body, -15) == data and [b.final for b in found] == [False] * (len(found) - 1) + [True]
+        assert {b.kind for b in found} <= {"fixed", "dynamic"} and (found[-1].end + 7) // 8 == len(body)
+        assert strategy != zlib.Z_HUFFMAN_ONLY or sum(b.literals for b in found) == len(data)
+    assert {b.kind for b in deflate.blocks(framing.strategy_deflate(hard, 0, strategy))} == {"stored"}
+
+
+def unfriendly(spark, folder):
+    """documents whose texts zlib would rather store: letters that are no ASCII, without an order."""
+    r = random.Random(8)
+    texts = ["", None, "plain words " * 40, *["".join(chr(r.randrange(0x4E00, 0x9FFF)) for _ in range(n)) for n in (20, 200, 20_000)], "word " * 9000 + "".join(chr(r.randrange(0x80, 0x7FF)) for _ in range(30_000))]
+    rows = [(4 * i + k, t) for i, t in enumerate(texts) for k in range(4)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{folder}/documents.parquet")
+    return str(folder)
+
+
+@pytest.mark.parametrize("name", ["first_coded_blocks"])
+def test_texts_that_coding_does_not_shrink_agree_with_sql(spark, tmp_path, name):
+    import duckdb
+
+    folder = unfriendly(spark, tmp_path)
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from read_parquet('{folder}/documents.parquet/*.parquet')")
+    got, want = queries.QUERIES[name](spark, folder), con.sql(queries.ORACLE_SQL[name])
+    assert rows_of(got.columns, [tuple(x) for x in got.collect()]) == rows_of(want.columns, want.fetchall())
