@@ -137,7 +137,7 @@ def unfriendly(spark, folder):
     return str(folder)
 
 
-@pytest.mark.parametrize("name", ["first_coded_blocks"])
+@pytest.mark.parametrize("name", ["decode_trace", "first_coded_blocks"])
 def test_texts_that_coding_does_not_shrink_agree_with_sql(spark, tmp_path, name):
     import duckdb
 
