@@ -102,10 +102,18 @@ def small(size: int) -> bool:
     return size <= BROADCAST_BYTES
 
 
+def by_shuffle(df: DataFrame) -> DataFrame:
+    """df, joined by shuffle whatever size Spark takes it for.
+
+    Spark may take a side for far smaller than it is, as after an explode or where Parquet packs well, and build its hash
+    table on the driver."""
+    return df.hint("merge")
+
+
 def broadcast_if_small(df: DataFrame, row_bytes: int, rows: int | None = None) -> DataFrame:
     """df with a broadcast hint if its counted size is under BROADCAST_BYTES; otherwise df, joined by shuffle."""
     rows = df.count() if rows is None else rows
-    return F.broadcast(df) if small(rows * row_bytes) else df
+    return F.broadcast(df) if small(rows * row_bytes) else by_shuffle(df)
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:

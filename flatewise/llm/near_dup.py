@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textkernels as K
-from .common import HASHED_ROW, broadcast_if_small, give_back, own_worker, release_memory, small_batches, stored
+from .common import HASHED_ROW, broadcast_if_small, by_shuffle, give_back, own_worker, release_memory, small_batches, stored
 from .components import components
 
 HALVES, ROWS = 11, 2
@@ -113,7 +113,7 @@ def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("of_a"))
     right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("of_b"))
     both = F.size(F.array_intersect("of_a", "of_b"))
-    return pairs.join(left, "a").join(right, "b").where(similar(F.size("of_a"), F.size("of_b"), both)).select("a", "b")
+    return pairs.join(by_shuffle(left), "a").join(by_shuffle(right), "b").where(similar(F.size("of_a"), F.size("of_b"), both)).select("a", "b")
 
 
 # ---- what stars leave open
@@ -154,7 +154,7 @@ def banded(members: DataFrame) -> DataFrame:
     rows = members.withColumn("band", band)
     own = rows.select("group", "band").distinct()
     both = rows.withColumn("from", F.explode(F.array(F.col("band"), F.col("band") - 1)))
-    held = both.join(own.withColumnRenamed("band", "from"), ["group", "from"])  # a band stands with the one above it only if it has sets
+    held = both.join(by_shuffle(own.withColumnRenamed("band", "from")), ["group", "from"])  # a band stands with the one above it only if it has sets
     return held.select("node", "n", "component", F.xxhash64("group", "from").alias("group"))
 
 
@@ -164,10 +164,10 @@ def block_links(members: DataFrame, sets: DataFrame) -> DataFrame:
     blocks = F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int")
     sizes = members.groupBy("group").agg(blocks.alias("blocks"), F.min("component").alias("low_c"), F.max("component").alias("high_c")).where("low_c < high_c").select("group", "blocks")
     own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    placed = members.join(sizes, "group").withColumn("side", own)
+    placed = members.join(by_shuffle(sizes), "group").withColumn("side", own)
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
     dealt = placed.select("node", "component", "group", "side", other).select("node", "component", "group", "side", F.least("side", "other").alias("low"), F.greatest("side", "other").alias("high"))
-    return dealt.join(sets, "node").groupBy("group", "low", "high").applyInPandas(_links, "a long, b long")
+    return dealt.join(by_shuffle(sets), "node").groupBy("group", "low", "high").applyInPandas(_links, "a long, b long")
 
 
 # ---- the operator
@@ -184,8 +184,8 @@ def named(docs: DataFrame, rows: DataFrame) -> DataFrame:
     nodes = stored(nodes.withColumn("node", F.xxhash64("set_key")))
     keyed = table_keys(nodes)
     leaders = keyed.groupBy("key").agg(F.min(F.struct("node", "n")).alias("first"), F.count("*").alias("members")).where("members > 1")
-    shared = stored(keyed.join(leaders, "key").select("key", "node", "n", F.col("first.node").alias("leader"), F.col("first.n").alias("leader_n"), "members"))
-    wanted = stored(nodes.join(shared.select("node").distinct(), "node", "left_semi").select("node", "first"))
+    shared = stored(keyed.join(by_shuffle(leaders), "key").select("key", "node", "n", F.col("first.node").alias("leader"), F.col("first.n").alias("leader_n"), "members"))
+    wanted = stored(nodes.join(by_shuffle(shared.select("node").distinct()), "node", "left_semi").select("node", "first"))
     sets = stored(sets_of(docs, wanted))
     if sets.count() > wanted.count():  # repeated rows
         sets = stored(sets.dropDuplicates(["node"]))
@@ -194,24 +194,24 @@ def named(docs: DataFrame, rows: DataFrame) -> DataFrame:
     first = stored(components(stored(confirmed(stars, sets))))
 
     give_back(docs.sparkSession)
-    member = shared.join(first.withColumnRenamed("component", "found"), "node", "left").select("key", "node", "n", "members", F.coalesce("found", "node").alias("component"))
+    member = shared.join(by_shuffle(first.withColumnRenamed("component", "found")), "node", "left").select("key", "node", "n", "members", F.coalesce("found", "node").alias("component"))
     open_keys = member.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min("node").alias("first_node")).where("low < high").select("key", "first_node")
-    open_members = stored(member.join(open_keys, "key"))
+    open_members = stored(member.join(by_shuffle(open_keys), "key"))
     few = open_members.where(F.col("members") <= SMALL).select("key", "node", "n", "component")
     a, b = few.select("key", *[F.col(c).alias(f"{c}_a") for c in ("node", "n", "component")]), few.select("key", *[F.col(c).alias(f"{c}_b") for c in ("node", "n", "component")])
     near = (F.col("node_a") < F.col("node_b")) & (F.col("component_a") != F.col("component_b")) & may_be_similar(F.col("n_a"), F.col("n_b"))
-    pairs = a.join(b, "key").where(near).select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
+    pairs = a.join(by_shuffle(b), "key").where(near).select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
     many = open_members.where(F.col("members") > SMALL)
     groups = components(many.select(F.col("node").alias("a"), F.col("first_node").alias("b")))
-    grouped = many.select("node", "n", "component").distinct().join(groups.select("node", F.col("component").alias("group")), "node")
+    grouped = many.select("node", "n", "component").distinct().join(by_shuffle(groups.select("node", F.col("component").alias("group"))), "node")
     late = confirmed(pairs, sets).unionByName(block_links(stored(grouped), sets))
     known = first.select(F.col("node").alias("a"), F.col("component").alias("b"))
     final = stored(components(known.unionByName(late)))
 
-    members = final.join(nodes.select("node", "set_key", "first"), "node")
+    members = final.join(by_shuffle(nodes.select("node", "set_key", "first")), "node")
     leading = stored(members.groupBy("component").agg(F.min("first").alias("leading")))
     led = members.join(broadcast_if_small(leading, HASHED_ROW), "component").select("set_key", "leading")
-    return nodes.select("set_key", "first").join(led, "set_key", "left").select("set_key", F.coalesce("leading", "first").alias("first"))
+    return nodes.select("set_key", "first").join(by_shuffle(led), "set_key", "left").select("set_key", F.coalesce("leading", "first").alias("first"))
 
 
 def classes(docs: DataFrame) -> DataFrame:
@@ -220,7 +220,7 @@ def classes(docs: DataFrame) -> DataFrame:
     rows = stored(signatures(docs))
     sets = named(docs, rows.where("doc_id is not null"))
     component = F.when(F.col("n_shingles") > 0, F.col("first.doc_id")).otherwise(F.col("doc_id"))
-    return rows.select("doc_id", "n_shingles", "set_key").join(sets, "set_key", "left").select(
+    return rows.select("doc_id", "n_shingles", "set_key").join(by_shuffle(sets), "set_key", "left").select(
         "doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), component).alias("component_id"),
     ).select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
@@ -230,7 +230,7 @@ def surplus(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     small_batches(docs.sparkSession)
     rows = stored(signatures(docs))
     first = F.col("first.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("first.text_key") == F.col("text_key"))
-    judged = rows.where("n_shingles > 0").select("doc_id", "text_key", "set_key").join(named(docs, rows), "set_key").groupBy("doc_id", "text_key").agg(F.first(first).alias("is_first"), F.count("*").alias("n"))
+    judged = rows.where("n_shingles > 0").select("doc_id", "text_key", "set_key").join(by_shuffle(named(docs, rows)), "set_key").groupBy("doc_id", "text_key").agg(F.first(first).alias("is_first"), F.count("*").alias("n"))
     judged = stored(judged.where("not is_first or n > 1"))
     return judged.where("not is_first").select("doc_id", "text_key"), judged.where("is_first").select("doc_id", "text_key")
 

@@ -81,6 +81,24 @@ def test_classes_are_broadcast_by_what_their_hash_table_takes(spark, no_broadcas
         assert {r["doc_id"]: r["component_id"] for r in got.collect()} == {i: i - i % 2 for i in range(400)}
 
 
+def test_nothing_is_broadcast_by_sparks_own_estimate(spark, monkeypatch):
+    """Table keys are 55 rows a set, which Spark takes for one; every join is by shuffle unless its side was counted."""
+    stored, plans = near_dup.stored, []
+
+    def seen(df):
+        plans.append(df)
+        return stored(df)
+
+    monkeypatch.setattr("flatewise.llm.common.BROADCAST_BYTES", -1)
+    monkeypatch.setattr(near_dup, "stored", seen)
+    monkeypatch.setattr("flatewise.llm.components.stored", seen)
+    rows = near_copies(60)
+    got = near_dup.digest(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got.collect()} == brute.components(rows)
+    joins = [df._jdf.queryExecution().executedPlan().toString() for df in [*plans, got]]
+    assert sum("SortMergeJoin" in p for p in joins) > 5 and not any("Broadcast" in p for p in joins)
+
+
 def test_components(spark):
     r = random.Random(3)
     edges = [(i, i + 1) for i in range(60)] + [(100 + r.randrange(50), 100 + r.randrange(50)) for _ in range(30)] + [(7, 7)]
