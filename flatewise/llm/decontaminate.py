@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, positioned_words, small, stored, upto
+from .common import HASHED_ROW, broadcast_if_small, by_shuffle, positioned_words, small, stored, upto
 
 WINDOW = 10
 #: Words of a window that may be missing or out of place in a proximity match.
@@ -52,13 +52,13 @@ def index_of(docs: DataFrame, vocabulary: DataFrame, vocabulary_bytes: int) -> D
     if small(vocabulary_bytes):
         joined = entries.join(F.broadcast(vocabulary), "word")
     else:  # a frequent word's entries meet SALTS copies of its row, each in a task of its own
-        joined = entries.join(vocabulary.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["word", "salt"])
+        joined = entries.join(by_shuffle(vocabulary.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))), ["word", "salt"])
     return stored(joined.select("term", "doc_id", "text_key", "position"))
 
 
 def windows_of(items: DataFrame, item_terms: DataFrame, counts: DataFrame) -> DataFrame:
     """item, start, length, rare: every window, and the positions in its item of its two rarest terms (one, if it has one)."""
-    ranked = item_terms.join(counts, "term", "left").groupBy("item").agg(F.array_sort(F.collect_list(F.struct("i", F.coalesce("n", F.lit(0)).alias("n")))).alias("terms"))
+    ranked = item_terms.join(by_shuffle(counts), "term", "left").groupBy("item").agg(F.array_sort(F.collect_list(F.struct("i", F.coalesce("n", F.lit(0)).alias("n")))).alias("terms"))
 
     def window(start: Column) -> Column:
         part = F.slice(F.col("terms"), start + 1, F.lit(WINDOW))
@@ -84,7 +84,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     words = each.select("word").distinct()
     vocabulary = stored(words.select("word", F.monotonically_increasing_id().alias("term")).unionByName(docs.sparkSession.createDataFrame([(LENGTH, -1)], "word string, term long")))
     size = vocabulary.agg(F.count("*"), F.sum(F.octet_length("word"))).first()
-    item_terms = stored(each.join(vocabulary, "word").select("item", "i", "term"))
+    item_terms = stored(each.join(by_shuffle(vocabulary), "word").select("item", "i", "term"))
     index = index_of(docs, vocabulary, 32 * size[0] + size[1])
     lengths = index.where("term = -1").select("doc_id", "text_key", F.col("position").alias("n_words"))
     lists = index.where("term >= 0")
@@ -93,23 +93,23 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     windows = stored(windows_of(items, item_terms, counts))
 
     # the lists of every window's rarest terms, adjusted to diagonals and intersected
-    probes = stored(windows.select("item", F.explode("rare").alias("i"), F.size("rare").alias("need")).distinct().join(item_terms, ["item", "i"]))
+    probes = stored(windows.select("item", F.explode("rare").alias("i"), F.size("rare").alias("need")).distinct().join(by_shuffle(item_terms), ["item", "i"]))
     diagonal = (F.col("position") - F.col("i")).alias("diagonal")
-    met = lists.join(broadcast_if_small(probes, 40), "term").select("doc_id", "text_key", "item", diagonal, "i", "need")
+    met = lists.join(broadcast_if_small(probes, HASHED_ROW), "term").select("doc_id", "text_key", "item", diagonal, "i", "need")
     met = met.groupBy("doc_id", "text_key", "item", "diagonal").agg(F.collect_set("i").alias("met"), F.min("need").alias("need"))
     met = met.where(F.size("met") >= F.col("need")).select("doc_id", "text_key", "item", "diagonal", F.explode("met").alias("i"))
     served = windows.select("item", "start", "length", F.size("rare").alias("need"), F.explode("rare").alias("i"))
     at = ["doc_id", "text_key", "item", "diagonal"]
-    whole = met.join(broadcast_if_small(served, 48), ["item", "i"]).groupBy(*at, "start", "length").agg(F.count("*").alias("n"), F.first("need").alias("need"))
+    whole = met.join(broadcast_if_small(served, HASHED_ROW), ["item", "i"]).groupBy(*at, "start", "length").agg(F.count("*").alias("n"), F.first("need").alias("need"))
     candidates = stored(whole.where("n = need").select(*at, "start", "length"))
 
     # the rest of their lists, at the places that the surviving windows cover and nowhere else
     covered = candidates.select(*at, F.explode(F.sequence(F.col("start"), F.col("start") + F.col("length") - 1)).alias("i")).distinct()
-    places = stored(covered.join(broadcast_if_small(item_terms, 40), ["item", "i"]).select(*at, "i", "term", (F.col("diagonal") + F.col("i")).alias("position")))
-    wanted = broadcast_if_small(stored(candidates.select("doc_id", "text_key").distinct()), 40).alias("w")
+    places = stored(covered.join(broadcast_if_small(item_terms, HASHED_ROW), ["item", "i"]).select(*at, "i", "term", (F.col("diagonal") + F.col("i")).alias("position")))
+    wanted = broadcast_if_small(stored(candidates.select("doc_id", "text_key").distinct()), HASHED_ROW).alias("w")
     # both sides are of documents with a surviving window alone, and their keys are spread: no broadcast is needed
     near_lists = lists.alias("l").join(wanted, same_place("l", "w"), "left_semi").alias("l")
-    found = near_lists.join(places.alias("p"), same_place("l", "p", "term", "position")).select(*[f"p.{c}" for c in [*at, "i"]]).distinct()
+    found = near_lists.join(by_shuffle(places.alias("p")), same_place("l", "p", "term", "position")).select(*[f"p.{c}" for c in [*at, "i"]]).distinct()
 
     # how many words of each surviving window stand in place: those found from its start on
     marks = candidates.withColumn("hit", F.lit(0)).unionByName(found.select(*at, F.col("i").alias("start"), F.lit(None).cast("int").alias("length"), F.lit(1).alias("hit")))
@@ -119,14 +119,14 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     document = ["doc_id", "text_key"]
     hit = exact.select(*document, F.explode(F.sequence(F.col("diagonal") + F.col("start"), F.col("diagonal") + F.col("start") + F.col("length") - 1)).alias("position")).distinct()
     names = items.select("item", F.col("item_id").cast("string").alias("item_id"))
-    own = exact.select(*document, "item").distinct().join(broadcast_if_small(names, 64), "item").select(*document, "item_id").distinct()
+    own = exact.select(*document, "item").distinct().join(broadcast_if_small(names, HASHED_ROW), "item").select(*document, "item_id").distinct()
     near = judged.where((F.col("n") < F.col("length")) & (F.col("length") == WINDOW))
     none = F.array().cast("array<string>")
     parts = hit.groupBy(*document).agg(F.count("*").alias("n_hit")).withColumns({"item_ids": none, "n_near": F.lit(0).cast("long")})
     parts = parts.unionByName(own.groupBy(*document).agg(F.array_sort(F.collect_list("item_id")).alias("item_ids")).withColumns({"n_hit": F.lit(0).cast("long"), "n_near": F.lit(0).cast("long")}))
     parts = parts.unionByName(near.groupBy(*document).agg(F.count("*").alias("n_near")).withColumns({"n_hit": F.lit(0).cast("long"), "item_ids": none}))
     per_document = stored(parts.groupBy(*document).agg(F.sum("n_hit").alias("n_hit"), F.flatten(F.collect_list("item_ids")).alias("item_ids"), F.sum("n_near").alias("n_near")))
-    return lengths.alias("l").join(per_document.alias("r"), same_place("l", "r"), "left").select(
+    return lengths.alias("l").join(by_shuffle(per_document.alias("r")), same_place("l", "r"), "left").select(
         "l.doc_id", "l.text_key", F.col("n_words").cast("long").alias("n_words"), F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),
         F.coalesce("item_ids", none).alias("item_ids"), F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"),
     )

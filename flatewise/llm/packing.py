@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, own_worker, small_batches, stored
+from .common import HASHED_ROW, broadcast_if_small, by_shuffle, own_worker, small_batches, stored
 
 WINDOW = 2048
 #: Tokens of padding per window that a multiset may leave.
@@ -337,10 +337,10 @@ def pack(docs: DataFrame, path: str | None = None) -> DataFrame:
     cut = stored(laid.where(is_cut).select("doc_id", "text_key", "doc_tokens", F.explode(halves).alias("h")).select("doc_id", "text_key", "doc_tokens", "h.*"))
     again = cut.groupBy("doc_id", "text_key").agg(F.collect_set(F.struct("start", "length")).alias("cuts"))  # two pieces per copy of a row
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), "text")
-    small = broadcast_if_small(again, 96)
+    small = broadcast_if_small(again, 2 * HASHED_ROW)
     same = (keyed["doc_id"].eqNullSafe(small["doc_id"])) & (keyed["text_key"] == small["text_key"])
     texts = keyed.join(small, same).select(keyed["doc_id"], keyed["text_key"], "text", "cuts")
-    sums = texts.mapInArrow(_checksums(path), "doc_id long, text_key long, start long, length int, ids_crc32 long").distinct()
+    sums = by_shuffle(texts.mapInArrow(_checksums(path), "doc_id long, text_key long, start long, length int, ids_crc32 long").distinct())
     fits = cut["doc_id"].eqNullSafe(sums["doc_id"]) & (cut["text_key"] == sums["text_key"]) & (cut["start"] == sums["start"]) & (cut["length"] == sums["length"])
     halves_out = cut.join(sums, fits).select(cut["doc_id"], cut["start"], cut["length"].cast("long").alias("length"), "ids_crc32", "doc_tokens", "sequence_id", "offset")
     return whole.unionByName(uncut).unionByName(halves_out)

@@ -94,3 +94,24 @@ def test_keys_are_broadcast_by_what_their_hash_table_takes(spark, no_broadcasts,
         left = C.without(docs, gone)
         assert ("Broadcast" in left._jdf.queryExecution().executedPlan().toString()) == hinted
         assert keys(left) == sorted([(i, f"text {i}") for i in range(1, 400, 2)], key=str)
+
+
+def test_stages_broadcast_nothing_by_sparks_own_estimate(spark, monkeypatch):
+    """Whatever Spark takes a side for, as after an explode: what was not counted is joined by shuffle."""
+    from flatewise.llm import decontaminate
+
+    stored, plans = decontaminate.stored, []
+
+    def seen(df):
+        plans.append(df)
+        return stored(df)
+
+    monkeypatch.setattr("flatewise.llm.common.BROADCAST_BYTES", -1)
+    for module in ("flatewise.llm.near_dup", "flatewise.llm.components", "flatewise.llm.decontaminate", "corpus_pipeline"):
+        monkeypatch.setattr(f"{module}.stored", seen)
+    docs = frame(spark, [(i, f"text {i // 2} " + "a b c d e f g h i j k l " * (1 + i % 3)) for i in range(60)])
+    for stage in (C.drop_near_duplicates, C.drop_contaminated):
+        left = stage(spark, docs, SF)
+        assert 0 < left.count() <= 60
+        plans.append(left)
+    assert not any("BroadcastHashJoin" in df._jdf.queryExecution().executedPlan().toString() for df in plans)
